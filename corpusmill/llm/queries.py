@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, exact_dedup, ngram_join, quality_rules, substring_dedup, suffix_dedup, token_counts
+from . import best_fit_packing, exact_dedup, ngram_join, piece_encoding, quality_rules, substring_dedup, suffix_dedup, token_counts
 
 
 def _tokenizers():
@@ -40,6 +40,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"), length=400, keep_text=False)
 
 
+def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_encoding.encode_documents(_table(spark, sf_dir, "documents"), _tokenizers().path("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
