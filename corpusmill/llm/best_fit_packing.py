@@ -13,7 +13,9 @@ each on their own.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +28,16 @@ from .common import cut
 LIMIT = 2048
 #: Distinct text units whose ids a Python worker remembers.
 REMEMBERED = 400_000
+#: Lower-case letters of ASCII and Latin-1 in UTF-8, then marks that are neither letter, number nor apostrophe.
+SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,|%#$&*!?;:]*)").fullmatch
+#: Byte-level vocabularies write a byte that is no visible Latin-1 character as the next free character from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+BYTE_LEVEL = {b: 256 + k for k, b in enumerate(_HIDDEN)}
 #: Partners tried for each first length when patterns of three are enumerated.
 PARTNERS = 6
 SWEEPS = 30
-#: Parts in which rows of one length are ranked.
-SALTS = 64
+#: Rows of one length that are ranked in one sort.
+PART = 500_000
 
 _TOKENIZERS: dict[str, tuple] = {}
 
@@ -48,21 +55,39 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit values.
+def _encode_units(tok, units: list[bytes]) -> list[bytes]:
+    """Ids of each unit.
 
-    The tokenizer drops white space and looks at nothing across it, so a text's ids are those
-    of the units between spaces and line ends; a unit met before is not encoded again.
+    Most units are lower-case letters with closing marks: normalising changes nothing in them and
+    they are cut where the letters end, so their letters go straight to the tokenizer's model,
+    once each.  All others take the tokenizer's whole way.
+    """
+    split = [SIMPLE(u) for u in units]
+    whole = {m[2] for m in split if m and m[2]} | {u for u, m in zip(units, split, strict=True) if not m}
+    ids = {u: np.array(e.ids, "<u4").tobytes() for u, e in zip(whole, tok.encode_batch_fast([u.decode() for u in whole], add_special_tokens=False), strict=True)}
+    words, model = {}, tok.model
+    for m in split:
+        if m and m[1] not in words:
+            words[m[1]] = array("I", [t.id for t in model.tokenize(m[1].decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
+    return [words[m[1]] + (ids[m[2]] if m[2] else b"") if m else ids[u] for u, m in zip(units, split, strict=True)]
+
+
+def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
+    """Ids of each text (UTF-8) as little-endian unsigned 32-bit values.
+
+    The tokenizer drops white space, looks at nothing across it and ignores the case of A-Z, so a
+    text's ids are those of the units between spaces and line ends; a unit met before is not
+    encoded again.
     """
     tok, known = _tokenizer(path)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = [u for u in set().union(*split) if u not in known] if split else []
+    split = [t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
+    units = set().union(*split)
+    new = [u for u in units if u not in known]
     if len(known) + len(new) > REMEMBERED:
         known.clear()
-        new = list(set().union(*split))
-    for u, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[u] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, units)) for units in split]
+        new = list(units)
+    known.update(zip(new, _encode_units(tok, new), strict=True))
+    return [b"".join(map(known.__getitem__, u)) for u in split]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int = 0, keep_ids: bool = True) -> DataFrame:
@@ -74,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 doc, piece, start, length, crc, ids = [], [], [], [], [], []
-                for d, got in zip(batch.column("doc_id").to_pylist(), encode_texts([x or "" for x in batch.column("_text").to_pylist()], tokenizer_path), strict=True):
+                for d, got in zip(batch.column("doc_id").to_pylist(), encode_texts([x or b"" for x in batch.column("_text").cast(pa.binary()).to_pylist()], tokenizer_path), strict=True):
                     got += end
                     for k, a in enumerate(range(0, len(got), 4 * limit)):
                         part = got[a : a + 4 * limit]
@@ -218,16 +243,17 @@ def pack(sequences: DataFrame, limit: int = LIMIT, length: str = "length") -> Da
     for row in counts:
         histogram[row[0]] += row["n"]
     plan = slots(plan_packing(histogram, limit))
-    # rank within a length in two levels, so that a length that many rows share is not sorted as one group
-    salted = sequences.withColumn("_salt", F.pmod(F.xxhash64(*sequences.columns[:2]), F.lit(SALTS)))
+    # rank within a length in parts of about PART rows, so that a length that many rows share is not sorted as one group
+    parts = spark.createDataFrame([(int(r[0]), 1 + r["n"] // PART) for r in counts] or [(0, 1)], f"`{length}` long, _parts long")  # limit + 1 rows at most
+    salted = sequences.join(F.broadcast(parts), length).withColumn("_salt", F.pmod(F.xxhash64(*sequences.columns[:2]), F.col("_parts")))
     sizes = salted.groupBy(length, "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(length).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(length, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inner = Window.partitionBy(length, "_salt").orderBy(*sequences.columns[:2])
     ranked = salted.withColumn("_rank", F.row_number().over(inner) - 1)
-    # sizes has at most (limit + 1) * SALTS rows of three longs and the plan a few runs per length, whatever the input
-    ranked = ranked.join(F.broadcast(sizes), [length, "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    return place(ranked, plan, length).drop("_salt", "_rank", "_before")
+    # sizes has limit + 1 rows and one more for each PART rows
+    ranked = ranked.join(sizes, [length, "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before")).select(*sequences.columns, "_rank")
+    return place(ranked, plan, length).drop("_rank")
 
 
 def place(ranked: DataFrame, plan: list[tuple[int, int, int, int, int]], length: str) -> DataFrame:
