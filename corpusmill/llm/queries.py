@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, exact_dedup, ngram_join, piece_encoding, quality_rules, substring_dedup, suffix_dedup, token_counts
+from . import best_fit_packing, exact_dedup, html_extract, ngram_join, piece_encoding, quality_rules, substring_dedup, suffix_dedup, token_counts, warc_fixity
 
 
 def _tokenizers():
@@ -40,6 +40,14 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"), length=400, keep_text=False)
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_fixity.archive_and_audit(_table(spark, sf_dir, "pages"))
+
+
 def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encoding.encode_documents(_table(spark, sf_dir, "documents"), _tokenizers().path("piece_bpe_32k.model"), keep_ids=False)
 

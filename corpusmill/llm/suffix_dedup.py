@@ -154,7 +154,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = True)
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs` with repeated byte strings taken out of text (characters that lose a byte go too); n_chars follows where there is one."""
-    seed = length // 2
+    seed, columns = length // 2, docs.columns
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -166,8 +166,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     own = own[~covered(len(own), settled, spans, length, seed)]
                 texts.append(own.tobytes().decode(errors="ignore"))
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(docs.columns)
+            yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(columns)
 
-    found = find_repeats(docs, "bytes", length, seed, _places(length, seed), _scan(length), columns=docs.columns)
+    found = find_repeats(docs, "bytes", length, seed, _places(length, seed), _scan(length), columns=columns)
     out = found.mapInArrow(cut_out, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
