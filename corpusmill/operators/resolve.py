@@ -1,0 +1,96 @@
+"""Lookup chains, existence tests, glossaries and set comparisons."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+
+#: Orders in which sources of a term are asked.
+TERM_ORDER = ("custom", "topic_consensus", "consensus", "topic", "base", "idiom", "cache", "remote")
+SECTION_ORDER = ("consensus", "topic_consensus", "custom", "topic", "idiom", "ethnonym", "office", "base", "cache", "remote")
+
+
+def priority(source: Column, order: tuple[str, ...]) -> Column:
+    """The place of a source in an order; unknown sources come last."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, order)), source), F.lit(0)).cast("int") + F.when(source.isin(*order), 0).otherwise(len(order) + 1)
+
+
+def first_match(terms: DataFrame, glossary: DataFrame, order: tuple[str, ...] = TERM_ORDER) -> DataFrame:
+    """Each term with its best translation: sources by priority, then target; aggregated, so no term is one group of rows."""
+    ranked = glossary.withColumn("p", priority(F.col("source"), order)).groupBy("term").agg(F.min(F.struct("p", "target", "source")).alias("best"))
+    return terms.join(ranked, "term", "left").select("term", F.col("best.target").alias("target"), F.col("best.source").alias("origin"))
+
+
+def unambiguous(glossary: DataFrame, term: str, target: str) -> DataFrame:
+    """Terms that have one target only."""
+    return glossary.groupBy(term).agg(F.min(target).alias(target), F.max(target).alias("_m")).filter(F.col(target).eqNullSafe(F.col("_m"))).drop("_m")
+
+
+def fallback(base: DataFrame, steps: list[tuple[str, DataFrame, str]], key: str) -> DataFrame:
+    """Left joins in order; `resolved` is the first hit and `origin` its step.  steps: (name, table with key, value column)."""
+    out, values = base, []
+    for name, t, value in steps:
+        out = out.join(t.select(key, F.col(value).alias(f"_{name}")), key, "left")
+        values.append((name, F.col(f"_{name}")))
+    origin = F.lit("unresolved")
+    for name, v in reversed(values):
+        origin = F.when(v.isNotNull(), name).otherwise(origin)
+    return out.select(*base.columns, F.coalesce(*(v for _, v in values)).alias("resolved"), origin.alias("origin"))
+
+
+def missing(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    return a.join(b, key, "left_anti")
+
+
+def present(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    return a.join(b, key, "left_semi")
+
+
+def set_diff(a: DataFrame, b: DataFrame, group: str, member: str) -> DataFrame:
+    """Per group: members in both, missing from b and extra in b."""
+    x = a.select(group, member).distinct().withColumn("_a", F.lit(1))
+    y = b.select(group, member).distinct().withColumn("_b", F.lit(1))
+    both = x.join(y, [group, member], "full")
+    return both.groupBy(group).agg(F.count(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1)).alias("existing"), F.count(F.when(F.col("_b").isNull(), 1)).alias("missing"), F.count(F.when(F.col("_a").isNull(), 1)).alias("extra"))
+
+
+def candidate_terms(docs: DataFrame, top: int = 10) -> DataFrame:
+    """(doc_id, term, n, rank): the top capitalised phrases of each text by words, length, then alphabet (ties are settled, so the result is stable)."""
+    terms = docs.select("doc_id", F.explode(T.matches("text", T.PROPER)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc(F.size(F.split("term", " "))), F.desc(F.length("term")), "term")
+    return terms.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+
+
+def longest_only(terms: DataFrame) -> DataFrame:
+    """(doc_id, term) without terms that are part of a longer one of the same text; terms: (doc_id, term), distinct.
+
+    A phrase inside another shares its first word with some word of it, so the comparison is an
+    equi-join on (doc_id, word).
+    """
+    words = terms.select("doc_id", F.col("term").alias("longer"), F.explode(F.array_distinct(F.split("term", " "))).alias("head"))
+    own = terms.withColumn("head", F.split("term", " ")[0])
+    inside = own.join(words, ["doc_id", "head"]).filter("term <> longer AND contains(concat(' ', longer, ' '), concat(' ', term, ' '))")
+    return terms.join(inside.select("doc_id", "term").distinct(), ["doc_id", "term"], "left_anti")
+
+
+def phrase_mentions(docs: DataFrame, phrases: DataFrame, most: int = 3) -> DataFrame:
+    """(doc_id, phrase, n): occurrences of phrases of up to `most` words, as an equi-join on word n-grams instead of a contains join."""
+    w = docs.select("doc_id", T.words(F.lower("text")).alias("w"))
+
+    def grams(k: int) -> DataFrame:
+        at = F.sequence(F.lit(1), F.size("w") - (k - 1))
+        return w.filter(F.size("w") >= k).select("doc_id", F.explode(F.transform(at, lambda i: F.array_join(F.slice("w", i, k), " "))).alias("phrase"))
+
+    found = reduce(DataFrame.union, [grams(k) for k in range(1, most + 1)])
+    return found.join(phrases.select("phrase").distinct(), "phrase").groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
+
+
+def glossary_consistency(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
+    """(source_id, draft_id, term, target): terms of the source whose target the draft lacks; glossary: (term, target), single words."""
+    src = pairs.select("source_id", "draft_id", F.explode(F.array_distinct(T.words(F.lower("source_text")))).alias("term")).join(glossary, "term")
+    dst = pairs.select("source_id", "draft_id", F.explode(F.array_distinct(T.words(F.lower("draft_text")))).alias("target"))
+    return src.join(dst, ["source_id", "draft_id", "target"], "left_anti").select("source_id", "draft_id", "term", "target")
