@@ -322,7 +322,7 @@ def test_exact_dedup(docs, rows, nothing):
 
 def test_exact_dedup_of_one_large_group(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, F.lit("Same")).otherwise(F.col("id").cast("string")).alias("text"))
-    got = exact_dedup.exact_dedup(df.union(spark.createDataFrame([(None, "same")], df.schema)), "max")
+    got = exact_dedup.exact_dedup(df.union(spark.createDataFrame([(None, "same")], "doc_id long, text string")), "max")
     assert got.filter("group_size = 2001").count() == 2001 and got.filter("kept").count() == 1001 and got.filter("group_size > 1").select("keep_id").distinct().first()[0] == 2998
 
 
