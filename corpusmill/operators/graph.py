@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Keep the cluster's checkpoint folder; only where none is set (tests) use a temporary one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """Each round reads the last one from the shared checkpoint folder, so plans and lineage stay short."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -61,6 +61,6 @@ def unlink_repeats(df: DataFrame, group: str, order: str, target: str, within: i
     return folded.select(group, target, F.inline(F.zip_with("at", "keep", lambda a, k: F.struct(a.alias(order), k.alias("keep")))))
 
 
-def upsert(state: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """State after changes: for each key the row with the largest `order`."""
-    return latest(state.unionByName(changes), keys, order)
+def upsert(state: DataFrame, changes: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """State after changes: for each key the last row by the order columns."""
+    return latest(state.unionByName(changes), keys, *order)

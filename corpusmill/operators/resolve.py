@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as T
 
@@ -94,3 +97,18 @@ def glossary_consistency(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     src = pairs.select("source_id", "draft_id", F.explode(F.array_distinct(T.words(F.lower("source_text")))).alias("term")).join(glossary, "term")
     dst = pairs.select("source_id", "draft_id", F.explode(F.array_distinct(T.words(F.lower("draft_text")))).alias("target"))
     return src.join(dst, ["source_id", "draft_id", "target"], "left_anti").select("source_id", "draft_id", "term", "target")
+
+
+def fuzzy_match(a: DataFrame, b: DataFrame, least: float = 0.82) -> DataFrame:
+    """(a, b, ratio): values that are alike.  Pairs meet on their first four letters and on like lengths, never all with all; the ratio is that of matching blocks."""
+
+    @pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)])
+
+    x = a.select("a", F.lower(F.substring("a", 1, 4)).alias("k"))
+    y = b.select("b", F.lower(F.substring("b", 1, 4)).alias("k"))
+    # a ratio r needs lengths within r / (2 - r) of each other
+    bound = least / (2 - least)
+    near = x.join(y, "k").filter((F.least(F.length("a"), F.length("b")) >= F.greatest(F.length("a"), F.length("b")) * bound))
+    return near.select("a", "b", ratio(F.lower("a"), F.lower("b")).alias("ratio")).filter(F.col("ratio") >= least)

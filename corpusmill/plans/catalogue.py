@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audits, graph, ordered, resolve
+from ..operators import audits, graph, localise, ordered, resolve
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -249,10 +249,13 @@ def phrase_mentions(spark, d):
 REWRITES = [("([0-9])-([0-9])", "$1–$2"), ("[“”]", '"'), ("[‘’]", "'"), (" +([,;:.!?])", "$1"), ("([!?])[!?]+", "$1"), (",{2,}", ","), ("  +", " ")]
 
 
-def _rewritten(x: str) -> str:
-    for a, b in REWRITES:
+def _rewritten(x: str, rules: list[tuple[str, str]] = REWRITES) -> str:
+    """The SQL of ordered rewrites; Java writes groups as $1 and a dollar sign as \\$."""
+    for a, b in rules:
+        b = b.replace("\\$", "\0")
         for k in "12":
             b = b.replace(f"${k}", f"\\{k}")
+        b = b.replace("\0", "$")
         x = f"regexp_replace({x}, '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}', 'g')"
     return x
 
@@ -437,6 +440,53 @@ def overlink_filter(spark, d):
     return ordered.unlink_repeats(table(spark, d, "events"), "user_id", "event_id", "event_type", 300)
 
 
+@query(ORACLES["journal_latest"])
+def events_stream_latest(spark, d):
+    """The journal as a stream: folded batch by batch, equal to the batch query."""
+    import uuid
+
+    from ..streaming.journal import latest_state, read_state
+
+    graph.checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    e = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id")
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d).select(e.columns)
+    latest_state(stream, ["user_id", "event_type"], ["ts", "event_id"], f"{folder}/state", f"{folder}/log").awaitTermination()
+    return read_state(spark, f"{folder}/state").select("user_id", "event_type", "event_id", "ts")
+
+
+@query(f"SELECT doc_id, sha256({_rewritten('text', [*localise.CURRENCY_RULES, *localise.UNIT_RULES])}) AS text_sha256 FROM documents")
+def currency_and_units(spark, d):
+    """Texts with amounts and units in the target language's form."""
+    return _docs(spark, d).select("doc_id", F.sha2(localise.units(localise.currency("text")), 256).alias("text_sha256"))
+
+
+@query(r"""SELECT page_id, count(DISTINCT href) AS n_targets, count(DISTINCT href) FILTER (WHERE href IN (SELECT '/' || item FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS item FROM benchmark))) AS n_known
+    FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id""")
+def media_audit(spark, d):
+    """Link targets of each page and how many are on the list of known ones."""
+    known = table(spark, d, "benchmark").select(F.explode(F.transform(F.split("text", " "), lambda w: F.concat(F.lit("/"), w))).alias("href")).distinct().withColumn("known", F.lit(1))
+    links = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href")).distinct()
+    return links.join(known, "href", "left").groupBy("page_id").agg(F.count("*").alias("n_targets"), F.count("known").alias("n_known"))
+
+
+@query("""WITH l AS (SELECT 't' || (user_id % 40) AS term, 'x' || (user_id % 3) AS target, CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'signup' THEN 'proposed' WHEN 'error' THEN 'rejected' ELSE 'use' END AS action, ts, event_id FROM events)
+    SELECT term, target, arg_max(action, struct_pack(a := ts, b := action)) FILTER (WHERE action <> 'use') AS status, count(*) FILTER (WHERE action = 'use') AS usage_count, min(ts) AS created_at, max(ts) AS updated_at FROM l GROUP BY ALL""")
+def glossary_state(spark, d):
+    """Candidate terms from a log of proposals, approvals, rejections and uses."""
+    action = F.when(F.col("event_type") == "purchase", "approved").when(F.col("event_type") == "signup", "proposed").when(F.col("event_type") == "error", "rejected").otherwise("use")
+    log = table(spark, d, "events").select(F.concat(F.lit("t"), F.col("user_id") % 40).alias("term"), F.concat(F.lit("x"), F.col("user_id") % 3).alias("target"), action.alias("action"), "ts")
+    return localise.term_state(log)
+
+
+@query()
+def fuzzy_entities(spark, d):
+    """Names of benchmark items and of conversations that are the same but for small changes."""
+    a = table(spark, d, "benchmark").select(F.explode(T.matches("text", T.PROPER)).alias("a")).filter("length(a) >= 5").distinct()
+    b = table(spark, d, "conversations").select(F.explode(T.matches("text", T.PROPER)).alias("b")).filter("length(b) >= 5").distinct()
+    return resolve.fuzzy_match(a, b)
+
+
 # pages ------------------------------------------------------------------------------------
 
 
