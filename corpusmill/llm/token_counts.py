@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Lengths per block of the two-level running sums.
 BLOCK = 4096
 
@@ -56,9 +58,9 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 def limit_table(histogram: DataFrame) -> DataFrame:
     """Per length L as a context limit: texts and tokens of that length, texts that are longer, tokens when every text is cut at L, and all tokens.
 
-    Running sums in two levels: over blocks of lengths, then inside each block.
+    The histogram is read twice, so it is written once.  Running sums in two levels: over blocks of lengths, then inside each block.
     """
-    h = histogram.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("block"))
+    h = cut(histogram).select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("block"))
     up = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     blocks = blocks.select("block", F.coalesce(F.sum("bd").over(up), F.lit(0)).alias("docs_above"), F.coalesce(F.sum("bt").over(up), F.lit(0)).alias("tokens_above"), F.sum("bd").over(Window.partitionBy()).alias("all_docs"), F.sum("bt").over(Window.partitionBy()).alias("all_tokens"))
