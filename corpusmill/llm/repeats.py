@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import BYTES, OTHER, WORDS, bucket_count, chunks, cut, grouped, mixed, row_key, runs, text_rows, view, words
 
+#: Bytes of a word's hash in a context.
+SHORT = 6
 #: Bytes of text behind one bucket of seeds.
 BUCKET = 16 << 20
 #: Seeds folded together at once before they are sent out.
@@ -45,13 +47,14 @@ class Sequences:
         self.doc = batch.column("rid").to_numpy(zero_copy_only=False)
         self.data, self.byte_offs = view(batch.column("text"))
         if kind == "bytes":
-            self.offs, self.units = self.byte_offs, self.data
+            self.offs, self.units, self.short = self.byte_offs, self.data, self.data
             self.sums, self.more = BYTES.sums(self.data), OTHER.sums(self.data)
             self.roll, self.roll2 = BYTES, OTHER
         else:
             self.starts, self.ends, self.offs = words(self.data, self.byte_offs)
             text = BYTES.sums(self.data)
             self.units = BYTES.slices(text, self.starts, self.ends)
+            self.short = np.ascontiguousarray(self.units.view(np.uint8).reshape(-1, 8)[:, :SHORT])
             self.sums, self.more = WORDS.sums(self.units), OTHER.sums(mixed(self.units ^ np.uint64(0x9E3779B97F4A7C15)))
             self.roll, self.roll2 = WORDS, OTHER
 
@@ -79,11 +82,11 @@ def _emit(kind: str, window: int, seed: int, places: Places, buckets: int):
         doc, pos = s["doc"][again], s["pos"][again]
         s = s[at[:-1]]
         s["many"] |= n > 1
-        bucket = (s["h"] >> np.uint64(40)).astype(np.int64) % buckets
+        bucket = ((s["h"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         s, bucket = s[order], bucket[order]
         at = runs(bucket)
-        rows = [(int(bucket[a]), None, b"".join(s[k][a:b].tobytes() for k in SEED.names)) for a, b in zip(at[:-1], at[1:], strict=True)]
+        rows = [(int(bucket[a]), None, _packed(s[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
         for d, p in _by_doc(doc, pos):
             rows.append((d % buckets, d, p.astype("<i4").tobytes()))
         for i in range(0, len(rows), 4096):
@@ -122,13 +125,33 @@ def _by_doc(doc: np.ndarray, *cols: np.ndarray) -> Iterator[tuple]:
         yield int(doc[a]), *(c[a:b] for c in cols)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Byte by byte of each value, so that bytes that are mostly zero lie together and compress to nothing."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _from_planes(buf: memoryview, kind: str, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(buf[: n * size], np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
+def _packed(s: np.ndarray) -> bytes:
+    """Seeds of one bucket, sorted by hash: hashes as differences, documents by their place in a table."""
+    docs, place = np.unique(s["doc"], return_inverse=True)
+    head = np.array([len(s), len(docs)], "<u4")
+    return b"".join([head.tobytes(), docs.astype("<i8").tobytes(), _planes(np.diff(s["h"], prepend=np.uint64(0))), s["f"].tobytes(), _planes(place.astype("<u4")), _planes(s["pos"]), np.packbits(s["many"]).tobytes()])
+
+
 def _unpacked(buf: pa.Buffer) -> np.ndarray:
-    """Seeds travel column by column."""
-    n, at = buf.size // SEED.itemsize, 0
+    b = memoryview(buf)
+    n, k = np.frombuffer(b[:8], "<u4").tolist()
+    docs, b = np.frombuffer(b[8 : 8 + 8 * k], "<i8"), b[8 + 8 * k :]
     out = np.zeros(n, SEED)
-    for k in SEED.names:
-        out[k] = np.frombuffer(buf, SEED[k], n, at)
-        at += n * SEED[k].itemsize
+    out["h"] = np.cumsum(_from_planes(b, "<u8", n), dtype=np.uint64)
+    out["f"] = np.frombuffer(b[8 * n : 16 * n], "<u8")
+    out["doc"] = docs[_from_planes(b[16 * n :], "<u4", n)]
+    out["pos"] = _from_planes(b[20 * n :], "<i4", n)
+    out["many"] = np.unpackbits(np.frombuffer(b[24 * n :], np.uint8), count=n)
     return out
 
 
@@ -190,8 +213,8 @@ def _fetch(kind: str, window: int, seed: int):
                     h.append(k)
                     doc.append(int(x.doc[i]))
                     pos.append(p)
-                    left.append(x.units[max(a, at - (window - seed)) : at][::-1].tobytes())
-                    right.append(x.units[at : min(b, at + window)].tobytes())
+                    left.append(x.short[max(a, at - (window - seed)) : at][::-1].tobytes())
+                    right.append(x.short[at : min(b, at + window)].tobytes())
                     alone.append(one)
             for i in range(0, len(h), 2048):
                 e = slice(i, i + 2048)

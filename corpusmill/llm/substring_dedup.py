@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import chunks, mixed, runs, view, words
-from .repeats import Sequences, covered, find_repeats
+from .repeats import SHORT, Sequences, covered, find_repeats
 
 WINDOW = 35
 #: {0, 1, 4, 14, 16} modulo 21: every difference modulo 21 occurs once.
@@ -69,7 +69,9 @@ def _extend(window: int):
 
 
 def _padded(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    units, offs = data.view(np.uint64), offs // 8
+    wide, offs = np.zeros((len(data) // SHORT, 8), np.uint8), offs // SHORT
+    wide[:, :SHORT] = data.reshape(-1, SHORT)
+    units = wide.view(np.uint64).ravel()
     n = np.diff(offs)
     out = np.zeros((len(n), width), np.uint64)
     col = np.arange(len(units)) - np.repeat(offs[:-1], n)
