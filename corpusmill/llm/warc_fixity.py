@@ -24,10 +24,11 @@ from .common import cut, ensure_checkpoint_dir
 
 ARCHIVE_BYTES, FAN = 16 << 20, 16
 END = "\r\n\r\n"
+DATE = "2024-01-01T00:00:00Z"
 
 
-def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(archive, seq, offset, length, page_id, url, record): where each page's record goes; `record` is its text without the closing blank lines."""
+def records(pages: DataFrame, date: str = DATE, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """(archive, page_id, url, k, length, record): each page as a record, without the closing blank lines, and the archive it goes to.  Inside an archive records stand by page_id, url and k."""
     url, body = F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n ]", "%20"), F.coalesce("html", F.lit(""))
     digest = F.sha2(body, 256)
     name = F.concat(F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-"), F.substring(digest, 13, 4), F.lit("-"), F.substring(digest, 17, 4), F.lit("-"), F.substring(digest, 21, 12))
@@ -35,20 +36,25 @@ def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", archive_bytes:
         F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"), name, F.lit(">\r\nWARC-Date: " + date + "\r\nWARC-Target-URI: "), url,
         F.lit("\r\nWARC-Block-Digest: sha256:"), digest, F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(END),
     )
-    out = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.concat(head, body).alias("record"))
-    out = out.withColumn("length", F.octet_length("record").cast("long") + len(END))
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    archives = max(1, -(-total // archive_bytes))
-    out = out.withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "record"), F.lit(archives)).cast("int"))
-    order = Window.partitionBy("archive").orderBy("page_id", "url", F.xxhash64("record"))
+    out = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.concat(head, body).alias("record"))
+    out = out.withColumn("k", F.xxhash64("record")).withColumn("length", F.octet_length("record").cast("long") + len(END))
+    return out.withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "k"), F.lit(max(1, -(-total // archive_bytes)))).cast("int"))
+
+
+def manifest(recs: DataFrame) -> DataFrame:
+    """(archive, seq, offset, length, page_id, url, hash): which bytes of which archive each record takes, and their hash.  Only these narrow columns are moved."""
+    rows = recs.select("archive", "page_id", "url", "k", "length", F.sha2(F.concat("record", F.lit(END)), 256).alias("hash"))
+    order = Window.partitionBy("archive").orderBy("page_id", "url", "k")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return out.select("archive", (F.row_number().over(order) - 1).cast("long").alias("seq"), F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "page_id", "url", "record")
+    return rows.select("archive", (F.row_number().over(order) - 1).cast("long").alias("seq"), F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "page_id", "url", "hash")
 
 
 def write_archives(recs: DataFrame, path: str) -> None:
-    """One WARC file for each archive below `path`; recs has archive, seq and record."""
-    n = int(recs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = recs.select("archive", "seq", "record").repartition(n, "archive").sortWithinPartitions("archive", "seq").select("archive", F.col("record").alias("value"))
+    """One WARC file for each archive below `path`, each written by a task of its own."""
+    most = recs.agg(F.max("archive")).first()[0]
+    rows = recs.select("archive", "page_id", "url", "k", "record").repartitionById(1 + (most or 0), F.col("archive"))
+    rows = rows.sortWithinPartitions("archive", "page_id", "url", "k").select("archive", F.col("record").alias("value"))
     rows.write.partitionBy("archive").option("lineSep", END).text(path)
 
 
@@ -86,19 +92,22 @@ def _records(raw: bytes) -> Iterator[tuple[int, int, str, str, bool]]:
         at = stop + 4 + (size if valid else 0)
 
 
-def hash_records(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(archive, seq, offset, length, hash) of a replica, by the offset ranges of the manifest; bytes that are not there give no hash."""
-    ranges = manifest.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("seq", "offset", "length"))).alias("ranges"))
+def hash_records(files: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(archive, seq, offset, length, hash) of a replica: each record of the manifest with the hash of what begins at its offset, or null where no record begins.
+
+    Archives are hashed where they are read; only hashes are moved.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, content, own in zip(batch.column("archive").to_pylist(), batch.column("content"), batch.column("ranges").to_pylist(), strict=True):
-                raw = memoryview(content.as_buffer()) if content.is_valid else memoryview(b"")
-                part = [raw[r["offset"] : r["offset"] + r["length"]] for r in own]
-                sha = [hashlib.sha256(p).hexdigest() if len(p) else None for p in part]
-                yield pa.record_batch([pa.array([archive] * len(own), pa.int32()), *(pa.array([r[k] for r in own], pa.int64()) for k in ("seq", "offset", "length")), pa.array(sha, pa.string())], names=["archive", "seq", "offset", "length", "hash"])
+            for archive, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
+                raw = content.as_py()
+                rows = [(at, hashlib.sha256(raw[at : at + n]).hexdigest()) for at, n, *_ in _records(raw)]
+                at, sha = zip(*rows, strict=True) if rows else ((), ())
+                yield pa.record_batch([pa.array([archive] * len(rows), pa.int32()), pa.array(at, pa.int64()), pa.array(sha, pa.string())], names=["archive", "offset", "hash"])
 
-    return ranges.join(files, "archive", "left").select("archive", "content", "ranges").mapInArrow(run, "archive int, seq long, offset long, length long, hash string")
+    found = files.select("archive", "content").mapInArrow(run, "archive int, offset long, hash string")
+    return ranges.select("archive", "seq", "offset", "length").join(found, ["archive", "offset"], "left").select("archive", "seq", "offset", "length", "hash")
 
 
 def merkle_tree(leaves: DataFrame, fan: int = FAN) -> DataFrame:
@@ -144,11 +153,11 @@ def archive_and_audit(pages: DataFrame, path: str | None = None, archive_bytes:
     ensure_checkpoint_dir(spark)
     path = path or f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
     recs = records(pages, archive_bytes=archive_bytes)
+    meant = cut(manifest(recs))
+    if meant.isEmpty():
+        return meant.select("page_id", "url", "archive", "seq", "offset", "length", F.col("hash").alias("record_sha256"), F.lit("ok").alias("fixity"))
     write_archives(recs, path)
-    manifest = cut(recs.select("archive", "seq", "offset", "length", "page_id", "url", F.sha2(F.concat("record", F.lit(END)), 256).alias("hash")))
-    if manifest.isEmpty():
-        return manifest.select("page_id", "url", "archive", "seq", "offset", "length", F.col("hash").alias("record_sha256"), F.lit("ok").alias("fixity"))
-    replica = cut(hash_records(read_archives(spark, path), manifest))
-    wrong = audit(merkle_tree(manifest), merkle_tree(replica)).select("archive", "seq", "status")
-    out = manifest.join(wrong, ["archive", "seq"], "left")
+    replica = cut(hash_records(read_archives(spark, path), meant))
+    wrong = audit(merkle_tree(meant), merkle_tree(replica)).select("archive", "seq", "status")
+    out = meant.join(wrong, ["archive", "seq"], "left")
     return out.select("page_id", "url", "archive", "seq", "offset", "length", F.col("hash").alias("record_sha256"), F.coalesce("status", F.lit("ok")).alias("fixity"))
