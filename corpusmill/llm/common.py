@@ -8,6 +8,7 @@ which bounds the memory of a task whatever the length of the texts.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20  # text behind one bucket of an exchange
 
 _SEP = np.zeros(256, bool)
@@ -38,6 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write as Parquet to the shared checkpoint folder and read from there: for rows with texts, which a checkpoint would not compress."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def row_key():
     """A row's own key: repeated rows share it, rows that share only doc_id do not."""
     return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
@@ -177,6 +186,16 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Byte by byte of each value, so that bytes that are mostly zero lie together and compress to nothing."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(buf: memoryview, kind: str, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(buf[: n * size], np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that links lead to, for every node with a link.
 
