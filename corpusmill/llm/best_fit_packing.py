@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 LIMIT = 2048
-#: Distinct text units whose ids a Python worker remembers.
+#: Distinct text units whose ids a task remembers.
 REMEMBERED = 400_000
 #: Lower-case letters of ASCII and Latin-1 in UTF-8, then marks that are neither letter, number nor apostrophe.
 SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,|%#$&*!?;:]*)").fullmatch
@@ -39,7 +39,7 @@ SWEEPS = 30
 #: Rows of one length that are ranked in one sort.
 PART = 500_000
 
-_TOKENIZERS: dict[str, tuple] = {}
+_TOKENIZERS: dict[str, object] = {}
 
 
 def _tokenizer(path: str):
@@ -51,7 +51,7 @@ def _tokenizer(path: str):
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _TOKENIZERS[path] = (t, {})
+        _TOKENIZERS[path] = t
     return _TOKENIZERS[path]
 
 
@@ -72,14 +72,14 @@ def _encode_units(tok, units: list[bytes]) -> list[bytes]:
     return [words[m[1]] + (ids[m[2]] if m[2] else b"") if m else ids[u] for u, m in zip(units, split, strict=True)]
 
 
-def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
+def encode_texts(texts: list[bytes], path: str, known: dict[bytes, bytes]) -> list[bytes]:
     """Ids of each text (UTF-8) as little-endian unsigned 32-bit values.
 
     The tokenizer drops white space, looks at nothing across it and ignores the case of A-Z, so a
     text's ids are those of the units between spaces and line ends; a unit met before is not
-    encoded again.
+    encoded again while `known` holds it.
     """
-    tok, known = _tokenizer(path)
+    tok = _tokenizer(path)
     split = [t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
     units = set().union(*split)
     new = [u for u in units if u not in known]
@@ -95,11 +95,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, bytes] = {}  # of this task only: workers live on
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 doc, piece, start, length, crc, ids = [], [], [], [], [], []
-                for d, got in zip(batch.column("doc_id").to_pylist(), encode_texts([x or b"" for x in batch.column("_text").cast(pa.binary()).to_pylist()], tokenizer_path), strict=True):
+                for d, got in zip(batch.column("doc_id").to_pylist(), encode_texts([x or b"" for x in batch.column("_text").cast(pa.binary()).to_pylist()], tokenizer_path, known), strict=True):
                     got += end
                     for k, a in enumerate(range(0, len(got), 4 * limit)):
                         part = got[a : a + 4 * limit]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE, SEP = "▁", "\ud800"
-#: Segments a Python worker remembers, characters indexed at once, and segments longer than this are joined with a heap.
+#: Segments a task remembers, characters indexed at once, and segments longer than this are joined with a heap.
 REMEMBERED, INDEXED, LONG = 400_000, 400_000, 48
 NONE = np.int32(1 << 30)
 
@@ -247,6 +247,7 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = True) ->
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat))
                     names.append("ids")
                 yield pa.record_batch(out, names=names)
+        m.known.clear()  # workers live on
 
     schema = "doc_id long, n_ids long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * keep_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(encode, schema)
