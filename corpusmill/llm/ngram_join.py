@@ -3,8 +3,9 @@
 A document's set holds the hashes of its distinct shingles.  Documents with equal sets form a
 class and one of them stands for all.  For two sets that link, the number of shingles in only one
 of them is bounded; so when the hash space is cut into more segments than that, some segment holds
-the same shingles in both.  Hashes of segments bring such sets into one block, exactly: no link is
-missed, and unrelated documents hardly ever meet.  In a block, sets are put in a signature tree
+the same shingles in both.  Hashes of segments are keys, and sets that link share a key; as differences
+fall on segments at random they share many, so a set that meets others under too few keys is left
+out.  What remains is put in blocks by keys in common.  In a block, sets are put in a signature tree
 whose nodes hold OR-combined bitmaps and size ranges; two trees are walked together, and a pair of
 nodes is dropped when the largest overlap it allows is too small or it is one component already.
 Pairs that remain are compared in full.  Large blocks are cut into parts by size, and pairs of
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES, WORDS, bucket_count, chunks, connected, cut, grouped, lowered, mixed, owners, runs, signed, text_rows, view, words
+from .common import BYTES, WORDS, bucket_count, chunks, connected, cut, from_planes, grouped, lowered, mixed, owners, planes, row_key, runs, signed, stored, text_rows, view, words
 
 SHINGLE, PERCENT = 5, 80
 #: Sizes are put in classes that grow by half.
@@ -34,6 +35,9 @@ BUCKET, FOLD = 16 << 20, 1_000_000
 #: Sets in one part of a block.
 PART = 1024
 LEAF, FAN = 8, 8
+#: Sets of one key in a batch from which they are sent on as they are.
+GROUP = 12
+SETS, STAND_IN, LARGE, NEED = 0, 1, 2, 3
 
 
 def shingle_sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,32 +79,42 @@ def bounds(most: int, growth: float = GROWTH) -> list[int]:
 
 
 def _spare(k: int) -> int:
-    """Segments beyond the bound, for those that may be empty in both sets."""
-    return 1 + k // 24
+    """Segments beyond the bound: a link shares at least as many, less those that are empty in both sets."""
+    return 2 + k // 4
 
 
-def segment_keys(h: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, row of each).  Sets that link share a key.
-
-    Between linking sets of sizes a and b at most d = (a + b)(100 - t)/(100 + t) shingles differ.
-    A size class uses the bound of its largest sizes; sizes near a class border, which may link
-    across it, also get keys made for the border.
-    """
-    n = np.diff(offs)
-    edges = np.array(bounds(int(n.max(initial=1))))
+def _jobs(n: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(number, bound on differences, rows): one for each size class, and one for each border between classes."""
+    edges, t = np.array(bounds(int(n.max(initial=1)))), percent
     cls = np.searchsorted(edges, n, "right") - 1
-    t = percent
-    keys, rows = [], []
-    jobs: list[tuple[int, int, np.ndarray]] = []
+    jobs = []
     for c in np.unique(cls[n > 0]):
         jobs.append((2 * int(c), 2 * (int(edges[c + 1]) - 1) * (100 - t) // (100 + t), np.flatnonzero((cls == c) & (n > 0))))
-    for c in range(len(edges)):
+    for c in range(1, len(edges)):
         e = int(edges[c])
         near = np.flatnonzero((100 * n >= t * e) & (t * n < 100 * e) & (n > 0))
-        if c and len(near):
-            most = (e - 1) + 100 * (e - 1) // t
-            jobs.append((2 * c + 1, most * (100 - t) // (100 + t), near))
-    for job, k, own in jobs:
+        if len(near):
+            jobs.append((2 * c + 1, ((e - 1) + 100 * (e - 1) // t) * (100 - t) // (100 + t), near))
+    return jobs
+
+
+def least_spared(k: int, m: int) -> int:
+    """Segments that k differences leave alone: never under m - k, and, as they fall at random, with odds below 10^-8 not six standard deviations under the mean."""
+    mean, load = m * (1 - 1 / m) ** k, k / m
+    deviation = (m * np.exp(-load) * (1 - (1 + load) * np.exp(-load))) ** 0.5
+    return max(m - k, int(mean - 6 * deviation))
+
+
+def segment_keys(h: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, row of each, need of each row).  Sets that link share a key; a set shares at least `need` of its keys with any set that it links to.
+
+    Between linking sets of sizes a and b at most d = (a + b)(100 - t)/(100 + t) shingles differ.
+    A size class uses the bound of its largest sizes; sizes near a class border, which may link
+    across it, also get keys made for the border.
+    """
+    keys, rows, n = [], [], np.diff(offs)
+    need = np.full(len(n), 1 << 30, np.int64)
+    for job, k, own in _jobs(n, percent):
         if k == 0:
             continue  # only equal sets link, and those are one class
         m = k + 1 + _spare(k)
@@ -118,7 +132,8 @@ def segment_keys(h: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.ndar
         rows.append(own[place // m])
         # where more segments are empty than are spared, emptiness is a key too
         full = np.bincount(place // m, minlength=len(own))
-        bare = np.flatnonzero(m - full > _spare(k))
+        need[own] = np.minimum(need[own], np.maximum(1, least_spared(k, m) - (m - full)))
+        bare = np.flatnonzero(m - full >= m - k)
         for b in bare:
             seen = np.zeros(m, bool)
             seen[place[np.searchsorted(place, b * m) : np.searchsorted(place, (b + 1) * m)] % m] = True
@@ -126,29 +141,40 @@ def segment_keys(h: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.ndar
             keys.append(mixed(np.uint64(0x5EED) ^ mixed(gap * np.uint64(1 << 20) + np.uint64(job))))
             rows.append(np.full(len(gap), own[b]))
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(rows)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), need
+    return np.concatenate(keys), np.concatenate(rows), need
 
 
 def _sizes(width: int):
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             h, offs = shingle_sets(batch, width)
-            yield pa.record_batch([batch.column("rid"), batch.column("doc_id"), pa.array(np.diff(offs)), pa.array(signed(fingerprints(h, offs)))], names=["rid", "doc_id", "n_shingles", "fp"])
+            n = np.diff(offs)
+            yield pa.record_batch([batch.column("rid"), batch.column("doc_id"), pa.array(n), pa.array(signed(fingerprints(h, offs)))], names=["rid", "doc_id", "n_shingles", "fp"])
 
     return sizes
 
 
 def _keys(width: int, percent: int, buckets: int):
-    def send(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-        bucket = (key >> np.uint64(40)).astype(np.int64) % buckets
-        order = np.argsort(bucket, kind="stable")
-        key, fp, bucket = key[order], fp[order], bucket[order]
-        at = runs(bucket)
-        rows = [(int(bucket[a]), key[a:b].tobytes() + fp[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-        b, p = zip(*rows, strict=True)
-        yield pa.record_batch([pa.array(b, pa.int32()), pa.array(p, pa.binary())], names=["bucket", "payload"])
+    def send(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        key, fp = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        order = np.lexsort((fp, key))
+        key, fp = key[order], fp[order]
+        at = runs(key)
+        large = np.diff(at) > GROUP
+        member = np.repeat(large, np.diff(at))
+        rows = []
+        # a key of many sets is known to be large: its sets need not meet, and one stands in for them
+        for kind, k, f in ((SETS, key[~member], fp[~member]), (STAND_IN, key[at[:-1]][large], fp[at[:-1]][large])):
+            bucket = ((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            cutat = runs(bucket)  # keys are sorted, and so are their buckets
+            rows += [(int(bucket[a]), kind, _packed(k[a:b], f[a:b])) for a, b in zip(cutat[:-1], cutat[1:], strict=True)]
+        key, fp = key[member], fp[member]
+        rows += [(int(key[a] % np.uint64(buckets)), LARGE, key[a : a + 8192].tobytes() + fp[a : a + 8192].tobytes()) for a in range(0, len(key), 8192)]
+        for i, (_, _, sets, need) in enumerate(held):
+            rows.append((i % buckets, NEED, sets.tobytes() + need.tobytes()))
+        b, k, p = zip(*rows, strict=True)
+        yield pa.record_batch([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(p, pa.binary())], names=["bucket", "kind", "payload"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, seen = [], 0, set()
@@ -164,9 +190,9 @@ def _keys(width: int, percent: int, buckets: int):
                 seen.clear()
             size = np.diff(offs)[pick]
             idx = np.repeat(offs[pick], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            key, row = segment_keys(h[idx], np.concatenate([[0], np.cumsum(size)]), percent)
+            key, row, need = segment_keys(h[idx], np.concatenate([[0], np.cumsum(size)]), percent)
             if len(key):
-                held.append((key, fp[pick][row]))
+                held.append((key, fp[pick][row], fp[pick], need))
                 n += len(key)
             if n >= FOLD:
                 yield from send(held)
@@ -177,27 +203,48 @@ def _keys(width: int, percent: int, buckets: int):
     return keys
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets with a key in common, as links from the smallest; never all pairs."""
+def _packed(key: np.ndarray, fp: np.ndarray) -> bytes:
+    """Sorted keys as differences, sets by their place in a table; byte planes that are zero compress to nothing."""
+    table, place = np.unique(fp, return_inverse=True)
+    return b"".join([np.array([len(key), len(table)], "<u4").tobytes(), table.tobytes(), planes(np.diff(key, prepend=np.uint64(0))), planes(place.astype("<u4"))])
+
+
+def _unpacked(buf: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    b = memoryview(buf)
+    n, k = np.frombuffer(b[:8], "<u4").tolist()
+    table, b = np.frombuffer(b[8 : 8 + 8 * k], np.int64), b[8 + 8 * k :]
+    return np.cumsum(from_planes(b, "<u8", n), dtype=np.uint64), table[from_planes(b[8 * n :], "<u4", n)]
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, fp, need): sets of each key that two or more have; rows without a key say how many such keys a set needs."""
+
+    def out(key: np.ndarray, fp: np.ndarray, need: np.ndarray | None = None) -> pa.RecordBatch:
+        none = pa.nulls(len(fp), pa.int64())
+        return pa.record_batch([none if need is not None else pa.array(signed(key)), pa.array(fp), none if need is None else pa.array(need)], names=["key", "fp", "need"])
+
     for group in grouped(batches, "bucket"):
-        key, fp = [], []
-        for p in group["payload"]:
+        parts: dict[int, list] = {SETS: [], STAND_IN: []}
+        for kind, p in zip(group["kind"].to_pylist(), group["payload"], strict=True):
+            if kind in parts:
+                parts[kind].append(_unpacked(p.as_buffer()))
+                continue
             x = np.frombuffer(p.as_buffer(), np.uint64)
-            key.append(x[: len(x) // 2])
-            fp.append(x[len(x) // 2 :].view(np.int64))
-        key, fp = np.concatenate(key), np.concatenate(fp)
+            a, b = x[: len(x) // 2], x[len(x) // 2 :].view(np.int64)
+            yield out(a, b) if kind == LARGE else out(a, a.view(np.int64), b)
+        if not parts[SETS]:
+            continue
+        key, fp = (np.concatenate(x) for x in zip(*parts[SETS], strict=True))
         order = np.lexsort((fp, key))
         key, fp = key[order], fp[order]
         at = runs(key, fp)[:-1]
         key, fp = key[at], fp[at]
         at = runs(key)
-        hub = np.repeat(fp[at[:-1]], np.diff(at))
-        rest = hub != fp
-        hub, fp = hub[rest], fp[rest]
-        order = np.lexsort((fp, hub))
-        hub, fp = hub[order], fp[order]
-        at = runs(hub, fp)[:-1]
-        yield pa.record_batch([pa.array(hub[at]), pa.array(fp[at])], names=["a", "b"])
+        several = np.diff(at) > 1
+        if parts[STAND_IN]:
+            several |= np.isin(key[at[:-1]], np.concatenate([a for a, _ in parts[STAND_IN]]))
+        member = np.repeat(several, np.diff(at))
+        yield out(key[member], fp[member])
 
 
 def _sets(width: int):
@@ -306,39 +353,51 @@ def _verify(percent: int):
     return verify
 
 
-def ngram_join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included)."""
+def ngram_join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, keep_rid: bool = False) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included); with keep_rid the row's key too."""
     spark = docs.sparkSession
     rows = text_rows(docs)
     buckets = bucket_count(docs, BUCKET)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
     sized = cut(rows.mapInArrow(_sizes(width), "rid long, doc_id long, n_shingles long, fp long"))
-    keys = rows.select("text").mapInArrow(_keys(width, percent, buckets), "bucket int, payload binary")
-    candidates = keys.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_stars, "a long, b long")
-    near = connected(candidates)
+    keys = rows.select("text").mapInArrow(_keys(width, percent, buckets), "bucket int, kind int, payload binary")
+    met = stored(keys.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_meetings, "key long, fp long, need long"))
+    needs = met.filter("need IS NOT NULL").groupBy("fp").agg(F.min("need").alias("need"))
+    left = met.filter("need IS NULL").select("key", "fp")
+    # a set that meets others under fewer keys than a link shares has no link
+    enough = left.groupBy("fp").agg(F.count("*").alias("c")).join(needs, "fp").filter("c >= need").select("fp")
+    left = left.join(enough, "fp")
+    hubs = left.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("other")).filter("hub <> other").select("key", "hub")
+    near = connected(left.join(hubs, "key").select("fp", "hub"), "fp", "hub")
     near = near.select(F.col("node").alias("fp"), F.col("root").alias("block")).union(near.select(F.col("root").alias("fp"), F.col("root").alias("block")).distinct())
     # a class is read from one of its rows
     classes = sized.filter("n_shingles > 0").groupBy("fp").agg(F.min("rid").alias("rid"), F.min("n_shingles").alias("n"), F.min("doc_id").alias("least"))
-    order = Window.partitionBy("block").orderBy("n", "fp")
-    members = near.join(classes, "fp").select("fp", "rid", "block", "n", F.floor((F.row_number().over(order) - 1) / PART).alias("part"))
+    members = near.join(classes, "fp").select("fp", "rid", "block", "n", F.floor(F.log("n") * 5).alias("s"))
+    # only blocks of more than PART sets are parted: by size, and each size by hash
+    sizes = members.groupBy("block", "s").agg(F.count("*").alias("c"))
+    large = sizes.groupBy("block").agg(F.sum("c").alias("t")).filter(F.col("t") > PART)
+    large = sizes.join(large, "block").select("block", "s", F.ceil(F.col("c") / PART).alias("k"))
+    part = F.when(F.col("k").isNull(), F.lit(0)).otherwise(F.col("s") * (1 << 24) + F.pmod(F.xxhash64("fp"), F.col("k")))
+    members = members.join(large, ["block", "s"], "left").select("fp", "rid", "block", "n", part.alias("part"))
     members = cut(members)
     parts = members.groupBy("block", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = parts.select("block", F.col("part").alias("part2"), F.col("lo").alias("lo2"))
-    pairs = parts.join(other, "block").filter((F.col("part") <= F.col("part2")) & (100 * F.col("hi") >= percent * F.col("lo2")))
+    other = parts.select("block", F.col("part").alias("part2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = parts.join(other, "block").filter((F.col("part") <= F.col("part2")) & (100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo")))
     pairs = pairs.withColumn("task", F.xxhash64("block", "part", "part2"))
     seats = pairs.select("block", "task", F.explode(F.array_distinct(F.array("part", "part2"))).alias("part"), (F.col("part") == F.col("part2")).alias("alone"), F.col("part").alias("p1"))
     seats = seats.select("block", "part", "task", (~F.col("alone") & (F.col("part") != F.col("p1"))).alias("right"))
-    texts = rows.join(members.select("rid", "fp"), "rid").select("text", "fp").mapInArrow(_sets(width), "fp long, members binary")
+    texts = rows.join(members.select("rid", "fp").distinct(), "rid").select("text", "fp").mapInArrow(_sets(width), "fp long, members binary")
     seated = members.join(seats, ["block", "part"]).select("fp", "task", "right").join(texts, "fp")
     links = seated.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_verify(percent), "a long, b long")
     joined = connected(links)
     classes = classes.select("fp", "least").join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     alone = F.col("n_shingles") == 0
-    return sized.join(ids, "fp", "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return sized.join(ids, "fp", "left").select(*(["rid"] if keep_rid else []), "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """`docs` with one row of each component: that of the smallest doc_id (of rows that repeat it, one)."""
-    kept = ngram_join(docs, width, percent).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    found = ngram_join(docs, width, percent, keep_rid=True).filter("doc_id <=> component_id")
+    kept = found.groupBy("doc_id").agg(F.min("rid").alias("_rid")).select("_rid").distinct()
+    return docs.withColumn("_rid", row_key()).join(kept, "_rid", "left_semi").dropDuplicates(["_rid"]).drop("_rid")
