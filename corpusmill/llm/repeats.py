@@ -6,12 +6,13 @@ same place.  The stages:
 
 1. Tasks hash the seeds, and of each the whole context in which windows through it can lie.
    Seeds travel as packed arrays, one per bucket of the hash space, with repeats inside a batch
-   of texts already folded together; so no seed, however common, is a large group.
+   of texts already folded together.  A seed with many contexts in a batch is dealt out by context.
 2. In a bucket, a seed whose whole context occurs again is settled: all of it is repeated.  A
    seed that occurs again in other contexts is left open, and each distinct context of it is
    fetched once from its text.
 3. Open seeds are solved by group (see `Solver`): how far to the left and right of each do
-   repeated windows reach.
+   repeated windows reach.  A seed with more than COUNT contexts is no group: its windows are
+   counted by hash instead.
 4. Spans are gathered for each text.
 
 Rows are told apart by a hash of (doc_id, text), so repeated rows count as two occurrences and
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES, OTHER, WORDS, bucket_count, chunks, cut, grouped, mixed, row_key, runs, text_rows, view, words
+from .common import BYTES, OTHER, WORDS, bucket_count, chunks, cut, from_planes, grouped, mixed, planes, row_key, runs, text_rows, view, words
 
 #: Bytes of a word's hash in a context.
 SHORT = 6
@@ -36,7 +37,11 @@ BUCKET = 16 << 20
 #: Seeds folded together at once before they are sent out.
 FOLD = 1_200_000
 
-SEED = np.dtype([("h", "<u8"), ("f", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("many", "?")])
+SEED = np.dtype([("h", "<u8"), ("f", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("flag", "u1")])
+#: Flags of a seed: its context recurs in its batch; its seed is common there; it only stands for common ones.
+MANY, COMMON, STAND_IN = 1, 2, 4
+#: Contexts of one seed in a batch from which they are dealt out by context, and in the corpus from which windows are counted instead of compared.
+DEAL, COUNT = 64, 65_536
 OPEN = np.dtype([("h", "<u8"), ("pos", "<i4"), ("alone", "?")])
 
 
@@ -81,8 +86,17 @@ def _emit(kind: str, window: int, seed: int, places: Places, buckets: int):
         again = np.repeat(n > 1, n)
         doc, pos = s["doc"][again], s["pos"][again]
         s = s[at[:-1]]
-        s["many"] |= n > 1
-        bucket = ((s["h"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        s["flag"][n > 1] |= MANY
+        # a common seed is dealt out by its contexts; one row stands in for them where the seed's other rows go
+        at = runs(s["h"])
+        n = np.diff(at)
+        stand_in = s[at[:-1]][n > DEAL]
+        stand_in["f"], stand_in["flag"] = 0, STAND_IN
+        s["flag"][np.repeat(n > DEAL, n)] |= COMMON
+        s = np.concatenate([s, stand_in])
+        s = s[np.lexsort((s["f"], s["h"]))] if len(stand_in) else s
+        to = np.where(s["flag"] & COMMON, mixed(s["h"] ^ s["f"]), s["h"])
+        bucket = ((to >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         s, bucket = s[order], bucket[order]
         at = runs(bucket)
@@ -125,21 +139,11 @@ def _by_doc(doc: np.ndarray, *cols: np.ndarray) -> Iterator[tuple]:
         yield int(doc[a]), *(c[a:b] for c in cols)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Byte by byte of each value, so that bytes that are mostly zero lie together and compress to nothing."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-
-
-def _from_planes(buf: memoryview, kind: str, n: int) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(buf[: n * size], np.uint8).reshape(size, n).T).view(kind).ravel()
-
-
 def _packed(s: np.ndarray) -> bytes:
     """Seeds of one bucket, sorted by hash: hashes as differences, documents by their place in a table."""
     docs, place = np.unique(s["doc"], return_inverse=True)
     head = np.array([len(s), len(docs)], "<u4")
-    return b"".join([head.tobytes(), docs.astype("<i8").tobytes(), _planes(np.diff(s["h"], prepend=np.uint64(0))), s["f"].tobytes(), _planes(place.astype("<u4")), _planes(s["pos"]), np.packbits(s["many"]).tobytes()])
+    return b"".join([head.tobytes(), docs.astype("<i8").tobytes(), planes(np.diff(s["h"], prepend=np.uint64(0))), s["f"].tobytes(), planes(place.astype("<u4")), planes(s["pos"]), s["flag"].tobytes()])
 
 
 def _unpacked(buf: pa.Buffer) -> np.ndarray:
@@ -147,11 +151,11 @@ def _unpacked(buf: pa.Buffer) -> np.ndarray:
     n, k = np.frombuffer(b[:8], "<u4").tolist()
     docs, b = np.frombuffer(b[8 : 8 + 8 * k], "<i8"), b[8 + 8 * k :]
     out = np.zeros(n, SEED)
-    out["h"] = np.cumsum(_from_planes(b, "<u8", n), dtype=np.uint64)
+    out["h"] = np.cumsum(from_planes(b, "<u8", n), dtype=np.uint64)
     out["f"] = np.frombuffer(b[8 * n : 16 * n], "<u8")
-    out["doc"] = docs[_from_planes(b[16 * n :], "<u4", n)]
-    out["pos"] = _from_planes(b[20 * n :], "<i4", n)
-    out["many"] = np.unpackbits(np.frombuffer(b[24 * n :], np.uint8), count=n)
+    out["doc"] = docs[from_planes(b[16 * n :], "<u4", n)]
+    out["pos"] = from_planes(b[20 * n :], "<i4", n)
+    out["flag"] = np.frombuffer(b[24 * n : 25 * n], np.uint8)
     return out
 
 
@@ -174,10 +178,13 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = s[np.lexsort((s["f"], s["h"]))]
             at = runs(s["h"])
             size = np.repeat(np.diff(at), np.diff(at))
-            s = s[(size > 1) | s["many"]]
+            s = s[(size > 1) | (s["flag"] > 0)]
+            common = (s["flag"] & (COMMON | STAND_IN)) > 0
+            shared = set(s["h"][common].tolist())
+            s = s[(s["flag"] & STAND_IN) == 0]
             at = runs(s["h"], s["f"])
             n = np.diff(at)
-            many = np.add.reduceat(s["many"].astype(np.int64), at[:-1]) > 0 if len(s) else np.zeros(0, bool)
+            many = np.add.reduceat((s["flag"] & MANY).astype(np.int64), at[:-1]) > 0 if len(s) else np.zeros(0, bool)
             again = (n > 1) | many
             each = np.repeat(again, n)
             for d, p in _by_doc(s["doc"][each], s["pos"][each]):
@@ -187,7 +194,10 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(first):
                 g = runs(first["h"])
                 size, alone = np.diff(g), np.add.reduceat((~again).astype(np.int64), g[:-1])
-                pick = np.repeat((size > 1) & (alone > 0), size)
+                several = (size > 1) & (alone > 0)
+                if shared:  # other contexts of these are elsewhere
+                    several |= np.isin(first["h"][g[:-1]], np.array(list(shared), np.uint64))
+                pick = np.repeat(several, size)
                 o = np.zeros(int(pick.sum()), OPEN)
                 o["h"], o["pos"], o["alone"] = first["h"][pick], first["pos"][pick], ~again[pick]
                 for d, x in _by_doc(first["doc"][pick], o):
@@ -258,6 +268,54 @@ def _solve(solver: Solver):
     return solve
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, n): contexts of open seeds, counted by batch."""
+    for batch in batches:
+        open_ = [np.frombuffer(x.as_buffer(), OPEN)["h"] for x in batch.column("open") if x.is_valid]
+        if open_:
+            h, n = np.unique(np.concatenate(open_), return_counts=True)
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+
+def _windows(window: int, seed: int, unit: int):
+    """(key, doc, pos, o, alone): a hash of each whole window through a seed, o units of it lying before the seed."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                cols: list[list] = [[], [], [], [], []]
+                for doc, pos, left, right, alone in zip(*(batch.column(k).to_pylist() for k in ("doc", "pos", "left", "right", "alone")), strict=True):
+                    l, r = (np.frombuffer(x, np.uint8).reshape(-1, unit) for x in (left, right))
+                    text = np.concatenate([l[::-1], r]).ravel()
+                    sums, more = BYTES.sums(text), OTHER.sums(text)
+                    o = np.arange(max(0, window - len(r)), len(l) + 1)
+                    begin = (len(l) - o) * unit
+                    end = begin + window * unit
+                    keys = BYTES.slices(sums, begin, end) ^ (OTHER.slices(more, begin, end) << np.uint64(1))
+                    for c, v in zip(cols, (keys.view(np.int64), np.full(len(o), doc), np.full(len(o), pos), o, np.full(len(o), alone)), strict=True):
+                        c.append(v)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+                yield pa.record_batch([pa.array(np.concatenate(c), k) for c, k in zip(cols, kinds, strict=True)], names=["key", "doc", "pos", "o", "alone"])
+
+    return windows
+
+
+def _counted(opened: DataFrame, window: int, seed: int, unit: int) -> DataFrame:
+    """Spans of seeds with very many contexts: windows that occur twice are found by counting, which is summed before the shuffle, so no group is gathered."""
+    w = opened.mapInArrow(_windows(window, seed, unit), "key long, doc long, pos int, o int, alone boolean")
+    occurrence = F.struct("doc", (F.col("pos") - F.col("o")).alias("at"))  # two seeds may lie in one window
+    twice = w.groupBy("key").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b")).filter("a <> b").select("key")
+    reach = w.filter("alone").join(twice, "key").groupBy("doc", "pos").agg(F.max("o").alias("l"), F.min("o").alias("s"))
+    span = F.struct((F.col("pos") - F.col("l")).alias("a"), (F.col("pos") - F.col("s") + window).alias("b"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _spans([b.column("doc").to_numpy()], [b.column("a").to_numpy()], [b.column("b").to_numpy()])
+
+    return reach.select("doc", span.alias("x")).select("doc", "x.a", "x.b").mapInArrow(pack, "doc long, spans binary")
+
+
 def _spans(doc: list, begin: list, end: list) -> pa.RecordBatch:
     rows = [(d, np.stack([a, b], 1).astype("<i4").tobytes()) for d, a, b in _by_doc(np.concatenate(doc), np.concatenate(begin), np.concatenate(end))]
     d, s = zip(*rows, strict=True)
@@ -289,7 +347,15 @@ def find_repeats(docs: DataFrame, kind: str, window: int, seed: int, places: Pla
     need = found.filter("open IS NOT NULL").groupBy(F.col("doc").alias("rid")).agg(F.collect_list("open").alias("open"))
     opened = rows.join(need, "rid", "left").filter("open IS NOT NULL")
     opened = opened.select("rid", "doc_id", "text", "open").mapInArrow(_fetch(kind, window, seed), "h long, doc long, pos int, left binary, right binary, alone boolean")
+    tally = found.filter("open IS NOT NULL").select("open").mapInArrow(_tally, "h long, n long")
+    common = cut(tally.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > COUNT).select("h"))
+    counted = None
+    if not common.isEmpty():
+        opened = cut(opened)
+        counted = _counted(opened.join(common, "h"), window, seed, SHORT if kind == "words" else 1)
+        opened = opened.join(common, "h", "left_anti")
     spans = opened.repartition(n, "h").sortWithinPartitions("h", "right").mapInArrow(_solve(solver), "doc long, spans binary")
+    spans = spans if counted is None else spans.unionByName(counted)
     both = found.filter("settled IS NOT NULL").select("doc", "settled", F.lit(None).cast("binary").alias("spans")).unionByName(spans.withColumn("settled", F.lit(None).cast("binary")))
     both = both.groupBy(F.col("doc").alias("rid")).agg(F.collect_list("settled").alias("settled"), F.collect_list("spans").alias("spans"))
     if columns is None:
