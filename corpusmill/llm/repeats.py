@@ -4,7 +4,8 @@ A sequence is a text's words or its bytes; a window is `window` consecutive unit
 shorter slice chosen so that two equal windows, wherever they lie, hold an equal seed at the
 same place.  The stages:
 
-1. Tasks hash the seeds, and of each the whole context in which windows through it can lie.
+1. Tasks hash the seeds, and of each the whole context in which windows through it can lie, with
+   the seed's place in it.
    Seeds travel as packed arrays, one per bucket of the hash space, with repeats inside a batch
    of texts already folded together.  A seed with many contexts in a batch is dealt out by context.
 2. In a bucket, a seed whose whole context occurs again is settled: all of it is repeated.  A
@@ -117,7 +118,9 @@ def _emit(kind: str, window: int, seed: int, places: Places, buckets: int):
             row = np.searchsorted(x.offs, at, "right") - 1
             out = np.zeros(len(at), SEED)
             out["h"] = x.hashes(at, at + seed)
-            out["f"] = x.contexts(np.maximum(at - (window - seed), x.offs[row]), np.minimum(at + window, x.offs[row + 1]))
+            begin = np.maximum(at - (window - seed), x.offs[row])
+            # the seed's place in its context is part of f: seeds at two places of one clipped context are no second occurrence of it
+            out["f"] = mixed(x.contexts(begin, np.minimum(at + window, x.offs[row + 1])) + (at - begin).astype(np.uint64))
             out["doc"], out["pos"] = x.doc[row], at - x.offs[row]
             held.append(out)
             n += len(at)

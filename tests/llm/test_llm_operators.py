@@ -387,3 +387,27 @@ def test_common_seeds_are_dealt_out_and_counted(spark, docs, rows, monkeypatch):
             monkeypatch.setattr(repeats, "COUNT", count)
             assert Counter(tuple(r) for r in op(df, *args).collect()) == want
         monkeypatch.undo()
+
+
+def test_periodic_short_texts_are_not_their_own_repeats(spark):
+    """A text little longer than a window, with a period inside, holds equal seeds in one context that occurs once."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuv") for _ in range(6))
+    texts = []
+    for n in range(35, 57):
+        for period in (1, 5, 20, 21, n // 2):
+            line = [word() for _ in range(period)]
+            texts.append(" ".join((line * n)[:n]))
+            lead, line = rng.randrange(8), [word() for _ in range(period)]  # the period begins and ends inside the text
+            texts.append(" ".join([*(word() for _ in range(lead)), *(line * n)[: n - lead - 1], word()]))
+    for n in range(400, 601, 8):
+        for period in (1, 37, 150, 199, 210):
+            line, other = ("".join(rng.choice("abcdefgh ") for _ in range(period)) for _ in range(2))
+            texts += [(line * n)[:n], "<" + (other * n)[: n - 2] + ">"]
+    texts += [texts[2], texts[5], texts[5] + " tail", texts[-2], "head " + texts[-4]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    for op, window, units in ((substring_dedup.substring_dedup, 35, [tuple(WORD.findall(t)) for t in texts]), (suffix_dedup.suffix_dedup, 400, [t.encode() for t in texts])):
+        c = Counter(u[i : i + window] for u in units for i in range(len(u) - window + 1))
+        want = {d: len({i + k for i in range(len(u) - window + 1) if c[u[i : i + window]] > 1 for k in range(window)}) for d, u in enumerate(units)}
+        assert sum(n == 0 and len(units[d]) >= window for d, n in want.items()) > 20 and any(want.values())
+        assert {r.doc_id: r.n_removed for r in op(df, window).collect()} == want
