@@ -354,7 +354,7 @@ def _verify(percent: int):
 
 
 def ngram_join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, keep_rid: bool = False) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included); with keep_rid the row's key too."""
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included); with keep_rid the row's key and its component's root too (null: the set is empty)."""
     spark = docs.sparkSession
     rows = text_rows(docs)
     buckets = bucket_count(docs, BUCKET)
@@ -391,13 +391,16 @@ def ngram_join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, ke
     links = seated.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_verify(percent), "a long, b long")
     joined = connected(links)
     classes = classes.select("fp", "least").join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    ids = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
     alone = F.col("n_shingles") == 0
-    return sized.join(ids, "fp", "left").select(*(["rid"] if keep_rid else []), "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return sized.join(ids, "fp", "left").select(*(["rid", "root"] if keep_rid else []), "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """`docs` with one row of each component: that of the smallest doc_id (of rows that repeat it, one)."""
-    found = ngram_join(docs, width, percent, keep_rid=True).filter("doc_id <=> component_id")
-    kept = found.groupBy("doc_id").agg(F.min("rid").alias("_rid")).select("_rid").distinct()
-    return docs.withColumn("_rid", row_key()).join(kept, "_rid", "left_semi").dropDuplicates(["_rid"]).drop("_rid")
+    """`docs` with one row of each component: that of the smallest doc_id, null ids last (of rows that repeat it, one).  Texts without words link with nothing, so all of them stay."""
+    found = ngram_join(docs, width, percent, keep_rid=True).filter("root IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid"))
+    kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.rid").alias("_rid"))
+    worded = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    out = docs.filter(worded).withColumn("_rid", row_key()).join(kept, "_rid", "left_semi").dropDuplicates(["_rid"]).drop("_rid")
+    return out.union(docs.filter(~worded))

@@ -126,6 +126,38 @@ def test_ngram_join(docs, rows, nothing):
     assert ngram_join.keep_one_of_each(docs).columns == docs.columns
 
 
+def test_one_of_each_keeps_unlinked_rows_with_null_and_reused_ids(spark):
+    rng = random.Random(23)
+    prose = lambda: [rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(60)]
+    rows = []
+    for i in range(24):
+        w = prose()
+        near = " ".join([*w[:-1], "changed"])
+        ids = [(None, None), (None, i), (i, None), (7, 7), (i, i + 100), (7, None)][i % 6]
+        rows += [(ids[0], " ".join(w)), (ids[1], near)] if i % 3 else [(ids[0], " ".join(w))]
+    rows += [rows[0], rows[3], (None, None), (None, ""), (None, " \n"), (3, None), (3, "\t"), (7, "one two"), (7, "two one"), (None, "two one")]
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(ascii_lower(t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    groups = {}
+    for r, row in zip(root, rows, strict=True):
+        groups.setdefault(r, []).append(row)
+    got = Counter(tuple(r) for r in ngram_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    least = lambda own: min(((d is None, d or 0) for d, _ in own))
+    assert got.total() == len(groups)
+    for own in groups.values():
+        best = {row for row in own if (row[0] is None, row[0] or 0) == least(own)}
+        assert sum(got[row] for row in best) >= 1
+    assert {t for _, t in got} >= {None, "", " \n", "\t"}
+
+
 def test_segment_keys_lose_no_pair():
     rng = np.random.default_rng(8)
     for percent in (80, 90):
