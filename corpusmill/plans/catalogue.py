@@ -481,10 +481,10 @@ def glossary_state(spark, d):
 
 @query()
 def fuzzy_entities(spark, d):
-    """Names of benchmark items and of conversations that are the same but for small changes."""
-    a = table(spark, d, "benchmark").select(F.explode(T.matches("text", T.PROPER)).alias("a")).filter("length(a) >= 5").distinct()
-    b = table(spark, d, "conversations").select(F.explode(T.matches("text", T.PROPER)).alias("b")).filter("length(b) >= 5").distinct()
-    return resolve.fuzzy_match(a, b)
+    """Names of benchmark items and of conversations that are the same but for small changes, or name one entity by words, exonyms or stems."""
+    a = table(spark, d, "benchmark").select(F.explode(T.matches("text", T.PROPER)).alias("a")).distinct()
+    b = table(spark, d, "conversations").select(F.explode(T.matches("text", T.PROPER)).alias("b")).distinct()
+    return resolve.same_entity(a, b)
 
 
 # pages ------------------------------------------------------------------------------------

@@ -1,6 +1,9 @@
 """Operators on small tables written for them."""
 
+import random
+import re
 from collections import Counter
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -85,6 +88,35 @@ def test_fuzzy(spark):
     assert [(r.a, r.b) for r in resolve.fuzzy_match(a, b).collect()] == [("Stephenson", "Stephensen")]
 
 
+def _equivalent(a, b):
+    """All pairs by brute force: ratio, words inside, exonyms, stems."""
+    e, f = a.strip().casefold(), b.strip().casefold()
+    t, u = ({w for w in re.findall(r"\w+", x) if len(w) > 2} for x in (e, f))
+    if e == f or (t and u and (t <= u or u <= t)) or (e, f) in resolve.EXONYMS or (f, e) in resolve.EXONYMS or SequenceMatcher(None, e, f).ratio() >= 0.82:
+        return True
+    r, s = ([resolve.stem(w) for w in re.findall(r"\w+", x) if len(w) > 3] for x in (e, f))
+    return any(p == q or (len(p) >= 4 and len(q) >= 4 and (p.startswith(q) or q.startswith(p))) for p in r for q in s)
+
+
+def test_fuzzy_loses_no_pair(spark):
+    rng = random.Random(3)
+    a = ["Jakarta", "Mohammed", "Johannes", "Bo", "Al", "Russian Empire", "Bank of England", "Democracy", "The Hague", "Philosophy", "Ann", "straße", "Buruh", "Old The", "ISME"]
+    b = ["Djakarta", "Muhammed", "Yohannes", "BO", "Ali", "Kekaisaran Rusia", "England", "Demokrasi", "Hague", "Filosofi", "Anne", "STRASSE", "Blue-collar worker", "The", "Tion"]
+    a += ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 24))) for _ in range(120)]
+    for w in a[-120:]:
+        w = list(w)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "e"])
+        b.append("".join(w))
+    x, y = spark.createDataFrame([(n,) for n in [*a, None]], "a string"), spark.createDataFrame([(n,) for n in [*b, None]], "b string")
+    alike = {(p, q): SequenceMatcher(None, p.strip().casefold(), q.strip().casefold()).ratio() for p in a for q in b}
+    got = resolve.fuzzy_match(x, y).collect()
+    assert {(r.a, r.b): r.ratio for r in got} == {k: v for k, v in alike.items() if v >= 0.82} and len({(r.a, r.b) for r in got}) == len(got)
+    got = resolve.same_entity(x, y).collect()
+    assert {(r.a, r.b): r.ratio for r in got} == {k: v for k, v in alike.items() if _equivalent(*k)} and len({(r.a, r.b) for r in got}) == len(got)
+
+
 def test_packing_starts_again(spark):
     df = spark.createDataFrame([("g", i, n) for i, n in enumerate([100, 100, 100, 400, 10, 240, 1])], "g string, k int, n int")
     assert [r.pack for r in ordered.greedy_pack(df, "g", "k", "n", 250).orderBy("k").collect()] == [0, 0, 1, 2, 3, 3, 4]
