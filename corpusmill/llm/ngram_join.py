@@ -2,18 +2,23 @@
 
 A document's set holds the hashes of its distinct shingles.  Documents with equal sets form a
 class and one of them stands for all.  For two sets that link, the number of shingles in only one
-of them is bounded; so when the hash space is cut into more segments than that, some segment holds
-the same shingles in both.  Hashes of segments are keys, and sets that link share a key; as differences
-fall on segments at random they share many, so a set that meets others under too few keys is left
-out.  What remains is put in blocks by keys in common.  In a block, sets are put in a signature tree
+of them is bounded; so when the hash space is cut into more segments than that, some segments hold
+the same shingles in both.  Hashes of segments are keys, and sets that link share at least as many
+keys as there are segments beyond the bound; a set that meets others under fewer keys has no link.
+What remains is put in blocks by keys in common.  In a block, sets are put in a signature tree
 whose nodes hold OR-combined bitmaps and size ranges; two trees are walked together, and a pair of
 nodes is dropped when the largest overlap it allows is too small or it is one component already.
-Pairs that remain are compared in full.  Large blocks are cut into parts by size, and pairs of
-parts are joined in tasks of their own.
+Pairs that remain are compared in full.
+
+A large block is cut into parts by size.  First each part is joined with itself and with one part
+of its size, which makes a group of near copies one component.  Only where a block is more than one
+component after that, sets are dealt out again by component, and pairs of parts that are not one
+component already are joined in tasks of their own.
 
 Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z.  A text with fewer words than a shingle has
 its whole word sequence as one; null texts and texts without words have an empty set and link with
-nothing.  Repeated rows are in one class.  An empty table gives an empty result.
+nothing.  Repeated rows are in one class, and null ids come after all others.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BYTES, WORDS, bucket_count, chunks, connected, cut, from_planes, grouped, lowered, mixed, owners, planes, row_key, runs, signed, stored, text_rows, view, words
@@ -30,10 +35,10 @@ from .common import BYTES, WORDS, bucket_count, chunks, connected, cut, from_pla
 SHINGLE, PERCENT = 5, 80
 #: Sizes are put in classes that grow by half.
 GROWTH = 1.5
-#: Bytes of text behind one bucket of segment keys, and keys sent at once.
-BUCKET, FOLD = 16 << 20, 1_000_000
-#: Sets in one part of a block.
-PART = 1024
+#: Bytes of text behind one bucket of segment keys, keys sent at once, and sets that a task remembers as sent.
+BUCKET, FOLD, REMEMBERED = 4 << 20, 250_000, 50_000
+#: Sets in one part of a block, and their members.
+PART, PART_MEMBERS = 1024, 500_000
 LEAF, FAN = 8, 8
 #: Sets of one key in a batch from which they are sent on as they are.
 GROUP = 12
@@ -98,13 +103,6 @@ def _jobs(n: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
     return jobs
 
 
-def least_spared(k: int, m: int) -> int:
-    """Segments that k differences leave alone: never under m - k, and, as they fall at random, with odds below 10^-8 not six standard deviations under the mean."""
-    mean, load = m * (1 - 1 / m) ** k, k / m
-    deviation = (m * np.exp(-load) * (1 - (1 + load) * np.exp(-load))) ** 0.5
-    return max(m - k, int(mean - 6 * deviation))
-
-
 def segment_keys(h: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, row of each, need of each row).  Sets that link share a key; a set shares at least `need` of its keys with any set that it links to.
 
@@ -132,7 +130,7 @@ def segment_keys(h: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.ndar
         rows.append(own[place // m])
         # where more segments are empty than are spared, emptiness is a key too
         full = np.bincount(place // m, minlength=len(own))
-        need[own] = np.minimum(need[own], np.maximum(1, least_spared(k, m) - (m - full)))
+        need[own] = np.minimum(need[own], np.maximum(1, m - k - (m - full)))
         bare = np.flatnonzero(m - full >= m - k)
         for b in bare:
             seen = np.zeros(m, bool)
@@ -177,17 +175,14 @@ def _keys(width: int, percent: int, buckets: int):
         yield pa.record_batch([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(p, pa.binary())], names=["bucket", "kind", "payload"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, seen = [], 0, set()
+        held, n, seen = [], 0, np.zeros(0, np.uint64)
         for batch in chunks(batches):
             h, offs = shingle_sets(batch, width)
             fp = fingerprints(h, offs)
-            fresh = np.array([x not in seen for x in fp.tolist()], bool)
             first = np.zeros(len(fp), bool)
             first[np.unique(fp, return_index=True)[1]] = True
-            pick = np.flatnonzero(fresh & first)
-            seen.update(fp[pick].tolist())
-            if len(seen) > 1_000_000:
-                seen.clear()
+            pick = np.flatnonzero(first & ~np.isin(fp, seen))
+            seen = fp[pick] if len(seen) > REMEMBERED else np.concatenate([seen, fp[pick]])
             size = np.diff(offs)[pick]
             idx = np.repeat(offs[pick], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             key, row, need = segment_keys(h[idx], np.concatenate([[0], np.cumsum(size)]), percent)
@@ -333,33 +328,34 @@ def _verify(percent: int):
         for i, x in enumerate(fp.tolist()):
             first.setdefault(x, i)
         pick = list(first.values())
-        fp = fp[pick]
         sets = [np.frombuffer(t["members"][i].as_buffer(), np.uint64) for i in pick]
         side = t["right"].to_numpy(zero_copy_only=False)[pick]
         bits = 1 << max(9, int(2 * max(map(len, sets)) - 1).bit_length())
-        root, everyone = list(range(len(sets))), np.arange(len(sets))
+        _, at, inverse = np.unique(t["comp"].to_numpy()[pick], return_index=True, return_inverse=True)
+        root, everyone = at[inverse].tolist(), np.arange(len(sets))  # sets of one component begin as one
         parts = [everyone[~side], everyone[side]]
         trees = [SignatureTree(sets, p, bits) for p in parts if len(p)]
-        pairs = tree_join(trees[0], trees[-1], sets, percent, root)
-        found = [(int(fp[p]), int(fp[q])) for p, q in pairs]
-        return [x for x, _ in found], [y for _, y in found]
+        pairs = list(tree_join(trees[0], trees[-1], sets, percent, root))
+        return [pick[p] for p, _ in pairs], [pick[q] for _, q in pairs]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "task"):
             a, b = solve(group)
             if a:
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                group = group.select(["last", "least", "fp"]).combine_chunks()
+                one, two = (pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in group.take(pa.array(i)).columns], names=["last", "least", "fp"]) for i in (a, b))
+                yield pa.record_batch([one, two], names=["a", "b"])
 
     return verify
 
 
-def ngram_join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, keep_rid: bool = False) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included); with keep_rid the row's key and its component's root too (null: the set is empty)."""
-    spark = docs.sparkSession
-    rows = text_rows(docs)
-    buckets = bucket_count(docs, BUCKET)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
-    sized = cut(rows.mapInArrow(_sizes(width), "rid long, doc_id long, n_shingles long, fp long"))
+#: A class as a node of the link graph: classes are ordered by their smallest doc_id, so the root of a component has the component's.
+NODE = "struct<last:boolean,least:long,fp:long>"
+
+
+def _blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(fp, block): sets that may link, in blocks that no link leaves."""
+    buckets = bucket_count(rows, BUCKET)
     keys = rows.select("text").mapInArrow(_keys(width, percent, buckets), "bucket int, kind int, payload binary")
     met = stored(keys.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_meetings, "key long, fp long, need long"))
     needs = met.filter("need IS NOT NULL").groupBy("fp").agg(F.min("need").alias("need"))
@@ -369,38 +365,84 @@ def ngram_join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, ke
     left = left.join(enough, "fp")
     hubs = left.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("other")).filter("hub <> other").select("key", "hub")
     near = connected(left.join(hubs, "key").select("fp", "hub"), "fp", "hub")
-    near = near.select(F.col("node").alias("fp"), F.col("root").alias("block")).union(near.select(F.col("root").alias("fp"), F.col("root").alias("block")).distinct())
+    return near.select(F.col("node").alias("fp"), F.col("root").alias("block")).union(near.select(F.col("root").alias("fp"), F.col("root").alias("block")).distinct())
+
+
+def _links(rows: DataFrame, seats: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links found in the tasks of `seats` (rid, fp, last, least, comp, task, right); sets are made from one text of each class."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), bucket_count(rows, 4 * BUCKET))
+    texts = rows.join(seats.select("rid", "fp").distinct(), "rid").select("text", "fp").mapInArrow(_sets(width), "fp long, members binary")
+    seated = seats.drop("rid").join(texts, "fp")
+    return cut(seated.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_verify(percent), f"a {NODE}, b {NODE}"))
+
+
+def _node() -> Column:
+    return F.struct("last", "least", "fp")
+
+
+def _parts(k: Column, size: Column) -> Column:
+    """Parts that `size` sets with k members in all take."""
+    return F.greatest(F.ceil(size / PART), F.ceil(k / PART_MEMBERS))
+
+
+def ngram_join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, keep_rid: bool = False) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included); with keep_rid the row's key and its component's root too (null: the set is empty)."""
+    rows = text_rows(docs)
+    sized = cut(rows.mapInArrow(_sizes(width), "rid long, doc_id long, n_shingles long, fp long"))
+    near = _blocks(rows, width, percent)
     # a class is read from one of its rows
-    classes = sized.filter("n_shingles > 0").groupBy("fp").agg(F.min("rid").alias("rid"), F.min("n_shingles").alias("n"), F.min("doc_id").alias("least"))
-    members = near.join(classes, "fp").select("fp", "rid", "block", "n", F.floor(F.log("n") * 5).alias("s"))
-    # only blocks of more than PART sets are parted: by size, and each size by hash
-    sizes = members.groupBy("block", "s").agg(F.count("*").alias("c"))
-    large = sizes.groupBy("block").agg(F.sum("c").alias("t")).filter(F.col("t") > PART)
-    large = sizes.join(large, "block").select("block", "s", F.ceil(F.col("c") / PART).alias("k"))
-    part = F.when(F.col("k").isNull(), F.lit(0)).otherwise(F.col("s") * (1 << 24) + F.pmod(F.xxhash64("fp"), F.col("k")))
-    members = members.join(large, ["block", "s"], "left").select("fp", "rid", "block", "n", part.alias("part"))
-    members = cut(members)
-    parts = members.groupBy("block", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = parts.select("block", F.col("part").alias("part2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = parts.join(other, "block").filter((F.col("part") <= F.col("part2")) & (100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo")))
-    pairs = pairs.withColumn("task", F.xxhash64("block", "part", "part2"))
-    seats = pairs.select("block", "task", F.explode(F.array_distinct(F.array("part", "part2"))).alias("part"), (F.col("part") == F.col("part2")).alias("alone"), F.col("part").alias("p1"))
-    seats = seats.select("block", "part", "task", (~F.col("alone") & (F.col("part") != F.col("p1"))).alias("right"))
-    texts = rows.join(members.select("rid", "fp").distinct(), "rid").select("text", "fp").mapInArrow(_sets(width), "fp long, members binary")
-    seated = members.join(seats, ["block", "part"]).select("fp", "task", "right").join(texts, "fp")
-    links = seated.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_verify(percent), "a long, b long")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("least"))).alias("x")
+    classes = sized.filter("n_shingles > 0").groupBy("fp").agg(F.min("rid").alias("rid"), F.min("n_shingles").alias("n"), least).select("fp", "rid", "n", "x.last", "x.least")
+    members = cut(near.join(classes, "fp").withColumn("s", F.floor(F.log("n") * 5).cast("int")))
+    # only blocks beyond PART or PART_MEMBERS are parted: by size, and each size by hash
+    sizes = members.groupBy("block", "s").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    large = sizes.groupBy("block").agg(_parts(F.sum("t"), F.sum("c")).alias("k")).filter("k > 1").select("block")
+    large = cut(sizes.join(large, "block").select("block", "s", _parts(F.col("t"), F.col("c")).cast("long").alias("k")))
+    seats = members.join(large, ["block", "s"], "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("k")))
+    # the first part of each size sits with every part of that size, the others with themselves and with it
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda i: F.xxhash64("block", "s", i))
+    tasks = F.when(F.col("k").isNull(), F.array(F.xxhash64("block"))).when(F.col("part") == 0, every).otherwise(F.array(F.xxhash64("block", "s", "part")))
+    links = _links(rows, seats.select("rid", "fp", "last", "least", F.col("fp").alias("comp"), F.explode(tasks).alias("task"), F.lit(False).alias("right")), width, percent)
     joined = connected(links)
-    classes = classes.select("fp", "least").join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    if not large.isEmpty():
+        again = _second_seats(members.join(large.select("block").distinct(), "block", "left_semi"), joined, percent)
+        if not again.isEmpty():
+            joined = connected(links.union(_links(rows, again, width, percent)))
+    # without a link a class is a component of its own
+    root = joined.select(F.col("node.fp").alias("fp"), F.col("root").alias("_root"))
+    ids = classes.join(root, "fp", "left").select("fp", F.coalesce("_root", _node()).alias("_root"))
     alone = F.col("n_shingles") == 0
-    return sized.join(ids, "fp", "left").select(*(["rid", "root"] if keep_rid else []), "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return sized.join(ids, "fp", "left").select(*(["rid", F.col("_root").alias("root")] if keep_rid else []), "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("_root.least")).alias("component_id"))
+
+
+def _second_seats(members: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Seats for large blocks that are several components: sets of a large component sit in parts of its own, all others by size; pairs of parts of one component are left out."""
+    comp = joined.select(F.col("node.fp").alias("fp"), F.col("root.fp").alias("comp"))
+    m = members.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    several = m.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("block")
+    m = cut(m.join(several, "block", "left_semi"))
+    own = m.groupBy("block", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("t")).filter(F.col("c") >= PART / 4)
+    own = own.select("block", "comp", _parts(F.col("t"), F.col("c")).alias("k"), F.lit(True).alias("own"))
+    m = m.join(own, ["block", "comp"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    mixed_ = m.filter("NOT own").groupBy("block", "s").agg(_parts(F.sum("n"), F.count("*")).alias("k2"))
+    m = m.join(mixed_, ["block", "s"], "left")
+    at = F.when(F.col("own"), F.xxhash64("comp", F.pmod(F.xxhash64("fp"), F.col("k")))).otherwise(F.xxhash64("s", F.lit("s"), F.pmod(F.xxhash64("fp"), F.col("k2"))))
+    m = cut(m.withColumn("part", at).select("rid", "fp", "last", "least", "n", "block", "comp", "own", "part"))
+    parts = m.groupBy("block", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.when(F.col("own"), F.col("comp"))).alias("one"))
+    other = parts.select("block", F.col("part").alias("part2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("one").alias("one2"))
+    pairs = parts.join(other, "block").filter((F.col("part") <= F.col("part2")) & (100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo")))
+    pairs = pairs.filter("NOT coalesce(one = one2, false)").withColumn("task", F.xxhash64("block", "part", "part2"))
+    sides = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("right")), F.struct(F.col("part2").alias("part"), (F.col("part") != F.col("part2")).alias("right")))
+    seats = pairs.select("block", "task", F.explode(sides).alias("x")).select("block", "task", "x.part", "x.right").distinct()
+    return m.join(seats, ["block", "part"]).select("rid", "fp", "last", "least", "comp", "task", "right")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """`docs` with one row of each component: that of the smallest doc_id, null ids last (of rows that repeat it, one).  Texts without words link with nothing, so all of them stay."""
     found = ngram_join(docs, width, percent, keep_rid=True).filter("root IS NOT NULL")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid"))
-    kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.rid").alias("_rid"))
+    kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.rid").alias("rid"))
     worded = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    out = docs.filter(worded).withColumn("_rid", row_key()).join(kept, "_rid", "left_semi").dropDuplicates(["_rid"]).drop("_rid")
-    return out.union(docs.filter(~worded))
+    own = docs.filter(worded).select(row_key().alias("rid"), F.struct(*docs.columns).alias("row"))
+    out = own.join(kept, "rid", "left_semi").dropDuplicates(["rid"]).select("row.*")
+    return out.unionByName(docs.filter(~worded))
