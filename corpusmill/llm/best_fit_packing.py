@@ -7,8 +7,11 @@ to what the histogram has, and the lengths left over are packed best fit, longes
 by count.  The plan says for each length which ranks go to which run of sequences; texts
 get their rank within their length and find their place there.
 
-Null and empty texts give one piece of length 0, which is placed too.  Repeated rows are packed
-each on their own.  An empty table gives an empty result.
+Null and empty texts give one piece that holds the closing id only, length 1, which is placed too.
+Repeated rows are packed each on their own.  An empty table gives an empty result.
+
+A special token's name in a text, such as <|endoftext|>, is one id where the tokenizer is used as it
+is loaded; with special_as_text it is ordinary text, as documents may not speak for the engine.
 """
 
 from __future__ import annotations
@@ -39,20 +42,20 @@ SWEEPS = 30
 #: Rows of one length that are ranked in one sort.
 PART = 500_000
 
-_TOKENIZERS: dict[str, object] = {}
+_TOKENIZERS: dict[tuple[str, bool], object] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+def _tokenizer(path: str, special_as_text: bool):
+    if (path, special_as_text) not in _TOKENIZERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _TOKENIZERS[path] = t
-    return _TOKENIZERS[path]
+        t.encode_special_tokens = special_as_text
+        _TOKENIZERS[path, special_as_text] = t
+    return _TOKENIZERS[path, special_as_text]
 
 
 def _encode_units(tok, units: list[bytes]) -> list[bytes]:
@@ -72,15 +75,17 @@ def _encode_units(tok, units: list[bytes]) -> list[bytes]:
     return [words[m[1]] + (ids[m[2]] if m[2] else b"") if m else ids[u] for u, m in zip(units, split, strict=True)]
 
 
-def encode_texts(texts: list[bytes], path: str, known: dict[bytes, bytes]) -> list[bytes]:
+def encode_texts(texts: list[bytes], path: str, known: dict[bytes, bytes], special_as_text: bool = True) -> list[bytes]:
     """Ids of each text (UTF-8) as little-endian unsigned 32-bit values.
 
     The tokenizer drops white space, looks at nothing across it and ignores the case of A-Z, so a
     text's ids are those of the units between spaces and line ends; a unit met before is not
-    encoded again while `known` holds it.
+    encoded again while `known` holds it.  Only names of special tokens have a case, so units with
+    the sign that begins them keep theirs.
     """
-    tok = _tokenizer(path)
-    split = [t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
+    tok = _tokenizer(path, special_as_text)
+    fold = (lambda t: t.lower()) if special_as_text else (lambda t: t.lower() if b"<|" not in t else b" ".join(u if b"<|" in u else u.lower() for u in t.replace(b"\n", b" ").split(b" ")))
+    split = [fold(t).replace(b"\n", b" ").split(b" ") for t in texts]
     units = set().union(*split)
     new = [u for u in units if u not in known]
     if len(known) + len(new) > REMEMBERED:
@@ -90,7 +95,7 @@ def encode_texts(texts: list[bytes], path: str, known: dict[bytes, bytes]) -> li
     return [b"".join(map(known.__getitem__, u)) for u in split]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int = 0, keep_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int = 0, keep_ids: bool = True, special_as_text: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each text encoded, closed by `end_id`, cut only where longer than `limit`."""
     end = np.array([end_id], "<u4").tobytes()
 
@@ -100,7 +105,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 doc, piece, start, length, crc, ids = [], [], [], [], [], []
-                for d, got in zip(batch.column("doc_id").to_pylist(), encode_texts([x or b"" for x in batch.column("_text").cast(pa.binary()).to_pylist()], tokenizer_path, known), strict=True):
+                for d, got in zip(batch.column("doc_id").to_pylist(), encode_texts([x or b"" for x in batch.column("_text").cast(pa.binary()).to_pylist()], tokenizer_path, known, special_as_text), strict=True):
                     got += end
                     for k, a in enumerate(range(0, len(got), 4 * limit)):
                         part = got[a : a + 4 * limit]
@@ -282,6 +287,6 @@ def place(ranked: DataFrame, plan: list[tuple[int, int, int, int, int]], length:
     return ranked.mapInArrow(put, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int = 0, keep_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int = 0, keep_ids: bool = True, special_as_text: bool = True) -> DataFrame:
     """Encode `docs`, cut what is too long, and place every piece; with keep_ids the token ids come along."""
-    return pack(cut(pieces(docs, tokenizer_path, limit, end_id, keep_ids)), limit)
+    return pack(cut(pieces(docs, tokenizer_path, limit, end_id, keep_ids, special_as_text)), limit)

@@ -7,6 +7,7 @@ which bounds the memory of a task whatever the length of the texts.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,10 +28,13 @@ _LOWER[65:91] += 32
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's checkpoint folder; only where none is set (tests) use a temporary one."""
+    """Keep the cluster's checkpoint folder; only in one local JVM (tests) a temporary one will do."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
 def cut(df: DataFrame) -> DataFrame:

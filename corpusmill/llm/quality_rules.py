@@ -2,8 +2,8 @@
 
 Each rule looks at counts of one text and votes good (1), bad (-1) or abstains (0).  Rows are
 aggregated to vote patterns, at most 3^8 of them; expectation-maximisation over the pattern
-counts estimates, without labels, how often the votes of each rule are right.  A text stays when its posterior probability of being good reaches the
-threshold, instead of having to pass every rule.
+counts estimates, without labels, how often the votes of each rule are right.  A text stays when
+its posterior probability of being good reaches the threshold, instead of having to pass every rule.
 
 A null text has no words, every count is 0 and base_failed is true.  Texts of any length are
 counted whole.  Repeated rows count each time; an empty table gives an empty result.
@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]"
@@ -33,49 +33,45 @@ PSEUDO = 0.05
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bangs"]
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper and n_bangs."""
+def base_counts(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(row, COUNTS): `columns` of `docs` (all of them) as one struct, so that none can clash, and the counts of its text."""
+    own = docs.columns if columns is None else columns
     raw = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("_w", F.array_remove(F.split(raw, SPACE), ""))
-    out = out.withColumn("_l", F.filter(F.split(raw, "\n"), lambda x: x.rlike(WORD)))
-    n, lines = F.size("_w"), F.col("_l")
+    out = docs.select(F.struct(*own).alias("row"), raw.alias("t"), F.array_remove(F.split(raw, SPACE), "").alias("w"), F.filter(F.split(raw, "\n"), lambda x: x.rlike(WORD)).alias("l"))
+    n, lines = F.size("w"), F.col("l")
 
     def number(of: str) -> Column:
-        return (F.size(F.split(raw, of)) - 1).cast("long")
+        return (F.size(F.split("t", of)) - 1).cast("long")
 
-    out = out.select(
-        *docs.columns,
+    return out.select(
+        "row",
         n.cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         number(SYMBOLS).alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.when(n < 3, F.lit(0)).otherwise(_repeat_words()).cast("long").alias("n_repeat_words"),
+        F.when(n < 3, F.lit(0)).otherwise(repeat_words()).cast("long").alias("n_repeat_words"),
         number("[A-Z]").alias("n_upper"),
         number("!").alias("n_bangs"),
     )
-    return out
 
 
-def _repeat_words() -> Column:
-    """Words inside windows that occur twice or more.
+def repeat_words(window: str = "xxhash64(w[i], w[i + 1], w[i + 2])", small: int = 1 << 21) -> Column:
+    """Words of the array w inside windows of three that occur twice or more.
 
-    Each window becomes one long, its hash above its place, so that equal windows meet in a
-    plain sort of longs; neighbours with one hash are compared word by word.  Texts too long
-    for a place of 21 bits sort (hash, place) pairs.
+    Windows with a hash of their own occur once.  The hashes are sorted as longs with the place in
+    the low bits (from `small` words on as pairs, since a place needs more bits); windows whose
+    neighbour in that order has the same hash are candidates, and candidates are sorted and
+    compared by their words.
     """
-    same = "_w[p] = _w[q] AND _w[p + 1] = _w[q + 1] AND _w[p + 2] = _w[q + 2]"
-    packed = "shiftleft(xxhash64(_w[i], _w[i + 1], _w[i + 2]), 21) | CAST(i AS BIGINT)"
-    short = f"""
-        transform(array(sort_array(transform(sequence(0, size(_w) - 3), i -> {packed}))), s ->
-          transform(filter(transform(s, (x, k) -> CASE
-              WHEN k > 0 AND shiftright(x, 21) = shiftright(s[k - 1], 21) THEN struct(CAST(x & 2097151 AS INT) AS p, CAST(s[k - 1] & 2097151 AS INT) AS q)
-              WHEN k + 1 < size(s) AND shiftright(x, 21) = shiftright(s[k + 1], 21) THEN struct(CAST(x & 2097151 AS INT) AS p, CAST(s[k + 1] & 2097151 AS INT) AS q) END),
-            y -> y IS NOT NULL AND {same.replace("[p", "[y.p").replace("[q", "[y.q")}), y -> y.p))[0]"""
-    long = """
-        transform(array(sort_array(transform(sequence(0, size(_w) - 3), i -> struct(xxhash64(_w[i], _w[i + 1], _w[i + 2]) AS h, i AS p)))), s ->
-          transform(filter(s, (x, k) -> (k > 0 AND x.h = s[k - 1].h) OR (k + 1 < size(s) AND x.h = s[k + 1].h)), y -> y.p))[0]"""
-    places = f"CASE WHEN size(_w) < 2000000 THEN {short} ELSE {long} END"
-    return F.expr(f"size(array_distinct(flatten(transform({places}, p -> array(p, p + 1, p + 2)))))")
+    packed = f"sort_array(transform(sequence(0, size(w) - 3), i -> shiftleft({window}, 21) | CAST(i AS BIGINT)))"
+    pairs = f"sort_array(transform(sequence(0, size(w) - 3), i -> struct({window} AS h, i AS p)))"
+    places = f"""CASE WHEN size(w) < {small}
+        THEN transform(array({packed}), s -> transform(filter(s, (x, k) ->
+            (k > 0 AND shiftright(x, 21) = shiftright(s[k - 1], 21)) OR (k + 1 < size(s) AND shiftright(x, 21) = shiftright(s[k + 1], 21))), x -> CAST(x & 2097151 AS INT)))[0]
+        ELSE transform(array({pairs}), s -> transform(filter(s, (x, k) -> (k > 0 AND x.h = s[k - 1].h) OR (k + 1 < size(s) AND x.h = s[k + 1].h)), x -> x.p))[0] END"""
+    by_words = f"sort_array(transform({places}, p -> struct(concat_ws(' ', w[p], w[p + 1], w[p + 2]) AS g, p)))"
+    again = f"transform(array({by_words}), s -> transform(filter(s, (x, k) -> (k > 0 AND x.g = s[k - 1].g) OR (k + 1 < size(s) AND x.g = s[k + 1].g)), x -> x.p))[0]"
+    return F.expr(f"size(array_distinct(flatten(transform({again}, p -> array(p, p + 1, p + 2)))))")
 
 
 def votes() -> list[tuple[str, Column]]:
@@ -124,24 +120,25 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> di
 
 
 
+def _judged(docs: DataFrame, threshold: float, columns: list[str] | None) -> DataFrame:
+    """(row, COUNTS, base_failed, p_good, kept).  The texts are counted once; what is needed later is written to the shared folder.  Only the pattern counts, 3^8 rows at most, reach the driver."""
+    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    voted = base_counts(docs, columns).withColumn("pattern", F.concat_ws(",", *(v.cast("string") for _, v in votes())))
+    voted = stored(voted) if columns is None else cut(voted)
+    found = voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()
+    post = fit(sorted((tuple(map(int, r["pattern"].split(","))), r["n"]) for r in found))
+    lookup = docs.sparkSession.createDataFrame([(",".join(map(str, p)), float(x)) for p, x in post.items()], "pattern string, p_good double")
+    out = voted.join(F.broadcast(lookup), "pattern", "left")  # 3^8 rows at most
+    return out.select("row", *COUNTS, base.alias("base_failed"), "p_good", (~base & (F.coalesce("p_good", F.lit(0.0)) >= threshold)).alias("kept"))
 
-def quality(docs: DataFrame, threshold: float = THRESHOLD, columns: list[str] | None = None) -> DataFrame:
-    """`docs` (or only `columns` of it) with the counts, base_failed, p_good and kept.
 
-    The texts are counted once; what is needed later is written to the shared folder.  Only
-    the pattern counts, 3^8 rows at most, reach the driver.
-    """
-    own = docs.columns if columns is None else columns
-    counted = base_counts(docs).select(*own, *COUNTS)
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    voted = cut(counted.withColumn("_votes", F.concat_ws(",", *(v.cast("string") for _, v in votes()))))
-    found = voted.groupBy("_votes").agg(F.count("*").alias("n")).collect()
-    post = fit(sorted((tuple(map(int, r["_votes"].split(","))), r["n"]) for r in found))
-    lookup = docs.sparkSession.createDataFrame([(",".join(map(str, p)), float(x)) for p, x in post.items()], "_votes string, p_good double")
-    out = voted.join(F.broadcast(lookup), "_votes", "left")  # 3^8 rows at most
-    return out.select(*own, *COUNTS, base.alias("base_failed"), "p_good", (~base & (F.coalesce("p_good", F.lit(0.0)) >= threshold)).alias("kept"))
+def quality(docs: DataFrame, threshold: float = THRESHOLD, columns: list[str] | None = None) -> DataFrame:
+    """`docs` (or only `columns` of it) with the counts, base_failed, p_good and kept; a column of `docs` that bears one of these names gives way."""
+    made = [*COUNTS, "base_failed", "p_good", "kept"]
+    own = [c for c in (docs.columns if columns is None else columns) if c.lower() not in made]
+    return _judged(docs, threshold, columns).select(*(F.col("row")[c].alias(c) for c in own), *made)
 
 
 def keep_quality(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that are kept, with their own columns."""
-    return quality(docs, threshold).filter("kept").select(*docs.columns)
+    """The rows of `docs` that are kept, with their own columns.  Null and empty texts fail the base rules and go; repeated rows get one verdict; an empty table gives an empty one."""
+    return _judged(docs, threshold, None).filter("kept").select("row.*")

@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return best_fit_packing.pack_documents(docs, _tokenizers().path("word_bpe_49k.json"), limit=2048, end_id=0, keep_ids=False)
+    return best_fit_packing.pack_documents(docs, _tokenizers().path("word_bpe_49k.json"), limit=2048, end_id=0, keep_ids=False, special_as_text=False)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
