@@ -17,7 +17,8 @@ same place.  The stages:
 4. Spans are gathered for each text.
 
 Rows are told apart by a hash of (doc_id, text), so repeated rows count as two occurrences and
-null ids do no harm.
+null ids do no harm.  Places of repeated rows are the same, so lists of them are gathered as sets:
+a row that is a third of the table has no longer lists than a single one.
 """
 
 from __future__ import annotations
@@ -29,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES, OTHER, WORDS, bucket_count, chunks, cut, from_planes, grouped, mixed, planes, row_key, runs, text_rows, view, words
+from .common import BYTES, OTHER, WORDS, bucket_count, chunks, cut, from_planes, grouped, mixed, planes, row_key, runs, stored, text_rows, view, words
 
 #: Bytes of a word's hash in a context.
-SHORT = 6
+SHORT = 8
 #: Bytes of text behind one bucket of seeds.
 BUCKET = 16 << 20
 #: Seeds folded together at once before they are sent out.
-FOLD = 1_200_000
+FOLD = 400_000
 
 SEED = np.dtype([("h", "<u8"), ("f", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("flag", "u1")])
 #: Flags of a seed: its context recurs in its batch; its seed is common there; it only stands for common ones.
@@ -103,7 +104,7 @@ def _emit(kind: str, window: int, seed: int, places: Places, buckets: int):
         at = runs(bucket)
         rows = [(int(bucket[a]), None, _packed(s[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
         for d, p in _by_doc(doc, pos):
-            rows.append((d % buckets, d, p.astype("<i4").tobytes()))
+            rows.append((d % buckets, d, np.unique(p).astype("<i4").tobytes()))
         for i in range(0, len(rows), 4096):
             b, d, p = zip(*rows[i : i + 4096], strict=True)
             yield pa.record_batch([pa.array(b, pa.int32()), pa.array(d, pa.int64()), pa.array(p, pa.binary())], names=["bucket", "doc", "payload"])
@@ -191,7 +192,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             again = (n > 1) | many
             each = np.repeat(again, n)
             for d, p in _by_doc(s["doc"][each], s["pos"][each]):
-                rows.append((d, p.astype("<i4").tobytes(), None))
+                rows.append((d, np.unique(p).astype("<i4").tobytes(), None))
             # one occurrence of each context, of seeds that have several and at least one that occurs once
             first, again = s[at[:-1]], again
             if len(first):
@@ -320,7 +321,7 @@ def _counted(opened: DataFrame, window: int, seed: int, unit: int) -> DataFrame:
 
 
 def _spans(doc: list, begin: list, end: list) -> pa.RecordBatch:
-    rows = [(d, np.stack([a, b], 1).astype("<i4").tobytes()) for d, a, b in _by_doc(np.concatenate(doc), np.concatenate(begin), np.concatenate(end))]
+    rows = [(d, np.unique(np.stack([a, b], 1), axis=0).astype("<i4").tobytes()) for d, a, b in _by_doc(np.concatenate(doc), np.concatenate(begin), np.concatenate(end))]
     d, s = zip(*rows, strict=True)
     return pa.record_batch([pa.array(d, pa.int64()), pa.array(s, pa.binary())], names=["doc", "spans"])
 
@@ -340,16 +341,18 @@ def covered(length: int, settled: list[bytes], spans: list[bytes], window: int,
 
 
 def find_repeats(docs: DataFrame, kind: str, window: int, seed: int, places: Places, solver: Solver, columns: list[str] | None = None) -> DataFrame:
-    """Rows (rid, doc_id, text), or `columns` of `docs`, with settled and spans: lists of packed places for covered()."""
+    """(row, text, settled, spans): `columns` of `docs` (doc_id) as one struct, so that none can clash, and lists of packed places for covered()."""
     rows = text_rows(docs)
     buckets = bucket_count(docs, BUCKET)
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets)
     seeds = rows.select("rid", "text").mapInArrow(_emit(kind, window, seed, places, buckets), "bucket int, doc long, payload binary")
     found = seeds.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_match, "doc long, settled binary, open binary")
-    found = cut(found)
-    need = found.filter("open IS NOT NULL").groupBy(F.col("doc").alias("rid")).agg(F.collect_list("open").alias("open"))
-    opened = rows.join(need, "rid", "left").filter("open IS NOT NULL")
-    opened = opened.select("rid", "doc_id", "text", "open").mapInArrow(_fetch(kind, window, seed), "h long, doc long, pos int, left binary, right binary, alone boolean")
+    found = stored(found)
+    need = found.filter("open IS NOT NULL").groupBy(F.col("doc").alias("rid")).agg(F.collect_set("open").alias("open"))
+    own = docs.select(row_key().alias("rid"), F.struct(*(columns or ["doc_id"])).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    # the same columns and kind of join as at the end, so that texts are dealt out once; of rows that repeat each other one is looked at
+    opened = own.join(need, "rid", "left").filter("open IS NOT NULL").dropDuplicates(["rid"]).select("rid", "row", "text", "open")
+    opened = opened.mapInArrow(_fetch(kind, window, seed), "h long, doc long, pos int, left binary, right binary, alone boolean")
     tally = found.filter("open IS NOT NULL").select("open").mapInArrow(_tally, "h long, n long")
     common = cut(tally.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > COUNT).select("h"))
     counted = None
@@ -360,11 +363,8 @@ def find_repeats(docs: DataFrame, kind: str, window: int, seed: int, places: Pla
     spans = opened.repartition(n, "h").sortWithinPartitions("h", "right").mapInArrow(_solve(solver), "doc long, spans binary")
     spans = spans if counted is None else spans.unionByName(counted)
     both = found.filter("settled IS NOT NULL").select("doc", "settled", F.lit(None).cast("binary").alias("spans")).unionByName(spans.withColumn("settled", F.lit(None).cast("binary")))
-    both = both.groupBy(F.col("doc").alias("rid")).agg(F.collect_list("settled").alias("settled"), F.collect_list("spans").alias("spans"))
-    if columns is None:
-        return rows.join(both, "rid", "left")
-    own = docs.select(row_key().alias("_rid"), F.coalesce("text", F.lit("")).alias("text"), *(c for c in columns if c != "text"))
-    return own.join(both.withColumnRenamed("rid", "_rid"), "_rid", "left").select(*columns, "settled", "spans")
+    both = both.groupBy(F.col("doc").alias("rid")).agg(F.collect_set("settled").alias("settled"), F.collect_set("spans").alias("spans"))
+    return own.join(both, "rid", "left").select("row", "text", "settled", "spans")
 
 
 __all__ = ["Sequences", "covered", "find_repeats"]

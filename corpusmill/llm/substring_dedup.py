@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import chunks, mixed, runs, view, words
 from .repeats import SHORT, Sequences, covered, find_repeats
@@ -69,9 +70,7 @@ def _extend(window: int):
 
 
 def _padded(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    wide, offs = np.zeros((len(data) // SHORT, 8), np.uint8), offs // SHORT
-    wide[:, :SHORT] = data.reshape(-1, SHORT)
-    units = wide.view(np.uint64).ravel()
+    units, offs = np.frombuffer(data.tobytes(), np.uint64), offs // SHORT
     n = np.diff(offs)
     out = np.zeros((len(n), width), np.uint64)
     col = np.arange(len(units)) - np.repeat(offs[:-1], n)
@@ -113,4 +112,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = Tru
             yield pa.record_batch(out, names=names)
 
     found = find_repeats(docs, "words", window, seed, _places(window), _extend(window))
-    return found.select("doc_id", "text", "settled", "spans").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text)
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "settled", "spans").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text)

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, mixed, runs, view
 from .repeats import Sequences, covered, find_repeats
@@ -149,12 +150,16 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = True)
             yield pa.record_batch(out, names=names)
 
     found = find_repeats(docs, "bytes", length, seed, _places(length, seed), _scan(length))
-    return found.select("doc_id", "text", "settled", "spans").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "settled", "spans").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """`docs` with repeated byte strings taken out of text (characters that lose a byte go too); n_chars follows where there is one."""
-    seed, columns = length // 2, docs.columns
+    """`docs` with repeated byte strings taken out of text (characters that lose a byte go too); n_chars follows where there is one.
+
+    A null text becomes an empty one; repeated rows lose all of a text of `length` bytes or more; an
+    empty table gives an empty one.
+    """
+    seed, others = length // 2, [c for c in docs.columns if c != "text"]
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -165,9 +170,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if settled is not None:
                     own = own[~covered(len(own), settled, spans, length, seed)]
                 texts.append(own.tobytes().decode(errors="ignore"))
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(columns)
+            yield pa.record_batch([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    found = find_repeats(docs, "bytes", length, seed, _places(length, seed), _scan(length), columns=columns)
-    out = found.mapInArrow(cut_out, docs.schema)
+    found = find_repeats(docs, "bytes", length, seed, _places(length, seed), _scan(length), columns=others)
+    schema = T.StructType([T.StructField("row", found.schema["row"].dataType), T.StructField("text", T.StringType())])
+    out = found.mapInArrow(cut_out, schema)
+    out = out.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
