@@ -11,7 +11,7 @@ nodes is dropped when the largest overlap it allows is too small or it is one co
 Pairs that remain are compared in full.
 
 A large block is cut into parts by size.  First each part is joined with itself and with one part
-of its size, which makes a group of near copies one component.  Only where a block is more than one
+of its size, and those with each other, which makes a group of near copies one component.  Only where a block is more than one
 component after that, sets are dealt out again by component, and pairs of parts that are not one
 component already are joined in tasks of their own.
 
@@ -23,6 +23,7 @@ an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ BUCKET, FOLD, REMEMBERED = 4 << 20, 250_000, 50_000
 #: Sets in one part of a block, and their members.
 PART, PART_MEMBERS = 1024, 500_000
 LEAF, FAN = 8, 8
+#: Sizes of parts: classes of the logarithm.
+CLASSES = 5
 #: Sets of one key in a batch from which they are sent on as they are.
 GROUP = 12
 SETS, STAND_IN, LARGE, NEED = 0, 1, 2, 3
@@ -393,14 +396,16 @@ def ngram_join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, ke
     # a class is read from one of its rows
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("least"))).alias("x")
     classes = sized.filter("n_shingles > 0").groupBy("fp").agg(F.min("rid").alias("rid"), F.min("n_shingles").alias("n"), least).select("fp", "rid", "n", "x.last", "x.least")
-    members = cut(near.join(classes, "fp").withColumn("s", F.floor(F.log("n") * 5).cast("int")))
+    members = cut(near.join(classes, "fp").withColumn("s", F.floor(F.log("n") * CLASSES).cast("int")))
     # only blocks beyond PART or PART_MEMBERS are parted: by size, and each size by hash
     sizes = members.groupBy("block", "s").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
     large = sizes.groupBy("block").agg(_parts(F.sum("t"), F.sum("c")).alias("k")).filter("k > 1").select("block")
     large = cut(sizes.join(large, "block").select("block", "s", _parts(F.col("t"), F.col("c")).cast("long").alias("k")))
     seats = members.join(large, ["block", "s"], "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("k")))
-    # the first part of each size sits with every part of that size, the others with themselves and with it
+    # the first part of each size sits with every part of that size and with the first parts of the sizes that it may link to, the others with themselves and with it
     every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda i: F.xxhash64("block", "s", i))
+    across = F.transform(F.sequence(F.lit(0), F.lit(1 + math.floor(CLASSES * math.log(100 / percent)))), lambda r: F.xxhash64("block", F.col("s") - r, F.lit("across")))
+    every = F.concat(every, across)
     tasks = F.when(F.col("k").isNull(), F.array(F.xxhash64("block"))).when(F.col("part") == 0, every).otherwise(F.array(F.xxhash64("block", "s", "part")))
     links = _links(rows, seats.select("rid", "fp", "last", "least", F.col("fp").alias("comp"), F.explode(tasks).alias("task"), F.lit(False).alias("right")), width, percent)
     joined = connected(links)

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]"
@@ -124,7 +124,7 @@ def _judged(docs: DataFrame, threshold: float, columns: list[str] | None) -> Dat
     """(row, COUNTS, base_failed, p_good, kept).  The texts are counted once; what is needed later is written to the shared folder.  Only the pattern counts, 3^8 rows at most, reach the driver."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     voted = base_counts(docs, columns).withColumn("pattern", F.concat_ws(",", *(v.cast("string") for _, v in votes())))
-    voted = stored(voted) if columns is None else cut(voted)
+    voted = cut(voted)
     found = voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()
     post = fit(sorted((tuple(map(int, r["pattern"].split(","))), r["n"]) for r in found))
     lookup = docs.sparkSession.createDataFrame([(",".join(map(str, p)), float(x)) for p, x in post.items()], "pattern string, p_good double")
