@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as T
 
@@ -44,9 +47,10 @@ def clamped(penalty: Column) -> Column:
 
 
 def lint_score(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """(doc_id, n_violations, score, verdict): 100 less the penalties, held to 0..100; computed in the scan without a shuffle."""
-    counts = [T.n_matches("text", r.pattern) * PENALTY[r.severity] for r in rules]
-    total = sum((T.n_matches("text", r.pattern) for r in rules), F.lit(0))
+    """(doc_id, n_violations, score, verdict): 100 less the penalties, held to 0..100; computed in the scan without a shuffle.  A null text has no violations."""
+    text = F.coalesce("text", F.lit(""))
+    counts = [T.n_matches(text, r.pattern) * PENALTY[r.severity] for r in rules]
+    total = sum((T.n_matches(text, r.pattern) for r in rules), F.lit(0))
     out = docs.select("doc_id", total.alias("n_violations"), clamped(sum(counts, F.lit(0))).alias("score"))
     verdict = F.when(F.col("score") >= 90, "clean").when(F.col("score") >= 70, "minor").when(F.col("score") >= 40, "review").otherwise("rewrite")
     return out.withColumn("verdict", verdict)
@@ -69,31 +73,53 @@ def qa_grade(docs: DataFrame) -> DataFrame:
     return rows.select("*", grade(F.col("total")).alias("grade"), ((F.col("total") >= 80) & ~F.col("critical")).alias("approved"))
 
 
-def pairs_in_order(docs: DataFrame, by: str = "source") -> DataFrame:
-    """(source_id, draft_id, source_text, draft_text): each document as the draft of the one before it under the same `by`."""
-    w = Window.partitionBy(by).orderBy("doc_id")
-    out = docs.select(F.lag("doc_id").over(w).alias("source_id"), F.col("doc_id").alias("draft_id"), F.lag("text").over(w).alias("source_text"), F.col("text").alias("draft_text"))
+#: Ids in one range of an order: the most rows that one window sorts.
+RANGE = 1_000_000
+
+
+def predecessors(docs: DataFrame, by: str = "source", key: str = "doc_id") -> DataFrame:
+    """(source_id, draft_id): each id with the one before it under the same `by`.
+
+    Only ids move.  The order is cut into ranges of ids, so that no window holds a whole group, and
+    each range begins after the last id of the ranges before it.
+    """
+    ids = docs.select(by, key).withColumn("_range", F.floor(F.col(key) / RANGE))
+    inside = ids.withColumn("_before", F.lag(key).over(Window.partitionBy(by, "_range").orderBy(key)))
+    ends = ids.groupBy(by, "_range").agg(F.max(key).alias("_end"))
+    carried = ends.select(by, "_range", F.lag("_end").over(Window.partitionBy(by).orderBy("_range")).alias("_carried"))  # one row per range
+    out = inside.join(carried, [by, "_range"]).select(F.coalesce("_before", "_carried").alias("source_id"), F.col(key).alias("draft_id"))
     return out.filter("source_id IS NOT NULL")
 
 
-def missing_numbers(pairs: DataFrame, pattern: str = T.NUMBER) -> DataFrame:
-    """(source_id, draft_id, number, missing): each number of the source uses up one equal number of the draft."""
+def pairs_in_order(docs: DataFrame, by: str = "source") -> DataFrame:
+    """(source_id, draft_id, source_text, draft_text): each document as the draft of the one before it under the same `by`.  Ids are put in order first, and texts are joined to them."""
+    texts = docs.select("doc_id", "text")
+    out = predecessors(docs, by).join(texts.select(F.col("doc_id").alias("source_id"), F.col("text").alias("source_text")), "source_id")
+    return out.join(texts.select(F.col("doc_id").alias("draft_id"), F.col("text").alias("draft_text")), "draft_id").select("source_id", "draft_id", "source_text", "draft_text")
 
-    def counted(side: str, name: str) -> DataFrame:
-        return pairs.select("source_id", "draft_id", F.explode(T.matches(side, pattern)).alias("number")).groupBy("source_id", "draft_id", "number").agg(F.count("*").alias(name))
 
-    both = counted("source_text", "a").join(counted("draft_text", "b"), ["source_id", "draft_id", "number"], "left")
-    return both.select("source_id", "draft_id", "number", (F.col("a") - F.coalesce("b", F.lit(0))).alias("missing")).filter("missing > 0")
+@pandas_udf("array<struct<value:string,missing:bigint>>")
+def bag_difference(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Values of the first array that the second has fewer of, and how many fewer."""
+    return pd.Series([[{"value": v, "missing": n} for v, n in (Counter(x) - Counter(y)).items()] for x, y in zip(a, b, strict=True)])
 
 
-def lexical_retention(pairs: DataFrame, least: float = 0.6) -> DataFrame:
-    """(source_id, draft_id, n_source, n_kept, passed): words of the source found in the draft, as bags."""
+@pandas_udf("bigint")
+def bag_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Values that two arrays have in common, as bags."""
+    return pd.Series([(Counter(x) & Counter(y)).total() for x, y in zip(a, b, strict=True)])
+
 
-    def bag(side: str, name: str) -> DataFrame:
-        return pairs.select("source_id", "draft_id", F.explode(T.words(F.lower(side))).alias("w")).groupBy("source_id", "draft_id", "w").agg(F.count("*").alias(name))
+def missing_numbers(pairs: DataFrame, pattern: str = T.NUMBER) -> DataFrame:
+    """(source_id, draft_id, number, missing): each number of the source uses up one equal number of the draft; compared in the row of the pair."""
+    found = bag_difference(T.matches("source_text", pattern), T.matches("draft_text", pattern))
+    return pairs.filter(F.col("source_text").rlike(pattern)).select("source_id", "draft_id", F.inline(found)).select("source_id", "draft_id", F.col("value").alias("number"), "missing")
 
-    both = bag("source_text", "a").join(bag("draft_text", "b"), ["source_id", "draft_id", "w"], "left")
-    out = both.groupBy("source_id", "draft_id").agg(F.sum("a").alias("n_source"), F.sum(F.least("a", F.coalesce("b", F.lit(0)))).alias("n_kept"))
+
+def lexical_retention(pairs: DataFrame, least: float = 0.6) -> DataFrame:
+    """(source_id, draft_id, n_source, n_kept, passed): words of the source found in the draft, as bags; sources without words are left out."""
+    rows = pairs.select("source_id", "draft_id", T.words(F.lower("source_text")).alias("a"), T.words(F.lower("draft_text")).alias("b")).filter("size(a) > 0")
+    out = rows.select("source_id", "draft_id", F.size("a").cast("long").alias("n_source"), bag_overlap("a", "b").alias("n_kept"))
     return out.withColumn("passed", F.col("n_kept") >= F.col("n_source") * F.lit(least))
 
 
@@ -107,9 +133,9 @@ def aligned_sentences(pairs: DataFrame) -> DataFrame:
 
 def section_gate(pairs: DataFrame) -> DataFrame:
     """(source_id, draft_id, reason): why a draft is refused: empty, short (under 15 % of the words) or numbers (4 or more of three digits lost)."""
-    lost = missing_numbers(pairs, "[0-9]{3,}").groupBy("source_id", "draft_id").agg(F.sum("missing").alias("lost"))
-    rows = pairs.select("source_id", "draft_id", F.size(T.words("source_text")).alias("a"), F.size(T.words("draft_text")).alias("b")).join(lost, ["source_id", "draft_id"], "left")
-    reason = F.when(F.col("b") == 0, "empty").when(F.col("b") * 100 < F.col("a") * 15, "short").when(F.coalesce("lost", F.lit(0)) >= 4, "numbers").otherwise("ok")
+    a, b = T.matches("source_text", "[0-9]{3,}"), T.matches("draft_text", "[0-9]{3,}")
+    rows = pairs.select("source_id", "draft_id", F.size(T.words("source_text")).alias("a"), F.size(T.words("draft_text")).alias("b"), (F.size(a) - bag_overlap(a, b)).alias("lost"))
+    reason = F.when(F.col("b") == 0, "empty").when(F.col("b") * 100 < F.col("a") * 15, "short").when(F.col("lost") >= 4, "numbers").otherwise("ok")
     return rows.select("source_id", "draft_id", reason.alias("reason"))
 
 

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import heapq
+import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's checkpoint folder; only where none is set (tests) use a temporary one."""
+    """Keep the cluster's checkpoint folder; only in one local JVM (tests) a temporary one will do."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -41,26 +49,120 @@ def revisits(edges: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
     return e.join(c.filter(F.col("level") < depth).select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def levels(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(node, level): what a node depends on has a smaller level; level -1 marks nodes in or behind a cycle.  edges: src needs dst."""
+def levels(edges: DataFrame) -> DataFrame:
+    """(node, level): what a node depends on has a smaller level; level -1 marks nodes in or behind a cycle.  edges: src needs dst.
+
+    Peels free nodes until none is left, so a chain takes as many rounds as it is long.
+    """
     e = _cut(edges.filter("src <> dst").select("src", "dst").distinct())
     left = _cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
-    out = None
-    for k in range(rounds):
+    out, k = None, 0
+    while True:
         free = _cut(left.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
         if free.isEmpty():
             break
         done = free.withColumn("level", F.lit(k))
-        out = done if out is None else out.union(done)
+        out = done if out is None else _cut(out.union(done)) if k % 20 == 19 else out.union(done)
         left = _cut(left.join(free, "node", "left_anti"))
         e = _cut(e.join(free.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        k += 1
     rest = left.withColumn("level", F.lit(-1))
     return rest if out is None else out.union(rest)
 
 
-def deployment(edges: DataFrame, available: DataFrame, missing: DataFrame) -> DataFrame:
-    """(node, status): deployed, or blocked where a node or anything that it needs, near or far, is missing."""
+#: Nodes of one deployment that are put in order one at a time.
+ONE_AT_A_TIME = 100_000
+
+
+def ordered_names(edges: DataFrame, most: int = ONE_AT_A_TIME) -> DataFrame:
+    """(place, node): the smallest free name first, one name at a time; what is left of cycles comes last, sorted.  edges: src needs dst.
+
+    This order is a chain of single choices, so it is made on the driver, for the graph of one
+    deployment; more than `most` links are refused, and `levels` orders those.
+    """
+    rows = edges.filter("src <> dst").select("src", "dst").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} links: use levels()")
+    needs: dict[str, set[str]] = {}
+    users: dict[str, list[str]] = {}
+    for src, dst in rows:
+        needs.setdefault(src, set()).add(dst)
+        needs.setdefault(dst, set())
+        users.setdefault(dst, []).append(src)
+    free = [n for n, d in needs.items() if not d]
+    heapq.heapify(free)
+    out: list[str] = []
+    while free:
+        n = heapq.heappop(free)
+        out.append(n)
+        for u in users.get(n, ()):
+            needs[u].discard(n)
+            if not needs[u]:
+                heapq.heappush(free, u)
+    done = set(out)
+    out += sorted(n for n in needs if n not in done)
+    return edges.sparkSession.createDataFrame(list(enumerate(out)), "place int, node string")
+
+
+def template_edges(pages: DataFrame) -> DataFrame:
+    """(src, dst, kind) of page texts (title, text): templates, invoked modules, and modules that a module loads."""
+    found = F.array(
+        F.struct(F.lit("template").alias("kind"), F.lit("Template:").alias("space"), F.regexp_extract_all("text", F.lit("(?<!\\{)\\{\\{(?!\\{) *([^{}|#:<\\n]+?) *(?=[|}\\n])"), F.lit(1)).alias("names")),
+        F.struct(F.lit("invoke").alias("kind"), F.lit("Module:").alias("space"), F.regexp_extract_all("text", F.lit("\\{\\{ *#invoke: *([^|}\\n]+?) *\\|"), F.lit(1)).alias("names")),
+        F.struct(F.lit("require").alias("kind"), F.lit("Module:").alias("space"), F.regexp_extract_all("text", F.lit("(?:require|mw\\.loadData) *\\(? *['\"]Module:([^'\"]+)['\"]"), F.lit(1)).alias("names")),
+    )
+    rows = pages.select(F.col("title").alias("src"), F.inline(found)).select("src", "kind", "space", F.explode(F.array_distinct("names")).alias("name"))
+    out = rows.select("src", F.concat("space", T.title(F.regexp_replace("name", "^(?:Template|Templat):", ""))).alias("dst"), "kind")
+    return out.filter("src <> dst").distinct()
+
+
+def category_members(edges: DataFrame, root: str, limit: int) -> DataFrame:
+    """(title, level): articles below a category, nearest levels first, then by title, at most `limit`; edges: (category, member, ns)."""
+    spark = edges.sparkSession
+    kids = edges.filter("ns = 14").select(F.col("category").alias("src"), F.col("member").alias("dst"))
+    tree = closure(kids, spark.createDataFrame([(root,)], "node string"), depth=50)
+    pages = edges.filter("ns = 0").join(tree.withColumnRenamed("node", "category"), "category").groupBy(F.col("member").alias("title")).agg(F.min("level").alias("level"))
+    return pages.orderBy("level", "title").limit(limit)
+
+
+def refuse_flattening(depth: int) -> None:
+    """Members are taken from one category at a time: a recursive listing mixes subjects."""
+    if depth > 1:
+        raise ValueError("members of subcategories are not members: list one category at a time")
+
+
+def transaction(nodes: DataFrame, publish: Callable[[str], bool], journal: DataFrame | None = None, reused: DataFrame | None = None, most: int = ONE_AT_A_TIME) -> DataFrame:
+    """(place, node, status): nodes (place, node) published one after another, stopping at the first failure; those that the journal (node, status) or `reused` (node) has are skipped.
+
+    Publishing is a call per node in order, so it runs on the driver, for the nodes of one deployment.
+    """
+    spark = nodes.sparkSession
+    rows = nodes.select("place", "node")
+    done = journal.filter(F.col("status").isin("published", "reused")).select("node", F.lit("skipped").alias("known")) if journal is not None else spark.createDataFrame([], "node string, known string")
+    if reused is not None:
+        done = done.union(reused.select("node", F.lit("reused"))).groupBy("node").agg(F.max("known").alias("known"))
+    plan = rows.join(done, "node", "left").orderBy("place").limit(most + 1).collect()
+    if len(plan) > most:
+        raise ValueError(f"more than {most} nodes in one transaction")
+    out, stopped = [], False
+    for r in plan:
+        if r["known"] or stopped:
+            out.append((r["place"], r["node"], r["known"] or "planned"))
+            continue
+        try:
+            ok = bool(publish(r["node"]))
+        except Exception:  # a failed call is a failed node: the run stops there
+            ok = False
+        stopped = not ok
+        out.append((r["place"], r["node"], "published" if ok else "failed"))
+    return spark.createDataFrame(out, "place int, node string, status string")
+
+
+def deployment(edges: DataFrame, available: DataFrame, missing: DataFrame, journal: DataFrame | None = None) -> DataFrame:
+    """(node, status): deployed, or blocked where a node or anything that it needs, near or far, is missing; what the journal (node, status) has as drafted counts as there."""
     e = edges.select("src", "dst").distinct()
+    if journal is not None:
+        missing = missing.join(journal.filter("status = 'drafted'").select("node"), "node", "left_anti")
     blocked = front = _cut(missing.select("node").distinct())
     while not front.isEmpty():
         front = e.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()

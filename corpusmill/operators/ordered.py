@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,35 +33,60 @@ def repeats_opener(df: DataFrame, group: str, order: str, value: str) -> DataFra
     return out.withColumn("monotone", F.coalesce((F.col("opener") != "") & (F.lag("opener").over(Window.partitionBy(group).orderBy(order)) == F.col("opener")), F.lit(False)))
 
 
+def _streamed(df: DataFrame, groups: list[str], order: str, fold, schema: str) -> DataFrame:
+    """`fold` over the rows of each group in order, as they come: groups are dealt out, sorted on disk where need be, and a task holds the state of one group, never its rows."""
+    rows = df.repartition(*groups).sortWithinPartitions(*groups, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            cols, out = {n: batch.column(n).to_pylist() for n in batch.schema.names}, []
+            for i in range(batch.num_rows):
+                own = tuple(cols[g][i] for g in groups)
+                if own != key:
+                    key, state = own, None
+                state, value = fold(state, {n: c[i] for n, c in cols.items()})
+                out.append(value)
+            yield pa.record_batch([*batch.columns, pa.array(out)], names=[*batch.schema.names, "_out"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def greedy_pack(df: DataFrame, group: str, order: str, size: str, limit: int) -> DataFrame:
-    """(group, order, size, pack): rows are added to a pack while their sizes sum to at most `limit`, then a new one begins.
+    """(group, order, size, pack): rows are added to a pack while their sizes sum to at most `limit`, then a new one begins."""
+
+    def fold(state, row):
+        (total, pack), n = state or (0, 0), row[size] or 0
+        total, pack = (n, pack + 1) if total + n > limit and total > 0 else (total + n, pack)
+        return (total, pack), pack
 
-    The sum starts again at each new pack, so it is folded over the ordered sizes of a group.
-    """
-    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, size))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("pack"), F.array().cast("array<int>").alias("out"))
+    own = df.select(group, order, size)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields), "_out bigint"])
+    return _streamed(own, [group], order, fold, schema).select(group, order, size, F.col("_out").cast("int").alias("pack"))
 
-    def step(acc, r):
-        n = r[size].cast("long")
-        new = (acc["sum"] + n > limit) & (acc["sum"] > 0)
-        pack = F.when(new, acc["pack"] + 1).otherwise(acc["pack"])
-        return F.struct(F.when(new, n).otherwise(acc["sum"] + n).alias("sum"), pack.alias("pack"), F.concat(acc["out"], F.array(pack)).alias("out"))
 
-    packed = rows.select(group, "rows", F.aggregate("rows", start, step)["out"].alias("packs"))
-    return packed.select(group, F.inline(F.zip_with("rows", "packs", lambda r, p: F.struct(r[order].alias(order), r[size].alias(size), p.alias("pack")))))
+def unlink_repeats(df: DataFrame, group: str, order: str, target: str, within: int, reset: str | None = None) -> DataFrame:
+    """(group, target, order, keep): a link is kept unless its target was kept in one of the `within` places before; a kept one starts the clock anew, and so does a new value of `reset`, as of a heading."""
 
+    def fold(state, row):
+        last, section = state or (None, None)
+        if reset and row[reset] != section:
+            last = None
+        keep = last is None or row[order] - last > within
+        return (row[order] if keep else last, row[reset] if reset else None), keep
 
-def unlink_repeats(df: DataFrame, group: str, order: str, target: str, within: int) -> DataFrame:
-    """`df` with keep: a link is kept unless its target was kept in one of the `within` places before; a kept one starts the clock anew."""
-    rows = df.groupBy(group, target).agg(F.array_sort(F.collect_list(F.col(order).cast("long"))).alias("at"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<boolean>").alias("out"))
+    own = df.select(group, target, F.col(order).cast("long").alias(order), *([reset] if reset else []))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields), "_out boolean"])
+    return _streamed(own, [group, target], order, fold, schema).select(group, target, order, F.col("_out").alias("keep"))
 
-    def step(acc, p):
-        keep = acc["last"].isNull() | (p - acc["last"] > within)
-        return F.struct(F.when(keep, p).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(keep)).alias("out"))
 
-    folded = rows.select(group, target, "at", F.aggregate("at", start, step)["out"].alias("keep"))
-    return folded.select(group, target, F.inline(F.zip_with("at", "keep", lambda a, k: F.struct(a.alias(order), k.alias("keep")))))
+def bounded_context(df: DataFrame, group: str, order: str, value: str, before: int = 2, words: int = 150) -> DataFrame:
+    """`df` with the last `words` words of the `before` values that come before each row."""
+    out = context(df, group, order, value, before)
+    w = F.filter(F.split("context", "\\s+"), lambda x: x != "")
+    return out.withColumn("context", F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - words + 1), F.greatest(F.lit(1), F.size(w))), " "))
 
 
 def upsert(state: DataFrame, changes: DataFrame, keys: list[str], *order: str) -> DataFrame:

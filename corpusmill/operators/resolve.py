@@ -96,8 +96,21 @@ def phrase_mentions(docs: DataFrame, phrases: DataFrame, most: int = 3) -> DataF
     return found.join(phrases.select("phrase").distinct(), "phrase").groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
 
 
+#: Entries of a glossary that are tested without a join.
+IN_ROW = 64
+
+
 def glossary_consistency(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
-    """(source_id, draft_id, term, target): terms of the source whose target the draft lacks; glossary: (term, target), single words."""
+    """(source_id, draft_id, term, target): terms of the source whose target the draft lacks; glossary: (term, target), single words.
+
+    A glossary of IN_ROW entries or fewer is tested in the row of the pair; a longer one is joined on the words.
+    """
+    small = glossary.select("term", "target").distinct().limit(IN_ROW + 1).collect()
+    if len(small) <= IN_ROW:
+        a, b = (F.array_distinct(T.words(F.lower(c))) for c in ("source_text", "draft_text"))
+        entries = F.array(*(F.struct(F.lit(r["term"]).alias("term"), F.lit(r["target"]).alias("target")) for r in small)).cast("array<struct<term:string,target:string>>")
+        rows = pairs.select("source_id", "draft_id", a.alias("a"), b.alias("b"))
+        return rows.select("source_id", "draft_id", F.inline(F.filter(entries, lambda g: F.array_contains(F.col("a"), g["term"]) & ~F.array_contains(F.col("b"), g["target"]))))
     src = pairs.select("source_id", "draft_id", F.explode(F.array_distinct(T.words(F.lower("source_text")))).alias("term")).join(glossary, "term")
     dst = pairs.select("source_id", "draft_id", F.explode(F.array_distinct(T.words(F.lower("draft_text")))).alias("target"))
     return src.join(dst, ["source_id", "draft_id", "target"], "left_anti").select("source_id", "draft_id", "term", "target")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +34,33 @@ def read_journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
-    """(topic, term, value) from JSON files of the shape {topic: {term: value}}."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,string>>").alias("m"))
-    topics = raw.select(F.explode("m").alias("topic", "terms"))
-    return topics.select("topic", F.explode("terms").alias("term", "value"))
+    """(topic, term, value) from JSON files of the shapes {topic: {term: value}}, {term: value} and [{term, value}]; a value that is no text stays JSON.  A missing folder or a file that is no JSON gives no rows."""
+    kind = "map<string,string>"
+    try:
+        raw = spark.read.text(path, wholetext=True).select("value")
+        raw.limit(1).count()
+    except AnalysisException:
+        raw = spark.createDataFrame([], "value string")
+    listed = raw.select(F.explode(F.from_json("value", "array<struct<term:string,value:string>>")).alias("x")).select(F.lit(None).cast("string").alias("topic"), "x.term", "x.value").filter("term IS NOT NULL")
+    outer = raw.filter("startswith(trim(value), '{')").select(F.explode(F.from_json("value", kind)).alias("topic", "inner"))
+    nested = outer.select("topic", F.col("inner"), F.when(F.startswith("inner", F.lit("{")), F.from_json("inner", kind)).alias("m"))
+    deep = nested.filter("m IS NOT NULL").select("topic", F.explode("m").alias("term", "value"))
+    flat = nested.filter("m IS NULL").select(F.lit(None).cast("string").alias("topic"), F.col("topic").alias("term"), F.col("inner").alias("value"))
+    return deep.unionByName(flat).unionByName(listed)
+
+
+def fetch_pages(titles: DataFrame, snapshot: DataFrame, redirects: DataFrame) -> DataFrame:
+    """(title, resolved, text, status) of titles in a snapshot (title, text, disambiguation): redirects (title, target) are followed once; status is ok, redirected, disambiguation or missing."""
+    to = titles.select("title").distinct().join(redirects.select("title", F.col("target").alias("_to")), "title", "left").withColumn("resolved", F.coalesce("_to", "title"))
+    rows = to.join(snapshot.select(F.col("title").alias("resolved"), "text", F.coalesce("disambiguation", F.lit(False)).alias("_d"), F.lit(True).alias("_there")), "resolved", "left")
+    status = F.when(F.col("_there").isNull(), "missing").when(F.col("_d"), "disambiguation").when(F.col("_to").isNotNull(), "redirected").otherwise("ok")
+    return rows.select("title", "resolved", F.when(~status.isin("missing", "disambiguation"), F.col("text")).alias("text"), status.alias("status"))
+
+
+def write_lexicon(terms: DataFrame, path: str) -> None:
+    """JSON lines {topic, terms: {term: target}}, one folder for each topic."""
+    rows = terms.groupBy("topic").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "target")))).alias("terms"))
+    rows.write.mode("overwrite").partitionBy("topic").json(path)
 
 
 def write_artefacts(rows: DataFrame, path: str, by: str) -> None:
