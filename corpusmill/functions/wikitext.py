@@ -84,7 +84,11 @@ FAMILIES = {
 def candidates(text) -> Column:
     """Array of (family, term) found in a text."""
     t = for_extraction(text)
-    found = [F.transform(F.array_distinct(F.regexp_extract_all(t, F.lit(p), F.lit(g))), lambda x, k=k: F.struct(F.lit(k).alias("family"), F.trim(x).alias("term"))) for k, (p, g) in FAMILIES.items()]
+
+    def family(name: str, pattern: str, group: int) -> Column:
+        return F.transform(F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(group))), lambda x: F.struct(F.lit(name).alias("family"), F.trim(x).alias("term")))
+
+    found = [family(k, p, g) for k, (p, g) in FAMILIES.items()]
     return F.filter(F.concat(*found), lambda x: x["term"] != "")
 
 

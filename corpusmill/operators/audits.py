@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as DT
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as T
@@ -98,13 +99,13 @@ def pairs_in_order(docs: DataFrame, by: str = "source") -> DataFrame:
     return out.join(texts.select(F.col("doc_id").alias("draft_id"), F.col("text").alias("draft_text")), "draft_id").select("source_id", "draft_id", "source_text", "draft_text")
 
 
-@pandas_udf("array<struct<value:string,missing:bigint>>")
+@pandas_udf(DT.ArrayType(DT.StructType([DT.StructField("value", DT.StringType()), DT.StructField("missing", DT.LongType())])))
 def bag_difference(a: pd.Series, b: pd.Series) -> pd.Series:
     """Values of the first array that the second has fewer of, and how many fewer."""
     return pd.Series([[{"value": v, "missing": n} for v, n in (Counter(x) - Counter(y)).items()] for x, y in zip(a, b, strict=True)])
 
 
-@pandas_udf("bigint")
+@pandas_udf(DT.LongType())
 def bag_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     """Values that two arrays have in common, as bags."""
     return pd.Series([(Counter(x) & Counter(y)).total() for x, y in zip(a, b, strict=True)])

@@ -281,7 +281,7 @@ def thread_terms(threads: DataFrame) -> DataFrame:
     ]
     said = F.concat(*(F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in proposals))
     proposed = F.transform(F.when(named.isNotNull(), said).otherwise(F.array().cast("array<string>")), lambda x: F.struct(named.alias("term"), F.trim(x).alias("target"), F.lit("proposal").alias("family")))
-    sides = F.transform(F.split(title, "(?i)\\bvs\\.?\\b"), lambda x: F.trim(x))
+    sides = F.transform(F.split(title, "(?i)\\bvs\\b\\.?"), lambda x: F.trim(x))
     versus = F.when((F.size(sides) == 2) & F.contains(F.lower(t), F.lit("baku")), F.array(F.when(F.contains(F.lower(t), F.lower(sides[1])), F.struct(F.lower(sides[0]).alias("term"), sides[1].alias("target"), F.lit("versus").alias("family"))).when(F.contains(F.lower(t), F.lower(sides[0])), F.struct(F.lower(sides[1]).alias("term"), sides[0].alias("target"), F.lit("versus").alias("family")))))
     rows = threads.select("thread_id", W.topic(F.concat_ws(" ", "title", "text")).alias("topic"), F.explode(F.filter(F.concat(F.transform(linked, pair), proposed, F.coalesce(versus, F.array())), lambda x: x.isNotNull())).alias("x"))
     return rows.select("thread_id", "x.term", "x.target", "topic", "x.family").filter("length(term) > 2 AND length(target) > 2 AND term <> lower(target)").distinct()

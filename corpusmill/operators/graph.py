@@ -23,7 +23,7 @@ def checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Each round reads the last one from the shared checkpoint folder, so plans and lineage stay short."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -32,10 +32,10 @@ def _cut(df: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
     """(node, level): nodes within `depth` links of the roots, with the smallest number of links.  edges: (src, dst); roots: (node)."""
     e = edges.filter("src <> dst").select("src", "dst").distinct()
-    seen = front = _cut(roots.select("node").distinct().withColumn("level", F.lit(0)))
+    seen = front = cut(roots.select("node").distinct().withColumn("level", F.lit(0)))
     for k in range(1, depth + 1):
         front = front.join(e, front["node"] == e["src"]).select(F.col("dst").alias("node")).distinct()
-        front = _cut(front.join(seen, "node", "left_anti").withColumn("level", F.lit(k)))
+        front = cut(front.join(seen, "node", "left_anti").withColumn("level", F.lit(k)))
         if front.isEmpty():
             break
         seen = seen.union(front)
@@ -54,17 +54,17 @@ def levels(edges: DataFrame) -> DataFrame:
 
     Peels free nodes until none is left, so a chain takes as many rounds as it is long.
     """
-    e = _cut(edges.filter("src <> dst").select("src", "dst").distinct())
-    left = _cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    e = cut(edges.filter("src <> dst").select("src", "dst").distinct())
+    left = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
     out, k = None, 0
     while True:
-        free = _cut(left.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
+        free = cut(left.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
         if free.isEmpty():
             break
         done = free.withColumn("level", F.lit(k))
-        out = done if out is None else _cut(out.union(done)) if k % 20 == 19 else out.union(done)
-        left = _cut(left.join(free, "node", "left_anti"))
-        e = _cut(e.join(free.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        out = done if out is None else cut(out.union(done)) if k % 20 == 19 else out.union(done)
+        left = cut(left.join(free, "node", "left_anti"))
+        e = cut(e.join(free.select(F.col("node").alias("dst")), "dst", "left_anti"))
         k += 1
     rest = left.withColumn("level", F.lit(-1))
     return rest if out is None else out.union(rest)
@@ -163,10 +163,10 @@ def deployment(edges: DataFrame, available: DataFrame, missing: DataFrame, journ
     e = edges.select("src", "dst").distinct()
     if journal is not None:
         missing = missing.join(journal.filter("status = 'drafted'").select("node"), "node", "left_anti")
-    blocked = front = _cut(missing.select("node").distinct())
+    blocked = front = cut(missing.select("node").distinct())
     while not front.isEmpty():
         front = e.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
-        front = _cut(front.join(blocked, "node", "left_anti"))
-        blocked = _cut(blocked.union(front))
+        front = cut(front.join(blocked, "node", "left_anti"))
+        blocked = cut(blocked.union(front))
     nodes = available.select("node").union(e.select("src")).union(e.select("dst")).union(missing.select("node")).distinct()
     return nodes.join(blocked.withColumn("b", F.lit(True)), "node", "left").select("node", F.when(F.col("b"), "blocked").otherwise("deployed").alias("status"))

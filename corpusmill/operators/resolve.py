@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as T
-from .graph import _cut
+from .graph import cut
 
 #: Orders in which sources of a term are asked.
 TERM_ORDER = ("custom", "topic_consensus", "consensus", "topic", "base", "idiom", "cache", "remote")
 SECTION_ORDER = ("consensus", "topic_consensus", "custom", "topic", "idiom", "ethnonym", "office", "base", "cache", "remote")
 
 
+#: Entries of a glossary or a list that are tested without a join.
+IN_ROW = 64
+
+
 def priority(source: Column, order: tuple[str, ...]) -> Column:
     """The place of a source in an order; unknown sources come last."""
     return F.coalesce(F.array_position(F.array(*map(F.lit, order)), source), F.lit(0)).cast("int") + F.when(source.isin(*order), 0).otherwise(len(order) + 1)
@@ -85,21 +89,26 @@ def longest_only(terms: DataFrame) -> DataFrame:
 
 
 def phrase_mentions(docs: DataFrame, phrases: DataFrame, most: int = 3) -> DataFrame:
-    """(doc_id, phrase, n): occurrences of phrases of up to `most` words, as an equi-join on word n-grams instead of a contains join."""
+    """(doc_id, phrase, n): occurrences of phrases of up to `most` words, as an equi-join on word n-grams instead of a contains join.
+
+    The texts are read once.  A list of IN_ROW phrases or fewer is tested in the row, so that only
+    hits leave it; a longer one is joined.
+    """
     w = docs.select("doc_id", T.words(F.lower("text")).alias("w"))
 
-    def grams(k: int) -> DataFrame:
-        at = F.sequence(F.lit(1), F.size("w") - (k - 1))
-        return w.filter(F.size("w") >= k).select("doc_id", F.explode(F.transform(at, lambda i: F.array_join(F.slice("w", i, k), " "))).alias("phrase"))
+    def grams(k: int) -> Column:
+        at = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice("w", i, k), " "))
 
-    found = reduce(DataFrame.union, [grams(k) for k in range(1, most + 1)])
+    every = F.concat(F.col("w"), *(grams(k) for k in range(2, most + 1)))
+    small = [r[0] for r in phrases.select("phrase").distinct().limit(IN_ROW + 1).collect()]
+    if len(small) <= IN_ROW:
+        found = w.select("doc_id", F.explode(F.filter(every, lambda g: g.isin(*small))).alias("phrase"))
+        return found.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
+    found = w.select("doc_id", F.explode(every).alias("phrase"))
     return found.join(phrases.select("phrase").distinct(), "phrase").groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
 
 
-#: Entries of a glossary that are tested without a join.
-IN_ROW = 64
-
-
 def glossary_consistency(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     """(source_id, draft_id, term, target): terms of the source whose target the draft lacks; glossary: (term, target), single words.
 
@@ -212,7 +221,7 @@ def _segments(least: float, whole: bool):
 
 
 def _names(df: DataFrame, name: str) -> DataFrame:
-    return _cut(df.select(F.col(name).alias("name")).filter("name IS NOT NULL").distinct())
+    return cut(df.select(F.col(name).alias("name")).filter("name IS NOT NULL").distinct())
 
 
 def _ratio(least: float = 0.0):
@@ -265,7 +274,7 @@ def same_entity(a: DataFrame, b: DataFrame, least: float = 0.82) -> DataFrame:
     """(a, b, ratio): all pairs of different names of one entity: alike by ratio, words of one inside the other, exonyms, or words with one stem.  The ratio is below `least` where only another way holds."""
     names_a, names_b = _names(a, "a"), _names(b, "b")
     schema = "name string, e string, tokens array<string>, stems array<string>"
-    x, y = (_cut(n.mapInArrow(_forms, schema)) for n in (names_a, names_b))
+    x, y = (cut(n.mapInArrow(_forms, schema)) for n in (names_a, names_b))
     inside = _inside(x, y).toDF("a", "b").union(_inside(y, x).toDF("b", "a").select("a", "b"))
     both = [*EXONYMS, *((q, p) for p, q in EXONYMS)]
     exonyms = a.sparkSession.createDataFrame(both, "ea string, eb string").distinct()
@@ -279,5 +288,5 @@ def same_entity(a: DataFrame, b: DataFrame, least: float = 0.82) -> DataFrame:
     (sa, starts_a), (sb, starts_b) = stems(x, "a"), stems(y, "b")
     alike = [p.join(q, "s").select("a", "b") for p, q in ((sa, sb), (starts_a, sb), (sa, starts_b))]
     sure = reduce(DataFrame.union, [inside, exonyms, *alike]).distinct()
-    near = _cut(_near(names_a, names_b, least))
+    near = cut(_near(names_a, names_b, least))
     return near.union(sure.join(near.select("a", "b"), ["a", "b"], "left_anti").withColumn("ratio", _ratio()("a", "b")))

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
 from ..functions import text as T
 from ..functions import wikitext as W
@@ -49,8 +50,11 @@ def grammar(text, rules: list[tuple[str, str]] = GRAMMAR) -> Column:
 
 def title_anachronisms(docs: DataFrame, rules: list[tuple[str, str]] = OFFICES) -> DataFrame:
     """(doc_id, found, canonical): calques of old offices."""
-    found = F.concat(*(F.transform(T.matches("text", f"(?i)\\b{p}\\b"), lambda m, c=c: F.struct(m.alias("found"), F.lit(c).alias("canonical"))) for p, c in rules))
-    return docs.select("doc_id", F.inline(found))
+
+    def found(pattern: str, canonical: str) -> Column:
+        return F.transform(T.matches("text", f"(?i)\\b{pattern}\\b"), lambda m: F.struct(m.alias("found"), F.lit(canonical).alias("canonical")))
+
+    return docs.select("doc_id", F.inline(F.concat(*(found(p, c) for p, c in rules))))
 
 
 def link_issues(docs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -108,7 +112,7 @@ def review(pairs: DataFrame, fatal=FATAL, calques=CALQUES, typos=TYPOS) -> DataF
     return rows.select("draft_id", "n_fatal", "n_calques", "n_typos", "n_reference_issues", "score", W.verdict("score", "n_fatal").alias("verdict"), F.round("completeness", 3).alias("completeness"))
 
 
-@pandas_udf("boolean")
+@pandas_udf(BooleanType())
 def sentence_lost(before: pd.Series, after: pd.Series) -> pd.Series:
     """Whether a sentence (array of words) of four words or more has under 60 % of its words, as a bag, in the text after."""
 
@@ -146,8 +150,11 @@ def section_gate(sections: DataFrame) -> DataFrame:
 
 def sorted_violations(docs: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """(doc_id, violations): array of (line, rule, severity, found) in order of line and rule; markup that is no prose is skipped."""
-    lines = F.split("text", "\n")
-    found = F.flatten(F.transform(lines, lambda s, i: F.concat(*(F.transform(T.matches(F.regexp_replace(s, rewrites.KEPT, ""), f"(?i){p}"), lambda m, name=name, sev=sev, i=i: F.struct((i + 1).alias("line"), F.lit(name).alias("rule"), F.lit(sev).alias("severity"), m.alias("found"))) for name, sev, p in rules))))
+
+    def on_line(line: Column, i: Column, name: str, severity: str, pattern: str) -> Column:
+        return F.transform(T.matches(F.regexp_replace(line, rewrites.KEPT, ""), f"(?i){pattern}"), lambda m: F.struct((i + 1).alias("line"), F.lit(name).alias("rule"), F.lit(severity).alias("severity"), m.alias("found")))
+
+    found = F.flatten(F.transform(F.split("text", "\n"), lambda line, i: F.concat(*(on_line(line, i, *r) for r in rules))))
     return docs.select("doc_id", F.array_sort(found).alias("violations"))
 
 

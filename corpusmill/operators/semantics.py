@@ -5,7 +5,7 @@ Every audit gives findings as rows (…, rule, severity, detail); scores are sum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .audits import clamped
@@ -33,11 +33,17 @@ MODALITY = [
 ]
 #: Forms that take a direction for the name of a sea.  The correct word for southeast is no error.
 COMPASS = [("northeast", "timur Laut"), ("northwest", "barat Laut"), ("southwest", "barat Daya")]
-NO_OWNER = "today yesterday tomorrow nature world year there here it that what where who when why how he she let action".split()
-REFLEXIVE = "\\b(?:declared|found|considered|judged|treated|diagnosed|appointed|cast|named|elected) (?:him|her|them) (?:as )?[a-z]+\\b"
-#: Particles written apart, and the twelve conjunctions that are written as one word.
-APART = "apapun siapapun manapun kapanpun merekapun diapun".split()
-BOUND = "pasca sub multi pra non anti tuna swa intra ekstra ultra infra pan tri dwi sapta dasawarsa trans poli eko ko".split()
+#: Words that own nothing, whatever their case.
+UNOWNED = [
+    "action", "he", "here", "how", "it", "let", "nature", "she", "that", "there", "today",
+    "tomorrow", "what", "when", "where", "who", "why", "world", "year", "yesterday",
+]
+#: Verbs by which one person makes another something, and whom.
+JUDGING = ["appointed", "cast", "considered", "declared", "diagnosed", "elected", "found", "judged", "named", "treated"]
+OTHERS = ["her", "him", "them"]
+#: Words before a particle that stands apart, and bound forms; defaults where a caller brings no knowledge table.
+APART = ["apa", "dia", "kapan", "mana", "mereka", "siapa"]
+BOUND = ["anti", "multi", "non", "pasca", "pra", "sub", "swa", "tuna", "ultra"]
 
 PENALTY = {"critical": 15, "high": 10, "medium": 5}
 
@@ -46,23 +52,29 @@ def has(text: Column, words: str, fold: bool = True) -> Column:
     return text.rlike(f"{'(?i)' if fold else ''}\\b(?:{words})\\b")
 
 
-def sentence_findings(pairs: DataFrame) -> DataFrame:
-    """(pair_id, rule, severity, detail) for aligned sentences (pair_id, source, draft)."""
-    s, d = F.col("source"), F.col("draft")
+#: Rules of a table that are held as literals in the row.
+MOST_RULES = 1_000
 
-    def finding(rule: str, severity: str, detail: Column, when: Column) -> Column:
-        return F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), detail.alias("detail")))
 
-    owners = F.regexp_extract_all(s, F.lit("\\b([A-Z][a-z]+)'s [a-z]+\\b"), F.lit(1))
-    lost = F.filter(owners, lambda o: ~F.lower(o).isin(NO_OWNER) & ~F.contains(F.lower(d), F.lower(o)))
-    fixed = [
-        *(finding("polarity", "critical", F.lit(f"{a} / {b}"), has(s, a) & has(d, b)) for a, b in POLARITY),
-        *(finding("modality", "high", F.lit(f"{a} / {b}"), has(s, a) & has(d, b)) for a, b in MODALITY),
-        *(finding("compass", "high", F.lit(f"{a} / {b}"), has(s, a) & has(d, b, fold=False)) for a, b in COMPASS),
-        finding("reflexive", "critical", F.regexp_extract(s, f"(?i){REFLEXIVE}", 0), s.rlike(f"(?i){REFLEXIVE}") & has(d, "dirinya") & ~F.contains(F.lower(d), F.lit("dirinya sendiri"))),
-    ]
-    owned = F.transform(lost, lambda o: F.struct(F.lit("owner").alias("rule"), F.lit("critical").alias("severity"), o.alias("detail")))
-    return pairs.select("pair_id", F.inline(F.concat(F.filter(F.array(*fixed), lambda x: x.isNotNull()), owned)))
+def default_rules(spark: SparkSession) -> DataFrame:
+    """(rule, severity, source, draft, folded): what stands in the source, and what in the draft then turns its meaning."""
+    rows = [("polarity", "critical", a, b, True) for a, b in POLARITY] + [("modality", "high", a, b, True) for a, b in MODALITY] + [("compass", "high", a, b, False) for a, b in COMPASS]
+    rows.append(("reflexive", "critical", f"(?:{'|'.join(JUDGING)})\\s+(?:{'|'.join(OTHERS)})", "dirinya(?!\\s+sendiri)", True))
+    return spark.createDataFrame(rows, "rule string, severity string, source string, draft string, folded boolean")
+
+
+def sentence_findings(pairs: DataFrame, rules: DataFrame | None = None, unowned: list[str] = UNOWNED) -> DataFrame:
+    """(pair_id, rule, severity, detail) for aligned sentences (pair_id, source, draft): the rules of a table that hold, and owners (X's thing) that the draft does not name."""
+    table = (default_rules(pairs.sparkSession) if rules is None else rules).limit(MOST_RULES + 1).collect()
+    if len(table) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    s, d = F.coalesce("source", F.lit("")), F.coalesce("draft", F.lit(""))
+    hits = [F.when(has(s, r["source"]) & has(d, r["draft"], r["folded"]), F.struct(F.lit(r["rule"]).alias("rule"), F.lit(r["severity"]).alias("severity"), F.lit(f"{r['source']} / {r['draft']}").alias("detail"))) for r in table]
+    named = F.transform(F.split(s, "'s\\s+(?=\\p{Ll})"), lambda part: F.regexp_extract(part, "(?:^|[^\\p{L}])(\\p{Lu}\\p{Ll}+)$", 1))
+    owners = F.slice(named, 1, F.greatest(F.lit(0), F.size(named) - 1))  # what follows the last mark owns nothing
+    missing = F.filter(owners, lambda o: (o != "") & ~F.lower(o).isin(*unowned) & ~F.contains(F.lower(d), F.lower(o)))
+    owned = F.transform(missing, lambda o: F.struct(F.lit("owner").alias("rule"), F.lit("critical").alias("severity"), o.alias("detail")))
+    return pairs.select("pair_id", F.inline(F.concat(owned, F.filter(F.array(*hits), lambda x: x.isNotNull()))))
 
 
 def scored(findings: DataFrame, ids: DataFrame, key: str, penalty: dict[str, int] = PENALTY) -> DataFrame:
@@ -95,11 +107,11 @@ def guarded_rewrites(docs: DataFrame, rules: list[tuple[list[str], str, str]]) -
     return docs.withColumn("text", t)
 
 
-def orthography(text: Column) -> Column:
-    """Particles apart from the word before them; bound forms joined to a small letter, hyphenated before a capital."""
-    t = F.regexp_replace(text, f"\\b({'|'.join(w.removesuffix('pun') for w in APART)})pun\\b", "$1 pun")
-    t = F.regexp_replace(t, f"\\b({'|'.join(BOUND)}) (\\p{{Lu}})", "$1-$2")
-    return F.regexp_replace(t, f"\\b({'|'.join(BOUND)})[- ](\\p{{Ll}})", "$1$2")
+def orthography(text: Column, apart: list[str] = APART, bound: list[str] = BOUND) -> Column:
+    """The particle pun apart from the words on the list; bound forms joined to a small letter, hyphenated before a capital."""
+    t = F.regexp_replace(text, f"\\b({'|'.join(apart)})pun\\b", "$1 pun")
+    t = F.regexp_replace(t, f"\\b({'|'.join(bound)}) (\\p{{Lu}})", "$1-$2")
+    return F.regexp_replace(t, f"\\b({'|'.join(bound)})[- ](\\p{{Ll}})", "$1$2")
 
 
 def publish_gate(plans: DataFrame, live: DataFrame, blockers: DataFrame, allow_existing: bool = False) -> DataFrame:

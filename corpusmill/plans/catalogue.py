@@ -185,7 +185,8 @@ def candidate_terms(spark, d):
 @query(f"""WITH t AS (SELECT doc_id, term FROM {_TERMS})
     SELECT doc_id, term FROM t WHERE NOT EXISTS (SELECT 1 FROM t AS u WHERE u.doc_id = t.doc_id AND u.term <> t.term AND contains(' ' || u.term || ' ', ' ' || t.term || ' '))""")
 def substring_elimination(spark, d):
-    terms = _docs(spark, d).select("doc_id", F.explode(T.matches("text", T.PROPER)).alias("term")).distinct()
+    # three ways lead to the terms below, so they are taken from the texts once
+    terms = graph.cut(_docs(spark, d).select("doc_id", F.explode(F.array_distinct(T.matches("text", T.PROPER))).alias("term")))
     return resolve.longest_only(terms)
 
 

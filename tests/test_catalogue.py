@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from corpusmill.plans import catalogue
+from corpusmill.plans import catalogue, markup  # noqa: F401  markup adds its queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables are not here")
