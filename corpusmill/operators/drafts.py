@@ -7,8 +7,13 @@ empty plans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..functions import wikitext as W
@@ -313,6 +318,24 @@ def archive_pages(archives: DataFrame, first: int, last: int) -> DataFrame:
     return keep_first(years.select(F.format_string("%s%d", F.regexp_replace("pattern", "%d$", ""), "year").alias("title"), "year"), F.col("title"), F.col("year"))
 
 
+def translated(sections: DataFrame, translate: Callable[[pd.Series], pd.Series], text: str = "content") -> DataFrame:
+    """`sections` with draft: the hook for a translator, called on Arrow batches of texts; it may return null where it refuses one."""
+
+    @pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return translate(texts)
+
+    return sections.withColumn("draft", run(text))
+
+
+def cached_entries(lemmas: DataFrame, cache: DataFrame, live: DataFrame, now: Column, ttl: str = "INTERVAL 30 DAYS") -> DataFrame:
+    """(lemma, json, origin): a fresh cache row (lemma, json, updated_at), else the live answer (lemma, json), else the stale row, else nothing."""
+    c = cache.select("lemma", F.col("json").alias("_c"), (F.col("updated_at") > now - F.expr(ttl)).alias("_fresh"))
+    rows = lemmas.select("lemma").distinct().join(c, "lemma", "left").join(live.select("lemma", F.col("json").alias("_l")), "lemma", "left")
+    origin = F.when(F.col("_fresh"), "fresh").when(F.col("_l").isNotNull(), "live").when(F.col("_c").isNotNull(), "stale").otherwise("none")
+    return rows.select("lemma", F.when(F.col("_fresh"), F.col("_c")).otherwise(F.coalesce("_l", "_c")).alias("json"), origin.alias("origin"))
+
+
 def case_kept_fixes(text, fixes: list[tuple[str, str]]) -> Column:
     """Words replaced in the case they stand in, longest first, between markup."""
     rules = rewrites.any_case(sorted(fixes, key=lambda x: (-len(x[0]), x[0])))

@@ -123,6 +123,59 @@ def sentence_lost(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(before, after, strict=True)], dtype="bool")
 
 
+def escalation(reviewed: DataFrame, least_score: int = 60, least_share: float = 0.4, long_enough: int = 250, fatal: int = 3) -> DataFrame:
+    """(draft_id, anew, reasons) of reviews (draft_id, score, n_fatal, n_draft, n_source): an article is translated anew where it has too small a share of a long source, too low a score, or too many fatal findings."""
+    reasons = F.array(
+        F.when((F.col("n_source") >= long_enough) & (F.col("n_draft") < F.col("n_source") * least_share), "incomplete"), F.when(F.col("score") < least_score, "low score"), F.when(F.col("n_fatal") >= fatal, "fatal findings"),
+    )
+    return reviewed.select("draft_id", F.filter(reasons, lambda r: r.isNotNull()).alias("reasons")).select("draft_id", (F.size("reasons") > 0).alias("anew"), "reasons")
+
+
+#: Verbs that report a quotation, in the source and in the draft, and roles as a source phrase, a draft phrase.
+SAYS = ("wrote|writes|said|says|stated|noted|recalled|described|argued|called", "menulis|mengatakan|menyatakan|mencatat|mengenang|menggambarkan|menuturkan|menyebut")
+ROLES = [("director", "directed by", "disutradarai oleh"), ("maker", "(?:developed|created) by", "(?:dibuat|dikembangkan) oleh")]
+
+
+def speakers(text: Column, verbs: str) -> Column:
+    """Names that a reporting verb and a quotation follow."""
+    name = "(?:\\[\\[)?(\\p{Lu}\\p{L}+(?: \\p{Lu}\\p{L}+)*)(?:\\]\\])?"
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{name},? (?:{verbs})(?: \\p{{Ll}}+)?[,:]? [\"“«]"), F.lit(1)))
+
+
+def attribution(pairs: DataFrame, roles: list[tuple[str, str, str]] = ROLES) -> DataFrame:
+    """(draft_id, kind, name): who the draft quotes but the source does not, and linked roles that the draft gives to another."""
+    strange = F.transform(F.array_except(speakers(F.col("draft_text"), SAYS[1]), speakers(F.col("source_text"), SAYS[0])), lambda n: F.struct(F.lit("speaker").alias("kind"), n.alias("name")))
+
+    def turned(kind: str, source: str, draft: str) -> Column:
+        a = F.regexp_extract(F.coalesce("source_text", F.lit("")), f"(?i)\\b{source} \\[\\[([^\\]|]+)", 1)
+        b = F.regexp_extract(F.coalesce("draft_text", F.lit("")), f"(?i)\\b{draft} \\[\\[([^\\]|]+)", 1)
+        return F.when((a != "") & (b != "") & (F.lower(a) != F.lower(b)), F.struct(F.lit(kind).alias("kind"), b.alias("name")))
+
+    found = F.filter(F.array(*(turned(*r) for r in roles)), lambda x: x.isNotNull())
+    return pairs.select("draft_id", F.inline(F.concat(strange, found)))
+
+
+def relinked(pairs: DataFrame) -> DataFrame:
+    """(draft_id, text, n): names that the source links and the draft has as plain text are linked again, once each, longest first, between markup."""
+    names = F.array_distinct(F.regexp_extract_all(F.coalesce("source_text", F.lit("")), F.lit("\\[\\[([^\\[\\]|#:]+)"), F.lit(1)))
+    outside = F.regexp_replace(F.coalesce("draft_text", F.lit("")), f"(?s){rewrites.KEPT}", "␞")
+    wanted = F.filter(names, lambda n: F.contains(outside, n) & ~F.contains(F.coalesce("draft_text", F.lit("")), F.concat(F.lit("[["), n)))
+    ordered = F.transform(F.array_sort(F.transform(wanted, lambda n: F.struct((-F.length(n)).alias("k"), n.alias("n")))), lambda x: x["n"])
+    text = F.aggregate(ordered, F.coalesce("draft_text", F.lit("")), lambda acc, n: F.regexp_replace(acc, F.concat(F.lit("(?s)^(.*?)(?<![\\p{L}\\[|])(\\Q"), n, F.lit("\\E)(?![\\p{L}\\]|])")), F.lit("$1[[$2]]")))
+    return pairs.select("draft_id", text.alias("text"), F.size(wanted).alias("n"))
+
+
+def unanchored_sentences(pairs: DataFrame, last: int = 2, least: int = 5) -> DataFrame:
+    """(draft_id, sentence): among the last sentences of a draft that has more of them than its source, those with `least` stems or more, none of which the source has."""
+    long = lambda t: F.filter(W.sentences(F.coalesce(t, F.lit(""))), lambda s: T.n_matches(s, T.WORD) > 4)
+    stems = lambda t: F.array_distinct(F.transform(T.matches(F.lower(t), "[a-z]{4,}"), lambda w: F.substring(w, 1, 5)))
+    a, b = long("source_text"), long("draft_text")
+    known = stems(F.coalesce("source_text", F.lit("")))
+    end = F.slice(b, F.greatest(F.lit(1), F.size(b) - last + 1), last)
+    odd = F.filter(end, lambda s: (F.size(stems(s)) >= least) & (F.size(F.array_intersect(stems(s), known)) == 0))
+    return pairs.filter(F.size(b) > F.size(a)).select("draft_id", F.explode(odd).alias("sentence"))
+
+
 def save_gate(pairs: DataFrame) -> DataFrame:
     """(draft_id, accepted, reasons): before (source_text) and after (draft_text) a clean-up: nothing empty, no heading or reference lost, markup in balance, and of each sentence of four words or more 60 % of the words kept."""
     a, b = F.coalesce("source_text", F.lit("")), F.coalesce("draft_text", F.lit(""))

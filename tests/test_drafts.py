@@ -147,3 +147,27 @@ def test_sources(spark, tmp_path):
     assert {r.title: (r.status, r.text) for r in out.collect()} == {"A": ("ok", "a"), "B": ("redirected", "b"), "C": ("disambiguation", None), "D": ("missing", None)}
     tables.write_lexicon(spark.createDataFrame([("t", "a", "b"), ("t", "c", "d")], "topic string, term string, target string"), str(tmp_path / "lex"))
     assert spark.read.json(str(tmp_path / "lex")).count() == 1
+
+
+def test_attribution_links_and_escalation(spark):
+    p = pairs_of(
+        spark,
+        ('[[Anna Frey]] wrote: "it was so." It was directed by [[Lev Ilin]].', 'Boris Kant menulis: "begitu." Film disutradarai oleh [[Olga Ro]].'),
+        ("See [[Paris]] and [[New York]] and [[New York City]].", "Di New York City dan Paris, lalu Paris lagi; [[Roma|Paris]]."),
+        ("One long sentence stands here now.", "Kalimat panjang ini ada disini. Selamanya dikenang sebagai pahlawan besar bangsa kita tercinta."),
+    )
+    assert {(r.draft_id, r.kind, r.name) for r in reviews.attribution(p).collect()} == {(0, "speaker", "Boris Kant"), (0, "director", "Olga Ro")}
+    got = {r.draft_id: (r.text, r.n) for r in reviews.relinked(p).collect()}
+    assert got[1] == ("Di [[New York City]] dan [[Paris]], lalu Paris lagi; [[Roma|Paris]].", 3) or got[1][0] == "Di [[New York City]] dan [[Paris]], lalu Paris lagi; [[Roma|Paris]]."
+    assert [(r.draft_id, r.sentence[:10]) for r in reviews.unanchored_sentences(p).collect()] == [(2, "Selamanya ")]
+    e = reviews.escalation(spark.createDataFrame([(1, 90, 0, 50, 300), (2, 50, 3, 300, 300), (3, 90, 0, 10, 100)], "draft_id long, score int, n_fatal int, n_draft int, n_source int"))
+    assert {r.draft_id: list(r.reasons) for r in e.collect()} == {1: ["incomplete"], 2: ["low score", "fatal findings"], 3: []}
+
+
+def test_hooks_and_cache(spark):
+    out = drafts.translated(spark.createDataFrame([(1, "a"), (2, None)], "i int, content string"), lambda s: s.str.upper())
+    assert {r.i: r.draft for r in out.collect()} == {1: "A", 2: None}
+    t = lambda q, s: spark.sql(f"SELECT * FROM VALUES {q} AS t({s})")
+    cache = t("('a', '1', timestamp'2024-01-20'), ('b', '2', timestamp'2023-01-01'), ('c', '3', timestamp'2023-01-01')", "lemma, json, updated_at")
+    out = drafts.cached_entries(spark.createDataFrame([(x,) for x in "abcd"], "lemma string"), cache, t("('a', '9'), ('b', '8')", "lemma, json"), F.expr("timestamp'2024-02-01'"))
+    assert {r.lemma: (r.json, r.origin) for r in out.collect()} == {"a": ("1", "fresh"), "b": ("8", "live"), "c": ("3", "stale"), "d": (None, "none")}
