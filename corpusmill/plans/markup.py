@@ -434,3 +434,114 @@ def _attribution(c: Column) -> Column:
 def attribution_pages(spark, d):
     s = table(spark, d, "supplier").select(F.concat(F.lit("Page "), F.col("s_suppkey")).alias("title"), F.lit("film").alias("topic"), (F.col("s_suppkey") * 7).cast("long").alias("revision"))
     return localise.attribution(s).select("title", "content")
+
+
+# sentences, streams, page sets ------------------------------------------------------------
+
+_SENTENCES = [("The king opposed the treaty.", "Raja mendukung perjanjian."), ("It might rain.", "Hujan pasti turun."), ("They lie northeast.", "Di timur Laut."), ("Newton's law holds.", "Hukum itu berlaku."), ("They declared him king.", "Mereka menobatkan dirinya."), ("He was found.", "Ia ditemukan.")]
+_FOUND = ["polarity", "modality", "compass", "owner", "reflexive"]
+
+
+@query(f"SELECT o_orderkey::BIGINT AS pair_id, {'[' + ', '.join(_quoted(x) for x in _FOUND) + ']'}[(o_orderkey % 6 + 1)::INT] AS rule FROM orders WHERE o_orderkey % 6 < 5")
+def sentence_rules(spark, d):
+    """Polarity, modality, compass, owner and reflexive rules over aligned sentences."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("pair_id"), (F.col("o_orderkey") % 6 + 1).cast("int").alias("k"))
+    side = lambda i: F.element_at(F.array(*(F.lit(s[i]) for s in _SENTENCES)), F.col("k"))
+    return semantics.sentence_findings(o.select("pair_id", side(0).alias("source"), side(1).alias("draft"))).select("pair_id", "rule")
+
+
+@query("SELECT c_custkey::BIGINT AS review_id, c_custkey % 5 = 0 AS accepted FROM customer")
+def claim_reviews(spark, d):
+    """Model answers that are accepted only if complete, supported and quoted from their texts."""
+    good = '{"complete": true, "claims": [{"source_quote": "one", "draft_quote": "satu", "status": "supported"}], "additions": []}'
+    answers = [good, good.replace("true", "false"), good.replace("one", "two"), "{broken", '{"complete": true, "claims": []}']
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("review_id"), F.lit("one three").alias("source"), F.lit("satu tiga").alias("draft"), F.element_at(F.array(*map(F.lit, answers)), (F.col("c_custkey") % 5 + 1).cast("int")).alias("answer"))
+    return semantics.claim_review(c)
+
+
+@query("SELECT s_suppkey::BIGINT AS request_id, CASE WHEN s_suppkey % 3 = 0 THEN 'a' || s_suppkey || 'b' ELSE '' END AS text FROM supplier")
+def event_stream_text(spark, d):
+    """Parts of server-sent events put together; nothing unless the stream ended well."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("request_id"))
+    last = F.when(F.col("request_id") % 3 == 1, F.lit('data: {"text": "b"}')).when(F.col("request_id") % 3 == 2, F.lit("data: {broken")).otherwise(F.lit('data: {"text": "b", "finish": "STOP"}'))
+    lines = F.array(F.struct(F.lit(1).alias("line_no"), F.format_string('data: {"text": "a%d"}', "request_id").alias("line")), F.struct(F.lit(2).alias("line_no"), last.alias("line")), F.struct(F.lit(3).alias("line_no"), F.lit(": comment").alias("line")))
+    return semantics.stream_text(s.select("request_id", F.inline(lines)))
+
+
+_NATION_EDGES = "SELECT 'r' || n_regionkey AS category, n_name AS member, CASE WHEN n_nationkey % 4 = 0 THEN 14 ELSE 0 END AS ns FROM nation"
+
+
+def _nation_edges(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    return n.select(F.concat(F.lit("r"), F.col("n_regionkey")).alias("category"), F.col("n_name").alias("member"), F.when(F.col("n_nationkey") % 4 == 0, 14).otherwise(0).alias("ns"))
+
+
+@query(f"SELECT member AS title FROM ({_NATION_EDGES}) WHERE category = 'r2' AND ns = 0")
+def category_members(spark, d):
+    return pages.members(_nation_edges(spark, d), "r2")
+
+
+@query("""SELECT title, CASE WHEN min(p) = 0 THEN 'link' ELSE 'transclusion' END AS kind FROM (SELECT 'S' || s_suppkey AS title, 0 AS p FROM supplier WHERE s_nationkey = 7 UNION ALL SELECT 'S' || s_suppkey, 1 FROM supplier WHERE s_suppkey % 9 = 0) GROUP BY title""")
+def backlinks(spark, d):
+    """Pages that link to a title or include it, each once, links first."""
+    s = table(spark, d, "supplier")
+    rows = lambda df, to: df.select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("src"), to.alias("dst"), F.lit(0).alias("ns"))
+    return pages.backlinks(rows(s, F.concat(F.lit("N"), F.col("s_nationkey"))), rows(s.filter("s_suppkey % 9 = 0"), F.lit("N7")), "N7")
+
+
+@query(r"SELECT p_partkey::BIGINT AS title FROM part WHERE list_contains(regexp_extract_all(lower(p_name || ' ' || p_type), '[\p{L}\p{N}_]+'), 'economy') AND list_contains(regexp_extract_all(lower(p_name || ' ' || p_type), '[\p{L}\p{N}_]+'), 'small')")
+def search_pages(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("title"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    return pages.search(p, ["economy", "small"])
+
+
+@query("""SELECT s_suppkey::BIGINT AS doc_id, 'Klaim.<ref>{{cite web|url=https://e.org/' || s_suppkey || '|title=T' || CASE WHEN s_suppkey % 2 = 0 THEN '|archive-url=https://a.org/' || s_suppkey || ' |archive-date=2020-01-02 |url-status=live' ELSE '' END || '}}</ref> Lain.' AS text FROM supplier""")
+def archived_citations(spark, d):
+    """Archive parameters put into citations whose address has a snapshot."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("doc_id"))
+    docs = s.select("doc_id", F.format_string("Klaim.<ref>{{cite web|url=https://e.org/%d|title=T}}</ref> Lain.", "doc_id").alias("text"))
+    shots = s.filter("doc_id % 2 = 0").select(F.format_string("https://e.org/%d", "doc_id").alias("url"), F.format_string("https://a.org/%d", "doc_id").alias("archive_url"), F.lit("2020-01-02").alias("archive_date"))
+    return localise.inject_archives(docs, shots)
+
+
+@query("""SELECT s_suppkey::BIGINT AS k, unnest(['English', 'punctuation', 'without']) AS reason FROM supplier""")
+def redirect_reasons(spark, d):
+    """Other names for each title and why."""
+    s = table(spark, d, "supplier").select(F.format_string("Title %d", F.col("s_suppkey").cast("long")).alias("source"), F.format_string("Judul – %d (film)", F.col("s_suppkey").cast("long")).alias("target"))
+    out = localise.redirects(s)
+    k = F.regexp_extract("target", "– ([0-9]+)", 1).cast("long")
+    return out.select(k.alias("k"), F.when(F.col("reason") == "english_name", "English").when(F.col("reason") == "punctuation", "punctuation").otherwise("without").alias("reason"))
+
+
+@query("""SELECT s_suppkey::BIGINT AS doc_id, unnest([0, 1, 2]) AS pos, unnest([0, CASE WHEN s_suppkey % 50 + 100 > 120 THEN 1 ELSE 0 END, CASE WHEN s_suppkey % 50 > 15 THEN 1 ELSE 0 END]) AS chunk FROM supplier""")
+def paragraph_chunks(spark, d):
+    """Paragraphs of 100, some and 5 words in chunks of at most 120."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("doc_id"), (F.col("s_suppkey") % 50).cast("int").alias("n"))
+    text = F.concat(F.repeat(F.lit("kata "), 99), F.lit("akhir\n\n"), F.repeat(F.lit("kata "), F.greatest(F.col("n"), F.lit(1)) - 1), F.lit("akhir\n\n"), F.lit("satu dua tiga empat lima"))
+    secs = s.filter("n > 0").select("doc_id", text.alias("content")).union(s.filter("n = 0").select("doc_id", F.concat(F.repeat(F.lit("kata "), 99), F.lit("akhir\n\nx\n\nsatu dua tiga empat lima"))))
+    return markup.chunks(secs, 120).select("doc_id", "pos", "chunk")
+
+
+@query("""SELECT c_custkey::BIGINT AS k, CASE WHEN c_custkey % 3 = 0 THEN 'fresh' WHEN c_custkey % 2 = 0 THEN 'live' WHEN c_custkey % 3 = 1 THEN 'stale' ELSE 'none' END AS origin FROM customer""")
+def dictionary_cache(spark, d):
+    """Entries from a fresh cache, the live answer, or a stale row."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("k"), F.col("c_custkey").cast("string").alias("lemma"))
+    at = F.when(F.col("k") % 3 == 0, F.expr("timestamp'2024-01-30 00:00:00'")).otherwise(F.expr("timestamp'2020-01-01 00:00:00'"))
+    cache = c.filter("k % 3 < 2").select("lemma", F.lit("c").alias("json"), at.alias("updated_at"))
+    out = drafts.cached_entries(c, cache, c.filter("k % 2 = 0").select("lemma", F.lit("l").alias("json")), F.expr("timestamp'2024-02-01 00:00:00'"))
+    return out.select(F.col("lemma").cast("long").alias("k"), "origin")
+
+
+@query("""SELECT s_suppkey::BIGINT AS doc_id, 'a<ref name="s' || s_suppkey || '">X</ref> b<ref name="s' || s_suppkey || '" /> c' AS text FROM supplier""")
+def merged_references(spark, d):
+    """Later definitions of a named reference become uses of it."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("doc_id"))
+    t = F.format_string('a<ref name="s%d">X</ref> b<ref name="s%d">X</ref> c', "doc_id", "doc_id")
+    return s.select("doc_id", rewrites.first_reference_wins(t).alias("text"))
+
+
+@query("""SELECT o_orderkey::BIGINT AS draft_id, CASE o_orderkey % 4 WHEN 0 THEN 'incomplete' WHEN 1 THEN 'low score' WHEN 2 THEN 'fatal findings' ELSE '' END AS reasons FROM orders""")
+def escalations(spark, d):
+    k = F.col("o_orderkey") % 4
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("draft_id"), F.when(k == 1, 40).otherwise(90).alias("score"), F.when(k == 2, 3).otherwise(0).alias("n_fatal"), F.when(k == 0, 100).otherwise(300).alias("n_draft"), F.lit(300).alias("n_source"))
+    return reviews.escalation(o).select("draft_id", F.array_join("reasons", ", ").alias("reasons"))
