@@ -42,6 +42,9 @@ SWEEPS = 30
 #: Rows of one length that are ranked in one sort.
 PART = 500_000
 
+#: Texts on which tokenizers of other kinds differ.
+PROBES = ["", " ", "Hello  World", "don't I'M we'll", "one,two;three", "a\tb\nc", "12345", "Caf\u00e9 cafe\u0301 \u65e5\u672c \U0001f389", "<|x|> #1 $2%", "UPPER lower MiXed"]
+
 _TOKENIZERS: dict[tuple[str, bool], object] = {}
 
 
@@ -55,6 +58,10 @@ def _tokenizer(path: str, special_as_text: bool):
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = special_as_text
         _TOKENIZERS[path, special_as_text] = t
+        # a tokenizer that looks across white space, keeps case or marks bytes otherwise is no tokenizer for the shortcut below
+        if encode_texts([p.encode() for p in PROBES], path, {}, special_as_text) != [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(PROBES, add_special_tokens=False)]:
+            del _TOKENIZERS[path, special_as_text]
+            raise ValueError(f"{path} is no word-end byte-pair tokenizer without case and white space")
     return _TOKENIZERS[path, special_as_text]
 
 

@@ -10,7 +10,10 @@ piece; no join can cross its ends, so a segment's ids do not depend on what surr
 found once.  A sum over piece scores would not do here: a BPE model joins by rank.
 
 Null and empty texts have no ids.  Texts of any length are encoded whole, segments of any length
-too.  Repeated rows are encoded each.  An empty table gives an empty result.
+too: text is indexed in stretches of INDEXED characters, and beside that a segment takes four bytes a
+character for each length that a piece can have.  Repeated rows are encoded each.  An empty table
+gives an empty result.  A model that works otherwise (scores summed, other white space, other
+normalisation) is refused when it is loaded: PROBES have to get the ids that its library gives.
 """
 
 from __future__ import annotations
@@ -30,6 +33,9 @@ SPACE, SEP = "▁", "\ud800"
 REMEMBERED, INDEXED, LONG = 400_000, 400_000, 48
 NONE = np.int32(1 << 30)
 
+#: Texts on which models of other kinds differ.
+PROBES = ["", " ", "a  b", " Hello world.", "newworldorder unbelievably", "caf\u00e9 cafe\u0301 \ufb01 \u2460 \uff21", "\u65e5\u672c\u8a9e\U0001f389", "x\ty\nz", "12345 678", "aaaaaaaaaaaa"]
+
 _MODELS: dict[str, PieceModel] = {}
 
 
@@ -73,6 +79,8 @@ class PieceModel:
         high = np.where(np.arange(self.longest)[None, :] < self.length[:, None], low, 0xFFFF).astype(">u2")
         self.low, self.high = (np.ascontiguousarray(x).view(f"S{2 * self.longest}").ravel() for x in (low, high))
         self.known: dict[str, bytes] = {}
+        if [np.frombuffer(x, "<u4").tolist() for x in self.encode(PROBES)] != sp.encode(PROBES):
+            raise ValueError(f"{path} is no byte-pair model with byte fallback and a plain normaliser")
 
     # encoding -------------------------------------------------------------------------
 
@@ -81,7 +89,17 @@ class PieceModel:
         return np.where(self.chars[at] == cp, at + 1, 0xFFFE).astype(np.uint16)
 
     def edges(self, codes: np.ndarray) -> np.ndarray:
-        """edge[i, n]: the piece of n characters that begins at i, or -1; found by binary search in the suffix array."""
+        """edge[i, n]: the piece of n characters that begins at i, or -1; the suffix array is made and searched in stretches."""
+        edge = np.full((len(codes), self.longest + 1), -1, np.int32)
+        for a in range(0, len(codes), INDEXED):
+            own = min(INDEXED, len(codes) - a)
+            at, length, ids = self._occurrences(codes[a : a + own + self.longest])
+            inside = at < own
+            edge[a + at[inside], length[inside]] = ids[inside]
+        return edge
+
+    def _occurrences(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, lengths and ids of all pieces in a stretch, found by binary search in its suffix array."""
         n, w = len(codes), self.longest
         padded = np.concatenate([codes, np.zeros(w, np.uint16)]).astype(">u2")
         keys = np.lib.stride_tricks.sliding_window_view(padded, w)[:n].copy()
@@ -91,9 +109,7 @@ class PieceModel:
         lo, hi = np.searchsorted(ordered, self.low), np.searchsorted(ordered, self.high, "right")
         size = hi - lo
         at = sa[np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-        edge = np.full((n, w + 1), -1, np.int32)
-        edge[at, np.repeat(self.length, size)] = np.repeat(self.ids, size)
-        return edge
+        return at, np.repeat(self.length, size), np.repeat(self.ids, size)
 
     def learn(self, segments: list[str]) -> None:
         """Find the ids of segments not met before."""

@@ -255,3 +255,25 @@ def test_pipeline_catches_planted_cases(spark, tmp_path):
     texts = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "suffix_dedup")).collect()}
     assert all(texts[i] == t for i, t in clean) and passage[10:-10] not in texts[103] + texts[104]
     assert kept["best_fit_packing"] == kept["suffix_dedup"]
+
+
+def test_other_models_are_refused():
+    from corpusmill.llm import best_fit_packing, piece_encoding
+
+    with pytest.raises(ValueError):
+        best_fit_packing.encode_texts([b"x"], public_tokenizers.path("byte_bpe_50k.json"), {})
+    assert piece_encoding.model(public_tokenizers.path("piece_bpe_32k.model")).longest > 1
+
+
+def test_long_segments_are_indexed_in_stretches(monkeypatch):
+    import sentencepiece
+
+    from corpusmill.llm import piece_encoding
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    m, sp = piece_encoding.model(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(piece_encoding, "INDEXED", 37)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(900)), "the cat " * 60, "ab" * 500]
+    m.known.clear()
+    assert [np.frombuffer(x, "<u4").tolist() for x in m.encode(texts)] == sp.encode(texts)
