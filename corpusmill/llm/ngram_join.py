@@ -429,9 +429,13 @@ def _second_seats(members: DataFrame, joined: DataFrame, percent: int) -> DataFr
     own = m.groupBy("block", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("t")).filter(F.col("c") >= PART / 4)
     own = own.select("block", "comp", _parts(F.col("t"), F.col("c")).alias("k"), F.lit(True).alias("own"))
     m = m.join(own, ["block", "comp"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
-    mixed_ = m.filter("NOT own").groupBy("block", "s").agg(_parts(F.sum("n"), F.count("*")).alias("k2"))
-    m = m.join(mixed_, ["block", "s"], "left")
-    at = F.when(F.col("own"), F.xxhash64("comp", F.pmod(F.xxhash64("fp"), F.col("k")))).otherwise(F.xxhash64("s", F.lit("s"), F.pmod(F.xxhash64("fp"), F.col("k2"))))
+    # all other sets of a block are one part where they fit in one, so that parts of large components are sent to one task each
+    rest = m.filter("NOT own").groupBy("block", "s").agg(F.sum("n").alias("t"), F.count("*").alias("c"))
+    whole = rest.groupBy("block").agg((_parts(F.sum("t"), F.sum("c")) <= 1).alias("whole"))
+    rest = rest.join(whole, "block").select("block", "s", "whole", _parts(F.col("t"), F.col("c")).alias("k2"))
+    m = m.join(rest, ["block", "s"], "left")
+    by_size = F.xxhash64("s", F.lit("s"), F.pmod(F.xxhash64("fp"), F.col("k2")))
+    at = F.when(F.col("own"), F.xxhash64("comp", F.pmod(F.xxhash64("fp"), F.col("k")))).when(F.col("whole"), F.lit(0).cast("long")).otherwise(by_size)
     m = cut(m.withColumn("part", at).select("rid", "fp", "last", "least", "n", "block", "comp", "own", "part"))
     parts = m.groupBy("block", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.when(F.col("own"), F.col("comp"))).alias("one"))
     other = parts.select("block", F.col("part").alias("part2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("one").alias("one2"))

@@ -45,7 +45,7 @@ def shingles(text, width):
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("part", [3, 1024])
+@pytest.mark.parametrize("part", [3, 24, 1024])
 def test_large_blocks_of_several_components(spark, monkeypatch, part):
     """Groups of near copies over one shared passage: blocks of several components, sizes over a class border, chains between parts."""
     monkeypatch.setattr(ngram_join, "PART", part)
@@ -59,6 +59,7 @@ def test_large_blocks_of_several_components(spark, monkeypatch, part):
             for _ in range(rng.randrange(5)):
                 w[rng.randrange(len(w))] = f"n{g}{k}{rng.random()}"
             texts.append(" ".join(w))
+    texts += [" ".join([*shared, *(f"l{g}y{i}" for i in range(8 + 4 * g))]) for g in range(10)]  # like all of them, linked to few
     chain = [f"c{i}" for i in range(100)]
     for k in range(25):
         texts.append(" ".join([*(f"d{j}" for j in range(2 * k)), *chain[2 * k :]]))
