@@ -17,7 +17,7 @@ from pyspark.sql.types import BooleanType
 from ..functions import text as T
 from ..functions import wikitext as W
 from . import rewrites
-from .audits import bag_overlap, clamped
+from .audits import bag_overlap, clamped, grade
 
 # fixed values: (pattern, replacement) of plain and raised words, calques of offices, errors of meaning, machine calques
 REGISTER = [("\\bsangat besar\\b", "masif"), ("\\bbanyak sekali\\b", "sejumlah besar"), ("\\bmulai dari\\b", "sejak"), ("\\bmembuat film\\b", "menyutradarai film"), ("\\bsekarang ini\\b", "kini"), ("\\borang-orang\\b", "masyarakat"), ("\\bkasih tahu\\b", "memberi tahu"), ("\\bgak\\b", "tidak")]
@@ -236,3 +236,37 @@ def documentation_gaps(templates: DataFrame) -> DataFrame:
         F.filter(F.array(F.when(F.coalesce(F.trim("doc"), F.lit("")) == "", "no documentation"), F.when(~F.contains(F.coalesce("doc", F.lit("")), F.lit("<templatedata>")), "no TemplateData")), lambda x: x.isNotNull()),
     )
     return templates.select("title", F.explode(issues).alias("issue"))
+
+
+def openers_in_a_row(text: Column) -> Column:
+    """Sentences that begin with the word that the sentence before them begins with."""
+    first = F.transform(W.sentences(text, 1), lambda s: F.lower(F.regexp_extract(s, "^[^\\p{L}\\p{N}]*([\\p{L}\\p{N}]+)", 1)))
+    return F.size(F.filter(first, lambda w, i: (i > 0) & (w != "") & (w == F.get(first, i - 1))))
+
+
+def quality_layers(pairs: DataFrame, fatal=FATAL, register=REGISTER, typos=TYPOS) -> DataFrame:
+    """(draft_id, draft, language, technique, critical, total, grade, approved): three layers of a draft against its source.
+
+    Draft: share of the source's words, numbers and references kept.  Language: half naturalness
+    (register 0.5, openers 0.3, sentence length 0.2), half spelling.  Technique: open markup, reference
+    list, categories.  The total weighs them 0.25, 0.45 and 0.30 and stays at 65 or less with a fatal
+    finding or an empty draft.
+    """
+    d, s = F.coalesce("draft_text", F.lit("")), F.coalesce("source_text", F.lit(""))
+    a, b = T.matches(W.claims(s), T.NUMBER), T.matches(W.claims(d), T.NUMBER)
+    refs = lambda t: F.regexp_count(t, F.lit("<ref[ >]"))
+    hits = lambda rules: sum((F.regexp_count(d, F.lit(f"(?i){p}")) for p, _ in rules), F.lit(0))
+    rows = pairs.select(
+        "draft_id", (F.size(T.words(d)) * 100).alias("share"), F.greatest(F.lit(1), F.size(T.words(s))).alias("n_source"), (F.size(a) - bag_overlap(a, b)).alias("lost"), (refs(d) < refs(s)).alias("fewer"),
+        sum((F.least(F.lit(15), F.regexp_count(d, F.lit(f"(?i){p}")) * 3) for p, _ in register), F.lit(0)).alias("plain"), openers_in_a_row(W.prose(d)).alias("openers"), W.average_sentence_length(W.prose(d)).alias("length"), hits(typos).alias("typos"),
+        F.aggregate(rewrites.syntax_issues(d), F.lit(0), lambda acc, x: acc + x["n"]).alias("open"), (F.contains(d, F.lit("<ref")) & ~F.lower(d).rlike("\\{\\{reflist|<references")).alias("no_list"), (F.regexp_count(d, F.lit("\\[\\[(?:Kategori|Category):")) <= 1).alias("few"),
+        ((hits(fatal) > 0) | (F.trim(d) == "")).alias("critical"),
+    )
+    draft = clamped(F.when(F.col("share") < F.col("n_source") * 50, 30).otherwise(0) + F.least(F.lit(40), F.col("lost") * 5) + F.when(F.col("fewer"), 10).otherwise(0))
+    natural = clamped(F.col("plain")) * 0.5 + clamped(F.least(F.lit(50), F.col("openers") * 10)) * 0.3 + clamped(F.when(F.col("length") > 35, 40).when(F.col("length") > 25, 15).otherwise(0)) * 0.2
+    language = (natural * 0.5 + clamped(F.least(F.lit(60), F.col("typos") * 3)) * 0.5).cast("int")
+    technique = clamped(F.least(F.lit(60), F.col("open") * 10) + F.when(F.col("no_list"), 10).otherwise(0) + F.when(F.col("few"), 10).otherwise(0))
+    rows = rows.select("draft_id", draft.cast("int").alias("draft"), language.alias("language"), technique.cast("int").alias("technique"), "critical")
+    total = F.expr("CAST((draft * 25 + language * 45 + technique * 30) / 100 AS INT)")
+    rows = rows.withColumn("total", F.when(F.col("critical"), F.least(F.lit(65), total)).otherwise(total))
+    return rows.select("*", grade(F.col("total")).alias("grade"), ((F.col("total") >= 80) & ~F.col("critical")).alias("approved"))

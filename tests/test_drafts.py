@@ -171,3 +171,14 @@ def test_hooks_and_cache(spark):
     cache = t("('a', '1', timestamp'2024-01-20'), ('b', '2', timestamp'2023-01-01'), ('c', '3', timestamp'2023-01-01')", "lemma, json, updated_at")
     out = drafts.cached_entries(spark.createDataFrame([(x,) for x in "abcd"], "lemma string"), cache, t("('a', '9'), ('b', '8')", "lemma, json"), F.expr("timestamp'2024-02-01'"))
     assert {r.lemma: (r.json, r.origin) for r in out.collect()} == {"a": ("1", "fresh"), "b": ("8", "live"), "c": ("3", "stale"), "d": (None, "none")}
+
+
+def test_quality_layers(spark):
+    good = "Ia lahir pada 1990 di kota.<ref>a</ref> Lalu pindah ke desa. {{reflist}} [[Kategori:A]] [[Kategori:B]]"
+    p = pairs_of(spark, (good, good), (good, "Ia gak lahir. Ia pergi praktek. Ia [[pulang"), (good, None), (good, good + " Tokoh dilahirkan dan dikebumikan di sana."))
+    got = {r.draft_id: r for r in reviews.quality_layers(p).collect()}
+    assert (got[0].draft, got[0].language, got[0].technique, got[0].grade, got[0].approved) == (100, 100, 100, "A++", True)
+    # 7 of 18 words, one number and the reference lost; one plain word, two openers in a row, one misspelling; one open link, no categories
+    assert (got[1].draft, got[1].language, got[1].technique) == (55, 94, 80) and got[1].total == int(55 * 0.25 + 94 * 0.45 + 80 * 0.3)
+    assert got[2].critical and got[2].total <= 65 and not got[2].approved
+    assert got[3].critical and got[3].total == 65 and got[3].grade == "C"
