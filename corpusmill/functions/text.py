@@ -42,7 +42,7 @@ def key(text) -> Column:
 def title(text) -> Column:
     """Underscores to spaces, trimmed, first letter upper case."""
     t = F.trim(F.regexp_replace(F.translate(col(text), "_", " "), " +", " "))
-    return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(t, 1, 1)), t.substr(F.lit(2), F.length(t)))
 
 
 def slug(text) -> Column:
@@ -66,7 +66,7 @@ def copy_case(model, value) -> Column:
     """`value` in the case pattern of `model`: UPPER, Capital or as it is."""
     m, v = col(model), col(value)
     first_up = F.substring(m, 1, 1) != F.lower(F.substring(m, 1, 1))
-    capital = F.concat(F.upper(F.substring(v, 1, 1)), F.substring(v, 2, 1_000_000))
+    capital = F.concat(F.upper(F.substring(v, 1, 1)), v.substr(F.lit(2), F.length(v)))
     return F.when((m == F.upper(m)) & (m != F.lower(m)) & (F.length(m) > 1), F.upper(v)).when(first_up, capital).otherwise(v)
 
 

@@ -24,6 +24,14 @@ from .ordered import keep_first
 LABELS = [("name", "nama"), ("title", "judul"), ("image", "gambar"), ("birth_date", "tanggal_lahir"), ("death_date", "tanggal_meninggal"), ("occupation", "pekerjaan"), ("director", "sutradara"), ("starring", "pemeran"), ("country", "negara"), ("language", "bahasa"), ("state", "state"), ("group", "grup"), ("list", "daftar")]
 CELL_WORDS = [("Yes", "Ya"), ("No", "Tidak"), ("Won", "Menang"), ("Nominated", "Nominasi"), ("TBA", "Belum diumumkan"), ("Film", "Film"), ("Year", "Tahun"), ("Title", "Judul"), ("Role", "Peran"), ("Notes", "Catatan")]
 NOISE = "\\b(?:tanya|tolong|salam|terima kasih|halo|mohon)\\b"
+BECOMES = ["diterjemahkan jadi", "diterjemahkan menjadi", "dipadankan dengan", "dipadankan menjadi", "padanannya", "padanannya adalah"]
+TERM_WORDS = ["arti", "istilah", "kata", "padanan", "terjemahan"]
+PROPOSALS = ["padanan", "terjemahan", "usulan"]
+LINKING = ["adalah", "berupa", "yaitu", "yakni"]
+AGREEING = ["mengusulkan", "sepakat dengan", "setuju dengan"]
+AUTHORITIES = ["baku di KBBI", "entri KBBI", "sesuai KBBI"]
+REMARKS = [("translationese", ["kalkir", "terjemah"]), ("orthography", ["baku", "eyd", "kbbi"]), ("punctuation", ["koma", "tanda baca"])]
+TERM_LETTERS, QUOTE_LETTERS, LEAST_REMARK = (3, 35), (5, 150), 8
 FUNCTION_WORDS = ["pada", "dari", "ke", "itu", "ini", "yang", "dan"]
 
 
@@ -274,33 +282,46 @@ def subsets(sets: DataFrame, others: DataFrame) -> DataFrame:
 # mining -----------------------------------------------------------------------------------
 
 
+def _either(words: list[str]) -> str:
+    return "(?:" + "|".join(w.replace(" ", "\\s+") for w in words) + ")"
+
+
+def quoted_after(text: Column, lead: str) -> Column:
+    """Quoted phrases of TERM_LETTERS letters that stand after `lead`; any kind of quotation mark will do."""
+    plain = F.regexp_replace(text, "[“”„‘’']", '"')
+    return F.transform(F.regexp_extract_all(plain, F.lit(f'(?i)\\b{lead}\\s*"([\\p{{L}} -]{{{TERM_LETTERS[0]},{TERM_LETTERS[1]}}})"'), F.lit(1)), lambda x: F.trim(x))
+
+
 def thread_terms(threads: DataFrame) -> DataFrame:
     """(thread_id, term, target, topic, family): terms that discussions (thread_id, title, text) recommend: links between languages, proposals under a title that names a term, and 'A vs B' titles."""
     t, title = F.col("text"), F.trim(F.regexp_replace("title", "^=+ *| *=+$", ""))
-    linked = F.regexp_extract_all(t, F.lit("(?i)\\[\\[:en:[^\\]]+\\]\\]\\s*(?:diterjemahkan (?:jadi|menjadi)|dipadankan (?:dengan|menjadi)|padanannya(?: adalah)?)\\s*\\[\\[[^\\]]+\\]\\]"), F.lit(0))
-    pair = lambda m: F.struct(F.lower(F.regexp_extract(m, "\\[\\[:en:([^\\]|#]+)", 1)).alias("term"), F.trim(F.regexp_extract(m, "\\]\\].*\\[\\[([^\\]|#]+)", 1)).alias("target"), F.lit("link").alias("family"))
-    named = F.lower(F.coalesce(F.nullif(F.regexp_extract(title, "(?i)(?:padanan|istilah|terjemahan|arti|kata)\\s+(?:kata |dari |untuk )?[\"'“]([^\"'”]+)[\"'”]", 1), F.lit("")), F.when(title.rlike("^[A-Za-z -]{3,35}$") & ~title.rlike(f"(?i){NOISE}"), title)))
-    proposals = [
-        "(?i)(?:padanan(?:nya)?|usulan(?:nya)?|terjemahan(?:nya)?)\\s*(?:adalah|berupa|:|yaitu|yakni)?\\s*[\"'“]([A-Za-z -]{3,35})[\"'”]", "(?i)(?:mengusulkan|setuju dengan|sepakat dengan)\\s+(?:padanan |istilah )?[\"'“]([A-Za-z -]{3,35})[\"'”]",
-        "(?i)(?:baku di|sesuai|entri) KBBI\\s*(?:adalah|:|berupa)?\\s*[\"'“]([A-Za-z -]{3,35})[\"'”]",
-    ]
-    said = F.concat(*(F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in proposals))
-    proposed = F.transform(F.when(named.isNotNull(), said).otherwise(F.array().cast("array<string>")), lambda x: F.struct(named.alias("term"), F.trim(x).alias("target"), F.lit("proposal").alias("family")))
+    # a link to the other wiki, words that say it becomes, and the next link
+    steps = F.split(t, "(?=\\[\\[:en:)")
+    target_of = lambda m: F.regexp_extract(m, f"(?i)^\\[\\[[^\\]]*\\]\\]\\s*{_either(BECOMES)}\\s*\\[\\[([^\\]|#]+)", 1)
+    linked = F.transform(F.filter(steps, lambda m: target_of(m) != ""), lambda m: F.struct(F.lower(F.regexp_extract(m, "^\\[\\[:en:([^\\]|#]+)", 1)).alias("term"), F.trim(target_of(m)).alias("target"), F.lit("link").alias("family")))
+    # the term of a title is what it quotes after a word for term, or the title itself where that is a phrase
+    in_title = F.get(quoted_after(title, f"{_either(TERM_WORDS)}(?:\\s+{_either(TERM_WORDS + ['dari', 'untuk'])})*"), F.lit(0))
+    named = F.lower(F.coalesce(in_title, F.when(title.rlike("^[A-Za-z -]{3,35}$") & ~title.rlike(f"(?i){NOISE}"), title)))
+    leads = [f"{_either(PROPOSALS)}(?:nya)?\\s*(?:{_either(LINKING)}|:)?", f"{_either(AGREEING)}(?:\\s+{_either(TERM_WORDS)})?", f"{_either(AUTHORITIES)}\\s*(?:{_either(LINKING)}|:)?"]
+    said = F.concat(*(quoted_after(t, lead) for lead in leads))
+    proposed = F.transform(F.when(named.isNotNull(), said).otherwise(F.array().cast("array<string>")), lambda x: F.struct(named.alias("term"), x.alias("target"), F.lit("proposal").alias("family")))
+    # of two forms in a title the one that the text has is the standard one, where the text speaks of a standard
     sides = F.transform(F.split(title, "(?i)\\bvs\\b\\.?"), lambda x: F.trim(x))
-    versus = F.when((F.size(sides) == 2) & F.contains(F.lower(t), F.lit("baku")), F.array(F.when(F.contains(F.lower(t), F.lower(sides[1])), F.struct(F.lower(sides[0]).alias("term"), sides[1].alias("target"), F.lit("versus").alias("family"))).when(F.contains(F.lower(t), F.lower(sides[0])), F.struct(F.lower(sides[1]).alias("term"), sides[0].alias("target"), F.lit("versus").alias("family")))))
-    rows = threads.select("thread_id", W.topic(F.concat_ws(" ", "title", "text")).alias("topic"), F.explode(F.filter(F.concat(F.transform(linked, pair), proposed, F.coalesce(versus, F.array())), lambda x: x.isNotNull())).alias("x"))
+    pick = lambda i, j: F.when(F.contains(F.lower(t), F.lower(sides[j])), F.struct(F.lower(sides[i]).alias("term"), sides[j].alias("target"), F.lit("versus").alias("family")))
+    versus = F.array(F.when((F.size(sides) == 2) & F.contains(F.lower(t), F.lit("baku")), F.coalesce(pick(0, 1), pick(1, 0))))
+    found = F.filter(F.concat(linked, proposed, versus), lambda x: x.isNotNull())
+    rows = threads.select("thread_id", W.topic(F.concat_ws(" ", "title", "text")).alias("topic"), F.explode(found).alias("x"))
     return rows.select("thread_id", "x.term", "x.target", "topic", "x.family").filter("length(term) > 2 AND length(target) > 2 AND term <> lower(target)").distinct()
 
 
 def critiques(reviews: DataFrame) -> DataFrame:
-    """(review_id, quote, critique, kind) of lines '* "quote" ==> critique' in reviews (review_id, text); done marks and remarks of eight characters or fewer are left out."""
-    line = '(?m)^\\s*[*:]+\\s*["\'“][^"\'”\\n]{5,150}["\'”]\\s*(?:==>|->|:|–)?[^\\n]*$'
-    rows = reviews.select("review_id", F.explode(F.regexp_extract_all("text", F.lit(line), F.lit(0))).alias("l"))
-    quote = F.trim(F.regexp_extract("l", "[\"'“]([^\"'”\\n]{5,150})[\"'”]", 1))
-    said = F.trim(F.regexp_replace(F.regexp_extract("l", "[\"'“][^\"'”\\n]{5,150}[\"'”]\\s*(?:==>|->|:|–)?\\s*(.*)$", 1), "<!--.*?-->", ""))
-    low = F.lower("critique")
-    kind = F.when(low.rlike("terjemah|kalkir"), "translationese").when(low.rlike("kbbi|eyd|baku"), "orthography").when(low.rlike("koma|tanda baca"), "punctuation").otherwise("style")
-    out = rows.select("review_id", quote.alias("quote"), said.alias("critique")).filter("length(critique) > 8").filter(~F.col("critique").rlike("^\\{\\{(?:done|sudah)"))
+    """(review_id, quote, critique, kind) of list items that quote a draft and remark on it, in reviews (review_id, text); done marks and short remarks are left out."""
+    items = F.filter(F.transform(F.split(F.regexp_replace("text", "[“”„]", '"'), "\n"), lambda x: F.trim(x)), lambda x: x.rlike("^[*:]+ *[\"'].*[\"']"))
+    rows = reviews.select("review_id", F.explode(items).alias("item")).withColumn("item", F.regexp_replace("item", "^[*: ]+|<!--.*?-->", ""))
+    quote = F.regexp_extract("item", "^([\"'])(.*?)\\1", 2)
+    said = F.trim(F.regexp_replace(F.col("item").substr(F.length(quote) + 3, F.length("item")), "^[ =>:–-]+", ""))
+    out = rows.select("review_id", F.trim(quote).alias("quote"), said.alias("critique")).filter(F.length("quote").between(*QUOTE_LETTERS) & (F.length("critique") > LEAST_REMARK)).filter(~F.col("critique").rlike("^\\{\\{(?:done|sudah)"))
+    kind = F.coalesce(*(F.when(F.lower("critique").rlike(_either(words)), name) for name, words in REMARKS), F.lit("style"))
     return out.select("review_id", "quote", "critique", kind.alias("kind"))
 
 
