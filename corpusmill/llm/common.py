@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20  # text behind one bucket of an exchange
+#: Rows of two numbers that are sent to every task, after they have been counted; more are joined.
+SENT_ROWS = 500_000
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -71,6 +73,11 @@ def partitions_for(spark: SparkSession, buckets: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
 
 
+def sent(rows: DataFrame) -> DataFrame:
+    """`rows`, of a few numbers each, marked for broadcast where they are counted to be SENT_ROWS or fewer; otherwise as they are, for a join by key."""
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+
+
 def view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and its offsets, which begin at 0."""
     col = pc.fill_null(col, "" if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else b"").cast(pa.large_binary())
@@ -204,7 +211,8 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) ->
     """(node, root): the smallest node that links lead to, for every node with a link.
 
     Large-star and small-star by turns: each round is two groupings over the links, which
-    shrink towards stars; a node's own neighbours are met as a join, never as one list.
+    shrink towards stars; a node's own neighbours are met as a join, never as one list.  Links are
+    dealt out by their node once for a grouping and its join, so a round has three exchanges.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     e = cut(e)
@@ -212,11 +220,14 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) ->
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     last = None
     for _ in range(rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # a condition below the join would part the two readers of one exchange; inside the array it stays above
+        up = F.when((F.col("v") > F.col("u")) & (F.col("v") != F.col("m")), F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        e = both.join(low, "u").select(F.explode(up).alias("x")).select("x.u", "x.v").repartition("u")
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
+        down = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        e = e.join(low, "u").select(F.explode(down).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
         e = cut(e)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES, WORDS, bucket_count, chunks, connected, cut, from_planes, grouped, lowered, mixed, owners, planes, row_key, runs, signed, stored, text_rows, view, words
+from .common import BYTES, WORDS, bucket_count, chunks, connected, cut, from_planes, grouped, lowered, mixed, owners, planes, row_key, runs, sent, signed, stored, text_rows, view, words
 
 SHINGLE, PERCENT = 5, 80
 #: Sizes are put in classes that grow by half.
@@ -374,7 +374,7 @@ def _blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
 def _links(rows: DataFrame, seats: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): links found in the tasks of `seats` (rid, fp, last, least, comp, task, right); sets are made from one text of each class."""
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), bucket_count(rows, 4 * BUCKET))
-    texts = rows.join(seats.select("rid", "fp").distinct(), "rid").select("text", "fp").mapInArrow(_sets(width), "fp long, members binary")
+    texts = rows.join(sent(seats.select("rid", "fp").distinct()), "rid").select("text", "fp").mapInArrow(_sets(width), "fp long, members binary")
     seated = seats.drop("rid").join(texts, "fp")
     return cut(seated.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_verify(percent), f"a {NODE}, b {NODE}"))
 
@@ -448,10 +448,16 @@ def _second_seats(members: DataFrame, joined: DataFrame, percent: int) -> DataFr
 
 def keep_one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """`docs` with one row of each component: that of the smallest doc_id, null ids last (of rows that repeat it, one).  Texts without words link with nothing, so all of them stay."""
-    found = ngram_join(docs, width, percent, keep_rid=True).filter("root IS NOT NULL")
+    found = ngram_join(docs, width, percent, keep_rid=True)
+    worded = found.filter("root IS NOT NULL")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid"))
-    kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.rid").alias("rid"))
-    worded = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    own = docs.filter(worded).select(row_key().alias("rid"), F.struct(*docs.columns).alias("row"))
-    out = own.join(kept, "rid", "left_semi").dropDuplicates(["rid"]).select("row.*")
-    return out.unionByName(docs.filter(~worded))
+    kept = worded.groupBy("root").agg(first.alias("first")).select(F.col("first.rid").alias("rid"))
+    rows = worded.groupBy("rid").agg(F.count("*").alias("n")).join(kept.withColumn("kept", F.lit(True)), "rid", "left")
+    # rows that go, and those that repeat a row that stays; all others, and texts without words, are not moved
+    odd = cut(rows.filter("kept IS NULL OR n > 1").select("rid", F.coalesce("kept", F.lit(False)).alias("kept")))
+    own = docs.select(row_key().alias("rid"), F.struct(*docs.columns).alias("row"))
+    out = own.join(sent(odd.select("rid")), "rid", "left_anti").select("row.*")
+    again = odd.filter("kept").select("rid")
+    if again.isEmpty():
+        return out
+    return out.unionByName(own.join(sent(again), "rid", "left_semi").dropDuplicates(["rid"]).select("row.*"))
