@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import groupby
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -41,13 +42,16 @@ def between(text: Column, kept: str, change: Callable[[Column], Column]) -> Colu
     return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, p).otherwise(change(p))), "")
 
 
+def _change(p: Pass) -> Callable[[Column], Column]:
+    return p.work if callable(p.work) else (lambda t: T.rewrite(t, p.work))
+
+
 def apply(text: Column, suite: list[Pass], only: str | None = None) -> Column:
-    """The passes of a suite in order, or the one named."""
-    for p in suite:
-        if only is not None and p.name != only:
-            continue
-        change = p.work if callable(p.work) else (lambda t, rules=p.work: T.rewrite(t, rules))
-        text = between(text, KEPT, change) if p.scope == "prose" else change(text)
+    """The passes of a suite in order, or the one named.  Prose passes that follow each other share one cut of the text: none of them changes where markup lies."""
+    for scope, run in groupby((p for p in suite if only in (None, p.name)), key=lambda p: p.scope):
+        changes = [_change(p) for p in run]
+        every = lambda t, changes=changes: reduce(lambda x, c: c(x), changes, t)
+        text = between(text, KEPT, every) if scope == "prose" else every(text)
     return text
 
 
