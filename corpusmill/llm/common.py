@@ -141,11 +141,11 @@ class Roller:
 BYTES, WORDS, OTHER = Roller(11), Roller(23), Roller(37)
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+, and where each row's words begin."""
+def words(data: np.ndarray, offs: np.ndarray, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ (or of what lies between other `separators`), and where each row's words begin."""
     if len(data) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    inside = ~_SEP[data]
+    inside = ~separators[data]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     inner = offs[(offs > 0) & (offs < len(data))]
