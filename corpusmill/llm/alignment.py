@@ -1,7 +1,7 @@
 """Alignment of two tokenizers: which tokens of one stand for which tokens of the other, and how often.
 
 Both tokenizers cut at a single space between two visible characters, so text is encoded and aligned in
-units between such spaces, each distinct unit once.  A document's links go out as packed rows, one per
+units between such spaces, each distinct unit of a batch once.  A document's links go out as packed rows, one per
 batch of documents and stripe of first ids.  Stripes are counted in dense blocks with np.add.at, whose
 row maxima tell the best partner; the blocks then go to where the links of their stripe lie, which are
 scored there, and the scores come together again by batch.
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -30,8 +29,8 @@ from .common import chunks, cut, from_planes, owners, planes, runs, stored
 
 #: First ids in one dense block.
 BLOCK_ROWS = 64
-#: Text of one batch of documents, units that a task remembers, their longest, and links gathered before they are counted.
-BATCH_BYTES, REMEMBERED, SHORT, GATHERED = 2 << 20, 150_000, 64, 1 << 22
+#: Text of one batch of documents, units encoded in one go, links of a group that are written out place by place, and links gathered before they are counted.
+BATCH_BYTES, BLOCK_UNITS, EXPANDED, GATHERED = 4 << 20, 2000, 4096, 1 << 22
 #: Batches whose links of one stripe are scored together.
 SCORED = 512
 
@@ -40,18 +39,21 @@ _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b
 _BYTE = {chr(b): b for b in range(256) if b not in _HIDDEN} | {chr(256 + k): b for k, b in enumerate(_HIDDEN)}
 
 
-class Unit(NamedTuple):
-    sound: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: bytes  # distinct a * size_b + b
-    times: bytes
-    groups: bytes
+class Units(NamedTuple):
+    """What is known of distinct units: their own numbers, and their links and groups one unit after the other."""
+
+    sound: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_pairs: np.ndarray
+    pairs: np.ndarray  # a * size_b + b
+    times: np.ndarray
+    groups: list[bytes]
 
 
 class Pair:
-    """Two tokenizers, their ids as bytes, and the units met so far in this task."""
+    """Two tokenizers and their ids as bytes."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,69 +73,108 @@ class Pair:
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError(f"{path_b} has pieces that go on after a space")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.known: dict[bytes, Unit] = {}
-
-    def aligned(self, unit: bytes, a: list[int], b: list[int]) -> Unit:
-        """Groups end where tokens of both sides end; within a group all are linked with all."""
-        if b"".join(map(self.bytes_a.__getitem__, a)) != unit or b"".join(map(self.bytes_b.__getitem__, b)) != unit:
-            return Unit(False, 0, 0, 0, b"", b"", b"")
-        pairs: Counter[int] = Counter()
-        groups, i, j = [], 0, 0
-        while i < len(a):
-            i0, j0 = i, j
-            at, to = len(self.bytes_a[a[i]]), len(self.bytes_b[b[j]])
-            i, j = i + 1, j + 1
-            while at != to:
-                if at < to:
-                    at += len(self.bytes_a[a[i]])
-                    i += 1
+        self.len_a, self.len_b = (np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
+        self.most = max(self.size_a, self.size_b)
+        self.written = [f"{i}{end}".encode() for end in ",|;\n" for i in range(self.most)]
+
+    def _encoded(self, blocks: list[bytes]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids of both sides, or None where they do not spell the block.  A block begins with the space that the second tokenizer adds by itself."""
+        texts = [x.decode() for x in blocks]
+        first, second = self.a.encode_batch_fast(texts, add_special_tokens=False), self.b.encode([t[1:] for t in texts], num_threads=1)
+        both = [(e.ids, y) for e, y in zip(first, second, strict=True)]
+        return [(x, y) if b"".join(map(self.bytes_a.__getitem__, x)) == t == b"".join(map(self.bytes_b.__getitem__, y)) else None for t, (x, y) in zip(blocks, both, strict=True)]
+
+    def units(self, units: list[bytes], safe: np.ndarray) -> Units:
+        """Units that are `safe` begin and end as unit_starts cuts, so many are encoded in one go; the others, and blocks that are not spelled, unit by unit."""
+        order = np.argsort(~safe, kind="stable")
+        n = int(safe.sum())
+        spans = [(x, min(x + BLOCK_UNITS, n)) for x in range(0, n, BLOCK_UNITS)] + [(x, x + 1) for x in range(n, len(units))]
+        own = [units[k] for k in order.tolist()]
+        ids_a, ids_b, sound = [], [], np.ones(len(units), bool)
+        for (x, y), ids in zip(spans, self._encoded([b"".join(own[x:y]) for x, y in spans]), strict=True):
+            for k, got in [(x, ids)] if ids else enumerate(self._encoded(own[x:y]), x):
+                if got:
+                    ids_a.append(np.array(got[0], np.int64))
+                    ids_b.append(np.array(got[1], np.int64))
                 else:
-                    to += len(self.bytes_b[b[j]])
-                    j += 1
-            own, other = a[i0:i], b[j0:j]
-            if len(own) == 1 == len(other):
-                pairs[own[0] * self.size_b + other[0]] += 1
-            else:
-                for x, nx in Counter(own).items():
-                    for y, ny in Counter(other).items():
-                        pairs[x * self.size_b + y] += nx * ny
-            groups.append(f"{','.join(map(str, own))}|{','.join(map(str, other))}")
-        return Unit(True, len(a), len(b), len(groups), np.array(list(pairs), "<i8").tobytes(), np.array(list(pairs.values()), "<i8").tobytes(), ";".join(groups).encode())
-
-    def units(self, wanted: list[bytes]) -> list[Unit]:
-        """Each begins with the space that the second tokenizer adds by itself."""
-        new = [u for u in wanted if u not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = wanted
-        got = {}
-        for at in range(0, len(new), 4096):
-            texts = [u.decode() for u in new[at : at + 4096]]
-            ids_a = self.a.encode_batch_fast(texts, add_special_tokens=False)
-            ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
-            for u, a, b in zip(new[at : at + 4096], ids_a, ids_b, strict=True):
-                got[u] = self.aligned(u, a.ids, b)
-        out = [got[u] if u in got else self.known[u] for u in wanted]
-        self.known.update((u, x) for u, x in got.items() if len(u) <= SHORT)
-        return out
-
+                    sound[k] = False
+        held = order[sound]
+        got = self.aligned(*(np.concatenate(i) if i else np.zeros(0, np.int64) for i in (ids_a, ids_b)), np.array([len(units[k]) for k in held.tolist()], np.int64))
+        # back into the order of `units`: the places of unsound ones stay 0
+        at = np.full(len(units), -1)
+        at[held] = np.arange(len(held))
+        there = at >= 0
+        numbers = [np.where(there, x[at], 0) if len(x) else np.zeros(len(units), np.int64) for x in got[1:5]]
+        begin = np.cumsum(got.n_pairs) - got.n_pairs
+        source = _ranges(begin[at[there]], got.n_pairs[at[there]])
+        return Units(there, *numbers, got.pairs[source], got.times[source], [got.groups[k] if k >= 0 else b"" for k in at.tolist()])
+
+    def aligned(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> Units:
+        """Groups end where tokens of both sides end; within a group all are linked with all."""
+        n = len(sizes)
+        if n == 0:
+            return Units(*(np.zeros(0, np.int64) for _ in range(7)), [])
+        end_a, end_b, end = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]), np.cumsum(sizes)
+        common = end_a[end_b[np.searchsorted(end_b, end_a)] == end_a]
+        if (common[np.searchsorted(common, end)] != end).any():
+            raise ValueError("a tokenizer has tokens that go on after a space between two characters")
+        group_a, group_b, unit = np.searchsorted(common, end_a), np.searchsorted(common, end_b), np.searchsorted(end, common)
+        many_a, many_b = np.bincount(group_a), np.bincount(group_b)
+        first_a, first_b = np.cumsum(many_a) - many_a, np.cumsum(many_b) - many_b
+        size = many_a * many_b
+        small = np.flatnonzero(size <= EXPANDED)
+        place = _ranges(np.zeros(len(small), np.int64), size[small])
+        wide = np.repeat(many_b[small], size[small])
+        keys = a[np.repeat(first_a[small], size[small]) + place // wide] * self.size_b + b[np.repeat(first_b[small], size[small]) + place % wide]
+        of, times = np.repeat(unit[small], size[small]), np.ones(len(keys), np.int64)
+        for g in np.flatnonzero(size > EXPANDED).tolist():  # distinct ids of a long group, not all its places
+            xs, nx = np.unique(a[first_a[g] : first_a[g] + many_a[g]], return_counts=True)
+            ys, ny = np.unique(b[first_b[g] : first_b[g] + many_b[g]], return_counts=True)
+            keys = np.append(keys, np.add.outer(xs * self.size_b, ys).ravel())
+            times = np.append(times, np.multiply.outer(nx, ny).ravel())
+            of = np.append(of, np.full(len(xs) * len(ys), unit[g]))
+        order = np.argsort(of, kind="stable")
+        # each token with the sign after it: in its group, after its side, after its group, after its unit
+        last = np.append(unit[1:] != unit[:-1], True)
+        sign_a, sign_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        sign_a[first_a + many_a - 1] = 1
+        sign_b[first_b + many_b - 1] = np.where(last, 3, 2)
+        written = np.empty(len(a) + len(b), np.int64)
+        written[np.arange(len(a)) + first_b[group_a]] = sign_a * self.most + a
+        written[np.arange(len(b)) + (first_a + many_a)[group_b]] = sign_b * self.most + b
+        groups = b"".join(map(self.written.__getitem__, written.tolist())).split(b"\n")[:-1]
+        count = [np.bincount(x, minlength=n) for x in (unit[group_a], unit[group_b], unit, of)]
+        return Units(np.ones(n, bool), count[0], count[1], count[2], count[3], keys[order], times[order], groups)
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each, `size` places long, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _sure(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that end, and bytes that begin, a character that surely is no white space.
+
+    Sure are visible ASCII, characters of two bytes from U+00C0 on, and of those that begin lead bytes of longer ones from U+4000 on.
+    """
+    visible = (data > 0x20) & (data < 0x7F)
+    ends = visible.copy()
+    ends[1:] |= (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
+    return ends, visible | ((data >= 0xC3) & (data < 0xE0)) | (data >= 0xE4)
 
-def unit_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Where units begin: at each text, and at every single space between two characters that surely are no white space.
 
-    Sure are visible ASCII, characters of two bytes from U+00C0 on, and before them lead bytes of longer ones from U+4000 on.
-    """
+def unit_starts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where units begin: at each text, and at every single space between two sure characters; and which of them begin and end like that."""
     n = len(data)
+    ends, begins = _sure(data)
     inner = np.zeros(n, bool)
     if n > 2:
-        ascii_ = (data > 0x20) & (data < 0x7F)
-        before = ascii_.copy()
-        before[1:] |= (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
-        after = ascii_ | ((data >= 0xC3) & (data < 0xE0)) | (data >= 0xE4)
-        inner[1:-1] = (data[1:-1] == 0x20) & before[:-2] & after[2:]
-    begins = offs[:-1][np.diff(offs) > 0]
-    inner[begins] = True
-    return np.flatnonzero(inner)
+        inner[1:-1] = (data[1:-1] == 0x20) & ends[:-2] & begins[2:]
+    inner[offs[:-1][np.diff(offs) > 0]] = True
+    starts = np.flatnonzero(inner)
+    stops = np.append(starts[1:], n)
+    safe = (stops - starts > 1) & begins[np.minimum(starts + 1, max(n - 1, 0))] & ends[stops - 1] if n else np.zeros(0, bool)
+    return starts, safe
 
 
 _ROW = pa.schema([
@@ -154,40 +195,35 @@ def _batch(pair: Pair, batch: pa.RecordBatch, number: int, stripes: int, keep_gr
     texts = [b" " + t if t else b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
     count, data = len(texts), np.frombuffer(b"".join(texts), np.uint8)
     offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    starts = unit_starts(data, offs)
-    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode() if len(starts) else None
-    units = pair.units(coded.dictionary.to_pylist()) if coded is not None else []
-    which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) if coded is not None else np.zeros(0, np.int64)
-    first = np.searchsorted(starts, offs)
-    doc = owners(first)
+    starts, safe = unit_starts(data, offs)
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+    which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    distinct = np.zeros(len(coded.dictionary), bool)
+    distinct[which] = safe
+    units = pair.units(coded.dictionary.to_pylist(), distinct)
+    doc = owners(np.searchsorted(starts, offs))
     sound = np.ones(count, bool)
-    sound[doc[~np.array([u.sound for u in units], bool)[which]]] = False
-    held = sound[doc]
-    which, doc = which[held], doc[held]
+    sound[doc[~units.sound[which]]] = False
+    which, doc = which[sound[doc]], doc[sound[doc]]
 
-    def per_doc(name: str) -> np.ndarray:
+    def per_doc(numbers: np.ndarray) -> np.ndarray:
         out = np.zeros(count, np.int64)
-        np.add.at(out, doc, np.array([getattr(u, name) for u in units], np.int64)[which])
+        np.add.at(out, doc, numbers[which])
         return out
 
-    joined, sha = [], []
-    strings = [u.groups for u in units]
-    at = np.searchsorted(doc, np.arange(count + 1))
+    joined, sha, at = [], [], np.searchsorted(doc, np.arange(count + 1))
     for k in range(count):
-        own = b";".join([strings[w] for w in which[at[k] : at[k + 1]].tolist()])
+        own = b";".join([units.groups[w] for w in which[at[k] : at[k + 1]].tolist()])
         sha.append(hashlib.sha256(own).hexdigest() if own else "")
         joined.append(own.decode() if keep_groups else None)
     # every unit's pairs, once for each place of the unit
-    size = np.array([len(u.pairs) // 8 for u in units], np.int64)
-    begin = np.cumsum(size) - size
-    many = size[which]
-    source = np.repeat(begin[which] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    keys = np.frombuffer(b"".join(u.pairs for u in units), "<i8")[source]
-    times = np.frombuffer(b"".join(u.times for u in units), "<i8")[source]
+    many = units.n_pairs[which]
+    source = _ranges((np.cumsum(units.n_pairs) - units.n_pairs)[which], many)
+    keys, times = units.pairs[source], units.times[source]
     links = np.zeros(count, np.int64)
     local = np.repeat(doc, many)
     np.add.at(links, local, times)
-    columns = [batch.column("doc_id"), *(pa.array(per_doc(n)) for n in ("n_a", "n_b", "n_groups")), pa.array(links), pa.array(sha, pa.string()), pa.array(joined, pa.string())]
+    columns = [batch.column("doc_id"), *(pa.array(per_doc(x)) for x in (units.n_a, units.n_b, units.n_groups)), pa.array(links), pa.array(sha, pa.string()), pa.array(joined, pa.string())]
     rows = pa.StructArray.from_arrays(columns, names=[f.name for f in _ROW.field("docs").type.value_type])
     yield pa.record_batch([pa.array([number]), pa.array([-1], pa.int32()), pa.array([count], pa.int64()), pa.array([b""], pa.binary()), pa.ListArray.from_arrays(pa.array([0, count], pa.int32()), rows)], schema=_ROW)
     if len(keys) == 0:
