@@ -26,8 +26,10 @@ from .common import bucket_count, chunks, cut, from_planes, lowered, partitions_
 GAPS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 #: N-grams that a task gathers before it sorts and counts them.
 GATHERED = 1 << 21
+#: Keys of one range, the most ranges, and the sample that cuts them: keys of a packed row, packed rows.
+RANGE, PARTS, SAMPLED_KEYS, SAMPLED_ROWS = 1 << 20, 100_000, 256, 4096
 #: Rows of one window when the first rows of each group are sought.
-PART = 200_000
+PART = 20_000
 
 _BREAK = np.zeros(256, bool)
 _BREAK[list(BREAKS)] = True
@@ -144,6 +146,7 @@ def grams(ids: np.ndarray, most: int) -> np.ndarray:
 
 
 _GRAM = pa.schema([("lang", pa.string()), ("key", pa.binary()), ("n", pa.int64())])
+_PACKED = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("size", pa.int64()), ("data", pa.binary()), ("sample", pa.binary())])
 
 
 def _binary(keys: np.ndarray) -> pa.Array:
@@ -152,8 +155,23 @@ def _binary(keys: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(np.arange(0, width * (len(keys) + 1), width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(keys.astype(">u4")))])
 
 
+def _packed(lang: str, part: int, keys: np.ndarray, n: np.ndarray, sample: bytes = b"") -> pa.RecordBatch:
+    """Sorted keys and their counts as one row: the first ids as steps, all of it byte by byte."""
+    steps = np.diff(keys[:, 0], prepend=np.uint32(0))
+    data = planes(steps) + b"".join(planes(np.ascontiguousarray(keys[:, c])) for c in range(1, keys.shape[1])) + planes(n)
+    return pa.record_batch([pa.array([lang], pa.string()), pa.array([part], pa.int32()), pa.array([len(keys)]), pa.array([data], pa.binary()), pa.array([sample], pa.binary())], schema=_PACKED)
+
+
+def _unpacked(data: pa.Scalar, size: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    buf = memoryview(data.as_buffer())
+    keys = np.stack([from_planes(buf[4 * size * c :], "<u4", size) for c in range(most)], axis=1)
+    keys[:, 0] = np.cumsum(keys[:, 0], dtype=np.uint32)
+    return keys, from_planes(buf[4 * size * most :], "<i8", size)
+
+
 def _count_grams(most: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted and counted n-grams of what a task has read, GATHERED at a time, with a few keys at even distances."""
         held: dict[str, list[np.ndarray]] = {}
         size = 0
 
@@ -161,9 +179,8 @@ def _count_grams(most: int):
             for lang, parts in held.items():
                 rows = np.concatenate(parts)
                 keys, n = run_lengths(rows, np.ones(len(rows), np.int64))
-                for a in range(0, len(keys), 1 << 16):
-                    k = keys[a : a + (1 << 16)]
-                    yield pa.record_batch([pa.array([lang] * len(k), pa.string()), _binary(k), pa.array(n[a : a + (1 << 16)])], schema=_GRAM)
+                if len(keys):
+                    yield _packed(lang, 0, keys, n, keys[np.linspace(0, len(keys) - 1, min(SAMPLED_KEYS, len(keys))).astype(np.int64)].astype("<u4").tobytes())
 
         for batch in batches:
             for lang, n, codes, own in zip(batch.column("lang").to_pylist(), batch.column("n_codes").to_pylist(), batch.column("codes"), batch.column("ids"), strict=True):
@@ -182,33 +199,58 @@ def _count_grams(most: int):
     return count
 
 
-def _count_sorted(least: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Run lengths of sorted keys; the last run of a batch waits for the next one."""
-        tail: tuple[str, bytes, int] | None = None
+def _place(keys: np.ndarray, key: np.ndarray) -> int:
+    """How many of the sorted keys are below `key`: a binary search id by id."""
+    a, b = 0, len(keys)
+    for c in range(keys.shape[1]):
+        own = keys[a:b, c]
+        a, b = a + int(np.searchsorted(own, key[c], "left")), a + int(np.searchsorted(own, key[c], "right"))
+    return a
+
+
+def _deal(splitters: np.ndarray, most: int):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each packed row cut into ranges of keys."""
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            keys, n, langs = batch.column("key"), batch.column("n").to_numpy(zero_copy_only=False), batch.column("lang")
-            data, offs = view(keys)
-            rows = data.reshape(len(keys), -1)
-            new = np.ones(len(keys), bool)
-            new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-            begins = np.flatnonzero(new)
-            sums = np.add.reduceat(n, begins)
-            if tail and tail[1] == keys[0].as_py():
-                sums[0] += tail[2]
-            elif tail and tail[2] >= least:
-                yield pa.record_batch([[tail[0]], [tail[1]], [tail[2]]], schema=_GRAM)
-            last = int(begins[-1])
-            tail = (langs[last].as_py(), keys[last].as_py(), int(sums[-1]))
-            good = np.flatnonzero(sums[:-1] >= least)
-            if len(good):
-                yield pa.record_batch([langs.take(pa.array(begins[good])), keys.take(pa.array(begins[good])), pa.array(sums[good])], schema=_GRAM)
-        if tail and tail[2] >= least:
-            yield pa.record_batch([[tail[0]], [tail[1]], [tail[2]]], schema=_GRAM)
+            for lang, size, data in zip(batch.column("lang").to_pylist(), batch.column("size").to_pylist(), batch.column("data"), strict=True):
+                keys, n = _unpacked(data, size, most)
+                edges = [0, *(_place(keys, x) for x in splitters), size]
+                for part, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                    if a < b:
+                        yield _packed(lang, part, keys[a:b], n[a:b])
 
-    return count
+    return deal
+
+
+def _merge(least: int, most: int):
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A range of keys of one language at a time: its rows sorted and counted again; what a task holds is bounded by the distinct keys of a range."""
+        now, held, size = None, [], 0
+
+        def fold() -> tuple[np.ndarray, np.ndarray]:
+            return run_lengths(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, n = fold()
+            good = n >= least
+            if good.any():
+                yield pa.record_batch([pa.array([now[1]] * int(good.sum()), pa.string()), _binary(keys[good]), pa.array(n[good])], schema=_GRAM)
+
+        for batch in batches:
+            for part, lang, n, data in zip(*(batch.column(c).to_pylist() for c in ("part", "lang", "size")), batch.column("data"), strict=True):
+                if now is not None and now != (part, lang):
+                    yield from out()
+                    held, size = [], 0
+                now = (part, lang)
+                held.append(_unpacked(data, n, most))
+                size += n
+                if size > GATHERED:
+                    held = [fold()]
+                    size = len(held[0][0]) // 2
+        if held:
+            yield from out()
+
+    return merge
 
 
 def frequent_grams(encoded: DataFrame, known: DataFrame, most: int, least: int, tasks: int) -> DataFrame:
@@ -216,9 +258,18 @@ def frequent_grams(encoded: DataFrame, known: DataFrame, most: int, least: int,
     own = encoded.select("chunk", "lang", F.posexplode("words").alias("at", "w")).select("chunk", "lang", (F.col("at") + 1).alias("place"), "w.word")
     own = own.join(known, ["lang", "word"]).select("chunk", F.struct("place", "id").alias("x")).repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list("x").alias("ids"))
     both = encoded.select("chunk", "lang", "n_codes", "codes").repartition(tasks, "chunk").join(own, "chunk").select("lang", "n_codes", "codes", "ids")
-    found = stored(both.mapInArrow(_count_grams(most), "lang string, key binary, n long"))
-    tasks = max(tasks, found.count() // (4 * GATHERED))
-    return found.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(_count_sorted(least), "lang string, key binary, n long")
+    found = stored(both.mapInArrow(_count_grams(most), "lang string, part int, size long, data binary, sample binary"))
+    rows, total = found.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    parts = min(PARTS, max(tasks, total // RANGE))
+    # splitters: even steps through a bounded sample of keys
+    share = found.select("sample").filter(F.pmod(F.xxhash64("sample"), F.lit(rows)) < SAMPLED_ROWS) if rows > SAMPLED_ROWS else found.select("sample")
+    sample = np.concatenate([np.zeros((0, most), "<u4"), *(np.frombuffer(r[0], "<u4").reshape(-1, most) for r in share.collect())])
+    sample = sample[radix_order(sample)]
+    at = np.linspace(0, len(sample), parts + 1)[1:-1].astype(np.int64)
+    splitters = np.unique(sample[at], axis=0) if len(sample) else sample
+    ranges = found.mapInArrow(_deal(splitters, most), "lang string, part int, size long, data binary, sample binary").select("lang", "part", "size", "data")
+    ranges = ranges.repartition(max(tasks, parts), "part", "lang").sortWithinPartitions("part", "lang")
+    return ranges.mapInArrow(_merge(least, most), "lang string, key binary, n long")
 
 
 def _part(key: str, begin: Column | int, length: Column | int, most: int) -> Column:
