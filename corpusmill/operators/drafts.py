@@ -8,6 +8,7 @@ empty plans.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,12 +25,10 @@ from .ordered import keep_first
 LABELS = [("name", "nama"), ("title", "judul"), ("image", "gambar"), ("birth_date", "tanggal_lahir"), ("death_date", "tanggal_meninggal"), ("occupation", "pekerjaan"), ("director", "sutradara"), ("starring", "pemeran"), ("country", "negara"), ("language", "bahasa"), ("state", "state"), ("group", "grup"), ("list", "daftar")]
 CELL_WORDS = [("Yes", "Ya"), ("No", "Tidak"), ("Won", "Menang"), ("Nominated", "Nominasi"), ("TBA", "Belum diumumkan"), ("Film", "Film"), ("Year", "Tahun"), ("Title", "Judul"), ("Role", "Peran"), ("Notes", "Catatan")]
 NOISE = "\\b(?:tanya|tolong|salam|terima kasih|halo|mohon)\\b"
-BECOMES = ["diterjemahkan jadi", "diterjemahkan menjadi", "dipadankan dengan", "dipadankan menjadi", "padanannya", "padanannya adalah"]
-TERM_WORDS = ["arti", "istilah", "kata", "padanan", "terjemahan"]
-PROPOSALS = ["padanan", "terjemahan", "usulan"]
-LINKING = ["adalah", "berupa", "yaitu", "yakni"]
-AGREEING = ["mengusulkan", "sepakat dengan", "setuju dengan"]
-AUTHORITIES = ["baku di KBBI", "entri KBBI", "sesuai KBBI"]
+#: Stems of cue words, by what they say of the form that follows: that a linked term turns into it, or that it is put forward.  Defaults; a caller brings a table.
+CUES = {"becomes": ["jadi", "padan"], "proposes": ["usul", "padan", "terjemah", "setuju", "sepakat", "kbbi"]}
+#: Words that may stand between a cue and what it speaks of.
+CUE_GAP = 3
 REMARKS = [("translationese", ["kalkir", "terjemah"]), ("orthography", ["baku", "eyd", "kbbi"]), ("punctuation", ["koma", "tanda baca"])]
 TERM_LETTERS, QUOTE_LETTERS, LEAST_REMARK = (3, 35), (5, 150), 8
 FUNCTION_WORDS = ["pada", "dari", "ke", "itu", "ini", "yang", "dan"]
@@ -286,30 +285,39 @@ def _either(words: list[str]) -> str:
     return "(?:" + "|".join(w.replace(" ", "\\s+") for w in words) + ")"
 
 
-def quoted_after(text: Column, lead: str) -> Column:
-    """Quoted phrases of TERM_LETTERS letters that stand after `lead`; any kind of quotation mark will do."""
-    plain = F.regexp_replace(text, "[“”„‘’']", '"')
-    return F.transform(F.regexp_extract_all(plain, F.lit(f'(?i)\\b{lead}\\s*"([\\p{{L}} -]{{{TERM_LETTERS[0]},{TERM_LETTERS[1]}}})"'), F.lit(1)), lambda x: F.trim(x))
+def cued(said: Column, cues: list[str]) -> Column:
+    """Whether one of the last CUE_GAP + 1 words, whatever its affixes, has the stem of a cue."""
+    tail = T.words(F.lower(said))
+    tail = F.slice(tail, F.greatest(F.lit(1), F.size(tail) - CUE_GAP), CUE_GAP + 1)
+    return F.exists(tail, lambda w: reduce(lambda a, b: a | b, (F.contains(w, F.lit(c)) for c in cues)))
 
 
-def thread_terms(threads: DataFrame) -> DataFrame:
-    """(thread_id, term, target, topic, family): terms that discussions (thread_id, title, text) recommend: links between languages, proposals under a title that names a term, and 'A vs B' titles."""
-    t, title = F.col("text"), F.trim(F.regexp_replace("title", "^=+ *| *=+$", ""))
-    # a link to the other wiki, words that say it becomes, and the next link
-    steps = F.split(t, "(?=\\[\\[:en:)")
-    target_of = lambda m: F.regexp_extract(m, f"(?i)^\\[\\[[^\\]]*\\]\\]\\s*{_either(BECOMES)}\\s*\\[\\[([^\\]|#]+)", 1)
-    linked = F.transform(F.filter(steps, lambda m: target_of(m) != ""), lambda m: F.struct(F.lower(F.regexp_extract(m, "^\\[\\[:en:([^\\]|#]+)", 1)).alias("term"), F.trim(target_of(m)).alias("target"), F.lit("link").alias("family")))
-    # the term of a title is what it quotes after a word for term, or the title itself where that is a phrase
-    in_title = F.get(quoted_after(title, f"{_either(TERM_WORDS)}(?:\\s+{_either(TERM_WORDS + ['dari', 'untuk'])})*"), F.lit(0))
+def quotations(text: Column) -> Column:
+    """(before, phrase): quoted phrases of TERM_LETTERS letters, each with the words of its clause before it; any kind of quotation mark will do."""
+    parts = F.split(F.regexp_replace(text, "[“”„‘’']", '"'), '"')
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(parts) - 1) / 2).cast("int") - 1)), lambda k: F.struct(F.element_at(F.split(F.get(parts, k * 2), "[.!?\n]"), -1).alias("before"), F.trim(F.coalesce(F.get(parts, k * 2 + 1), F.lit(""))).alias("phrase")))
+    return F.filter(pairs, lambda x: (F.size(parts) > 2) & F.length(x["phrase"]).between(*TERM_LETTERS) & x["phrase"].rlike("^[\\p{L} -]+$"))
+
+
+def thread_terms(threads: DataFrame, cues: dict[str, list[str]] = CUES) -> DataFrame:
+    """(thread_id, term, target, topic, family): terms that discussions (thread_id, title, text) recommend: a link to the other wiki and the link it becomes, quotations that a cue puts forward under a title that names a term, and 'A vs B' titles.  Null texts have none."""
+    t, title = F.coalesce("text", F.lit("")), F.trim(F.regexp_replace(F.coalesce("title", F.lit("")), "^=+ *| *=+$", ""))
+    # links and what stands between them: a foreign link, a cue, and the next link
+    links = F.split(t, "\\[\\[")
+    name = lambda x: F.trim(F.substring_index(F.substring_index(F.substring_index(x, "]]", 1), "|", 1), "#", 1))
+    after = lambda x: F.substring_index(x, "]]", -1)
+    near = lambda x: (F.size(T.words(after(x))) <= CUE_GAP + 1) & cued(after(x), cues["becomes"])
+    turned = F.transform(links, lambda x, k: F.when(F.startswith(F.lower(x), F.lit(":en:")) & near(x) & F.get(links, k + 1).isNotNull(), F.struct(F.lower(F.regexp_replace(name(x), "(?i)^:en:", "")).alias("term"), name(F.get(links, k + 1)).alias("target"), F.lit("link").alias("family"))))
+    # the term of a title is what it quotes, or the title itself where that is a plain phrase
+    in_title = F.get(quotations(title), F.lit(0))["phrase"]
     named = F.lower(F.coalesce(in_title, F.when(title.rlike("^[A-Za-z -]{3,35}$") & ~title.rlike(f"(?i){NOISE}"), title)))
-    leads = [f"{_either(PROPOSALS)}(?:nya)?\\s*(?:{_either(LINKING)}|:)?", f"{_either(AGREEING)}(?:\\s+{_either(TERM_WORDS)})?", f"{_either(AUTHORITIES)}\\s*(?:{_either(LINKING)}|:)?"]
-    said = F.concat(*(quoted_after(t, lead) for lead in leads))
-    proposed = F.transform(F.when(named.isNotNull(), said).otherwise(F.array().cast("array<string>")), lambda x: F.struct(named.alias("term"), x.alias("target"), F.lit("proposal").alias("family")))
+    said = F.filter(quotations(t), lambda x: cued(x["before"], cues["proposes"]))
+    proposed = F.transform(F.when(named.isNotNull(), said).otherwise(F.slice(said, 1, 0)), lambda x: F.struct(named.alias("term"), x["phrase"].alias("target"), F.lit("proposal").alias("family")))
     # of two forms in a title the one that the text has is the standard one, where the text speaks of a standard
     sides = F.transform(F.split(title, "(?i)\\bvs\\b\\.?"), lambda x: F.trim(x))
     pick = lambda i, j: F.when(F.contains(F.lower(t), F.lower(sides[j])), F.struct(F.lower(sides[i]).alias("term"), sides[j].alias("target"), F.lit("versus").alias("family")))
     versus = F.array(F.when((F.size(sides) == 2) & F.contains(F.lower(t), F.lit("baku")), F.coalesce(pick(0, 1), pick(1, 0))))
-    found = F.filter(F.concat(linked, proposed, versus), lambda x: x.isNotNull())
+    found = F.filter(F.concat(turned, proposed, versus), lambda x: x.isNotNull())
     rows = threads.select("thread_id", W.topic(F.concat_ws(" ", "title", "text")).alias("topic"), F.explode(found).alias("x"))
     return rows.select("thread_id", "x.term", "x.target", "topic", "x.family").filter("length(term) > 2 AND length(target) > 2 AND term <> lower(target)").distinct()
 

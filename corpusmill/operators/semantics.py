@@ -33,14 +33,9 @@ MODALITY = [
 ]
 #: Forms that take a direction for the name of a sea.  The correct word for southeast is no error.
 COMPASS = [("northeast", "timur Laut"), ("northwest", "barat Laut"), ("southwest", "barat Daya")]
-#: Words that own nothing, whatever their case.
-UNOWNED = [
-    "action", "he", "here", "how", "it", "let", "nature", "she", "that", "there", "today",
-    "tomorrow", "what", "when", "where", "who", "why", "world", "year", "yesterday",
-]
-#: Verbs by which one person makes another something, and whom.
-JUDGING = ["appointed", "cast", "considered", "declared", "diagnosed", "elected", "found", "judged", "named", "treated"]
-OTHERS = ["her", "him", "them"]
+#: An object pronoun behind a past form, told by its ending; the draft then speaks of the subject itself.
+OTHER_PERSON = "\\p{Ll}{2,}(?:ed|nd|st|wn)\\s+(?:him|her|them)"
+ITSELF = "dirinya(?!\\s+sendiri)"
 #: Words before a particle that stands apart, and bound forms; defaults where a caller brings no knowledge table.
 APART = ["apa", "dia", "kapan", "mana", "mereka", "siapa"]
 BOUND = ["anti", "multi", "non", "pasca", "pra", "sub", "swa", "tuna", "ultra"]
@@ -59,22 +54,27 @@ MOST_RULES = 1_000
 def default_rules(spark: SparkSession) -> DataFrame:
     """(rule, severity, source, draft, folded): what stands in the source, and what in the draft then turns its meaning."""
     rows = [("polarity", "critical", a, b, True) for a, b in POLARITY] + [("modality", "high", a, b, True) for a, b in MODALITY] + [("compass", "high", a, b, False) for a, b in COMPASS]
-    rows.append(("reflexive", "critical", f"(?:{'|'.join(JUDGING)})\\s+(?:{'|'.join(OTHERS)})", "dirinya(?!\\s+sendiri)", True))
+    rows.append(("reflexive", "critical", OTHER_PERSON, ITSELF, True))
     return spark.createDataFrame(rows, "rule string, severity string, source string, draft string, folded boolean")
 
 
-def sentence_findings(pairs: DataFrame, rules: DataFrame | None = None, unowned: list[str] = UNOWNED) -> DataFrame:
-    """(pair_id, rule, severity, detail) for aligned sentences (pair_id, source, draft): the rules of a table that hold, and owners (X's thing) that the draft does not name."""
+def sentence_findings(pairs: DataFrame, rules: DataFrame | None = None, unowned: list[str] = ()) -> DataFrame:
+    """(pair_id, rule, severity, detail) for aligned sentences (pair_id, source, draft): the rules of a table that hold, and owners (X's thing) that the draft does not name.
+
+    Null sentences count as empty.  An owner is a name: a word that the sources write small somewhere is none, nor one that the caller lists.
+    """
     table = (default_rules(pairs.sparkSession) if rules is None else rules).limit(MOST_RULES + 1).collect()
     if len(table) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
     s, d = F.coalesce("source", F.lit("")), F.coalesce("draft", F.lit(""))
     hits = [F.when(has(s, r["source"]) & has(d, r["draft"], r["folded"]), F.struct(F.lit(r["rule"]).alias("rule"), F.lit(r["severity"]).alias("severity"), F.lit(f"{r['source']} / {r['draft']}").alias("detail"))) for r in table]
-    named = F.transform(F.split(s, "'s\\s+(?=\\p{Ll})"), lambda part: F.regexp_extract(part, "(?:^|[^\\p{L}])(\\p{Lu}\\p{Ll}+)$", 1))
-    owners = F.slice(named, 1, F.greatest(F.lit(0), F.size(named) - 1))  # what follows the last mark owns nothing
-    missing = F.filter(owners, lambda o: (o != "") & ~F.lower(o).isin(*unowned) & ~F.contains(F.lower(d), F.lower(o)))
-    owned = F.transform(missing, lambda o: F.struct(F.lit("owner").alias("rule"), F.lit("critical").alias("severity"), o.alias("detail")))
-    return pairs.select("pair_id", F.inline(F.concat(owned, F.filter(F.array(*hits), lambda x: x.isNotNull()))))
+    ruled = pairs.select("pair_id", F.inline(F.filter(F.array(*hits), lambda x: x.isNotNull())))
+    owners = F.regexp_extract_all(s, F.lit("(?<![\\p{L}'])(\\p{Lu}\\p{Ll}+)'s\\s+\\p{Ll}"), F.lit(1))
+    missing = F.filter(owners, lambda o: ~F.contains(F.lower(d), F.lower(o)))
+    owned = pairs.select("pair_id", F.explode(missing).alias("detail")).withColumn("small", F.lower("detail"))
+    small = pairs.select(F.explode(F.array_distinct(F.regexp_extract_all(s, F.lit("(?<![\\p{L}'])\\p{Ll}+"), F.lit(0)))).alias("small")).distinct()
+    owned = owned.join(small, "small", "left_anti").filter(~F.col("small").isin(*unowned) if unowned else F.lit(True))
+    return ruled.unionByName(owned.select("pair_id", F.lit("owner").alias("rule"), F.lit("critical").alias("severity"), "detail"))
 
 
 def scored(findings: DataFrame, ids: DataFrame, key: str, penalty: dict[str, int] = PENALTY) -> DataFrame:

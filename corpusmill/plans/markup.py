@@ -26,10 +26,10 @@ FRAGMENTS = [
     "Namun, pada Agustus {y}, ia pergi ke sebuah rumah sakit. Komite, yang saat itu mencapai {n} orang, dipangkas, terutama di Barat, memandangnya.",
     "{| class=\"wikitable\"\n! Year !! Title !! Role\n|-\n| {y} || Yes || TBA\n|}\n* [https://example.org/analisa/{n} Situs analisa]",
     "Meskipun ditolak, namun ia berlayar ke laut Jawa pada tahun{y} dan ke{n} kali, berumur {n} tahun, sangat besar sekali.",
-    "{{ill|Products and applications of X{n}|en|Products and applications|lt=Produk}} dan {{ill|pemberhentian|en|Removal of Sam {n} from X}} lalu {{ill|Judul {n}|english|Title}}.",
+    "{{ill|Lakes and rivers of Basin{n}|en|Lakes and rivers|lt=Danau}} dan {{ill|pembukaan|en|Opening of Dam {n} at X}} lalu {{ill|Judul {n}|english|Title}}.",
     "'''Tebal {n} tanpa penutup\n[[Tautan {n} dan {{Templat|a={n}\n{| class\n<code>x",
     "Kalimat dengan koma ganda,, dan selesai,. ([[Judul|''Nama'']]) (\"kutipan {n}\") “lengkung” &amp; lain (a; b) <math>{n}.5</math> [[Kategori:Film tahun {y}]]",
-    "[[:en:Agent {n}]] diterjemahkan menjadi [[Agen cerdas {n}]]. Usulannya adalah \"jaringan saraf\" sesuai KBBI \"jejaring\".\n* \"kutipan panjang {n}\" ==> kalkir dari bahasa Inggris\n* \"kutipan kedua\" ==> {{done}}",
+    "[[:en:Tide {n}]] diterjemahkan menjadi [[Pasang laut {n}]]. Usulannya adalah \"arus balik\" sesuai KBBI \"arus\".\n* \"kutipan panjang {n}\" ==> kalkir dari bahasa Inggris\n* \"kutipan kedua\" ==> {{done}}",
 ]
 _PICK = (0, 3, 7)
 
@@ -183,7 +183,7 @@ def media_ladder(spark, d):
 # links between languages, reviews, gates --------------------------------------------------
 
 _ILL = """(SELECT c_custkey::BIGINT AS doc_id, c_custkey % 5 AS k, c_custkey % 7 AS m FROM customer)"""
-_ILL_TEXTS = ["{{ill|Agen cerdas %d|en|Intelligent agent}}", "{{ill|Products and applications %d|en|Produk X}}", "{{ill|pemberhentian|en|Removal of Sam %d from X}}", "{{ill|Model dasar %d|invalid_code|Foundation model}}", "{{ill|Model dasar %d|en|Pemberhentian dari perusahaan}}"]
+_ILL_TEXTS = ["{{ill|Pasang laut %d|en|Ocean tide}}", "{{ill|Lakes and rivers %d|en|Danau X}}", "{{ill|kota|en|Opening of Dam %d at X}}", "{{ill|Peta laut %d|invalid_code|Sea chart}}", "{{ill|Peta laut %d|en|Sejarah dari pelabuhan}}"]
 
 
 def _ill(spark: SparkSession, d: str) -> DataFrame:
@@ -196,13 +196,13 @@ _ISSUES = "CASE k WHEN 0 THEN CASE WHEN m < 3 THEN 'already_exists' END WHEN 1 T
 
 @query(f"SELECT doc_id, issue FROM (SELECT doc_id, {_ISSUES} AS issue FROM {_ILL}) WHERE issue IS NOT NULL")
 def link_fidelity(spark, d):
-    existing = spark.createDataFrame([(f"Agen cerdas {i}",) for i in range(3)], "title string")
+    existing = spark.createDataFrame([(f"Pasang laut {i}",) for i in range(3)], "title string")
     return reviews.link_issues(_ill(spark, d).select("doc_id", "text"), existing).select("doc_id", "issue")
 
 
-@query(f"SELECT doc_id, CASE WHEN k = 0 AND m < 3 THEN '[[Agen cerdas ' || m || ']]' ELSE replace({'[' + ', '.join(_quoted(t) for t in _ILL_TEXTS) + ']'}[(k + 1)::INT], '%d', m::VARCHAR) END AS text FROM {_ILL}")
+@query(f"SELECT doc_id, CASE WHEN k = 0 AND m < 3 THEN '[[Pasang laut ' || m || ']]' ELSE replace({'[' + ', '.join(_quoted(t) for t in _ILL_TEXTS) + ']'}[(k + 1)::INT], '%d', m::VARCHAR) END AS text FROM {_ILL}")
 def converted_links(spark, d):
-    existing = spark.createDataFrame([(f"Agen cerdas {i}",) for i in range(3)], "title string")
+    existing = spark.createDataFrame([(f"Pasang laut {i}",) for i in range(3)], "title string")
     return reviews.convert_existing(_ill(spark, d).select("doc_id", "text"), existing)
 
 
