@@ -7,12 +7,13 @@ defaults.  Null texts count as empty: they give no findings and a score of 100.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import IntegerType
 
 from ..functions import text as T
 from ..functions import wikitext as W
@@ -112,15 +113,23 @@ def review(pairs: DataFrame, fatal=FATAL, calques=CALQUES, typos=TYPOS) -> DataF
     return rows.select("draft_id", "n_fatal", "n_calques", "n_typos", "n_reference_issues", "score", W.verdict("score", "n_fatal").alias("verdict"), F.round("completeness", 3).alias("completeness"))
 
 
-@pandas_udf(BooleanType())
+@pandas_udf(IntegerType())
 def sentence_lost(before: pd.Series, after: pd.Series) -> pd.Series:
-    """Whether a sentence (array of words) of four words or more has under 60 % of its words, as a bag, in the text after."""
+    """How many sentences (arrays of words) of four words or more have under 60 % of their words, as a bag, in the text after."""
 
-    def one(sentences, have) -> bool:
+    def one(sentences, have) -> int:
         bag = Counter(have)
-        return any(len(w) >= 4 and (Counter(w) & bag).total() < 0.6 * len(w) for w in sentences)
+        return sum(len(w) >= 4 and 10 * sum(min(n, bag[x]) for x, n in Counter(w).items()) < 6 * len(w) for w in sentences)
 
-    return pd.Series([one(a, b) for a, b in zip(before, after, strict=True)], dtype="bool")
+    return pd.Series([one(a, b) for a, b in zip(before, after, strict=True)], dtype="int32")
+
+
+def retention(pairs: DataFrame, plain: Callable[[Column], Column] = W.prose) -> DataFrame:
+    """(source_id, draft_id, n_sentences, n_lost): sentences of the source with four words or more, and those that the draft has lost; both texts go through `plain`, null texts are empty."""
+    a, b = (plain(F.coalesce(c, F.lit(""))) for c in ("source_text", "draft_text"))
+    sentences = F.transform(F.split(F.lower(a), "[.!?\\n]+"), lambda s: T.words(s))
+    rows = pairs.select("source_id", "draft_id", F.filter(sentences, lambda w: F.size(w) >= 4).alias("s"), T.words(F.lower(b)).alias("have"))
+    return rows.select("source_id", "draft_id", F.size("s").alias("n_sentences"), sentence_lost("s", "have").alias("n_lost"))
 
 
 def escalation(reviewed: DataFrame, least_score: int = 60, least_share: float = 0.4, long_enough: int = 250, fatal: int = 3) -> DataFrame:
@@ -181,10 +190,8 @@ def save_gate(pairs: DataFrame) -> DataFrame:
     a, b = F.coalesce("source_text", F.lit("")), F.coalesce("draft_text", F.lit(""))
     heads = lambda t: F.regexp_count(t, F.lit("(?m)^={2,6}[^=\\n]+={2,6} *$"))
     refs = lambda t: F.regexp_count(t, F.lit("<ref[ >]"))
-    have = T.words(F.lower(W.prose(b)))
-    kept = F.filter(F.transform(F.split(W.claims(a), "[.!?\\n]+"), lambda s: T.words(F.lower(s))), lambda w: F.size(w) >= 4)
-    share = lambda w: F.size(F.filter(w, lambda x: F.array_contains(have, x)))
-    lost = F.exists(kept, lambda w: share(w) < F.size(w) * 0.6)
+    sentences = F.transform(F.split(W.claims(a), "[.!?\\n]+"), lambda s: T.words(F.lower(s)))
+    lost = sentence_lost(sentences, T.words(F.lower(W.prose(b)))) > 0
     reasons = F.array(F.when(F.trim(b) == "", "empty"), F.when(heads(b) < heads(a), "heading lost"), F.when(refs(b) < refs(a), "reference lost"), F.when(F.size(rewrites.syntax_issues(b)) > 0, "unbalanced"), F.when(lost, "sentence lost"))
     return pairs.select("draft_id", F.filter(reasons, lambda r: r.isNotNull()).alias("reasons")).select("draft_id", (F.size("reasons") == 0).alias("accepted"), "reasons")
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import tree
 
 Rule = tuple[str, str]
 
@@ -238,7 +239,6 @@ def general_fixes(text: Column) -> Column:
 # syntax repair ----------------------------------------------------------------------------
 
 _VALID_REF = "<ref[^>]*/>|<ref[^>/]*>(?:[^<\\n]|<(?!/?ref|\\n==))*</ref>"
-_VALID_TEMPLATE = "\\{\\{(?:[^{}]|\\{\\{(?:[^{}]|\\{\\{[^{}]*\\}\\})*\\}\\})*\\}\\}"
 _NOWIKI = "<nowiki>.*?</nowiki>|<!--.*?-->"
 
 
@@ -262,10 +262,10 @@ def orphan_references(text: Column, source: Column | None = None) -> Column:
     """References by name that nothing defines take the definition of the `source` text, or go."""
     used = F.array_distinct(F.regexp_extract_all(text, F.lit('<ref name="([^"]+)" */>'), F.lit(1)))
     orphans = F.array_except(used, F.regexp_extract_all(text, F.lit('<ref name="([^"]+)">'), F.lit(1)))
-    made = F.regexp_extract_all(source, F.lit('(?s)<ref name="[^"]+">.*?</ref>'), F.lit(0)) if source is not None else F.array().cast("array<string>")
+    made = F.regexp_extract_all(source, F.lit('(?s)<ref name="[^"]+">.*?</ref>'), F.lit(0)) if source is not None else None
 
     def put(acc: Column, o: Column) -> Column:
-        own = F.get(F.filter(made, lambda m: F.startswith(m, F.concat(F.lit('<ref name="'), o, F.lit('">')))), F.lit(0))
+        own = F.get(F.filter(made, lambda m: F.startswith(m, F.concat(F.lit('<ref name="'), o, F.lit('">')))), F.lit(0)) if made is not None else F.lit("")
         return F.replace(F.replace(acc, F.concat(F.lit('<ref name="'), o, F.lit('"/>')), F.concat(F.lit('<ref name="'), o, F.lit('" />'))), F.concat(F.lit('<ref name="'), o, F.lit('" />')), F.coalesce(own, F.lit("")))
 
     return F.aggregate(orphans, text, put)
@@ -285,19 +285,18 @@ def close_quotes(text: Column) -> Column:
 
 
 def close_links(text: Column) -> Column:
-    """An open link ends after the name at its start, and closing brackets without an opening go."""
-    rules = [("\\]\\]", ""), ("\\[\\[(\\p{Lu}[\\p{L}0-9-]*(?: \\p{Lu}[\\p{L}0-9-]*)*)", "[[$1]]"), ("\\[\\[(?!\\p{Lu})", "")]
-    return between(text, f"\\[\\[[^\\[\\]]*(?:\\[\\[[^\\[\\]]*\\]\\][^\\[\\]]*)*\\]\\]|{_NOWIKI}", lambda p: T.rewrite(p, rules))
+    """An open link ends after its name, or with its line where it has a label; closing brackets without an opening go."""
+    return tree.repair(text, "link")
 
 
 def close_templates(text: Column) -> Column:
-    """An open template ends with its line, and closing braces without an opening go."""
-    return between(text, f"{_VALID_TEMPLATE}|{_NOWIKI}", lambda p: T.rewrite(p, [("\\}\\}", ""), ("(\\{\\{[^{}\\n]*)", "$1}}")]))
+    """An open template ends with its line and the parameters that follow, or with the span around it; closing braces without an opening go."""
+    return tree.repair(text, "template")
 
 
 def close_tables(text: Column) -> Column:
-    missing = number_of(text, "(?m)^\\{\\|") - number_of(text, "(?m)^\\|\\}")
-    return F.concat(text, F.repeat(F.lit("\n|}"), F.greatest(F.lit(0), missing)))
+    """An open table ends with the text; closing marks without an opening go."""
+    return tree.repair(text, "table")
 
 
 SYNTAX_REPAIR = [
@@ -319,9 +318,6 @@ def repair(text: Column) -> Column:
 def syntax_issues(text: Column) -> Column:
     """Array of (kind, n): marks without a partner outside nowiki."""
     t = F.regexp_replace(text, f"(?s){_NOWIKI}", "")
-    links = reduce(lambda x, _: F.regexp_replace(x, "\\[\\[[^\\[\\]]*\\]\\]", ""), range(3), t)
-    templates = reduce(lambda x, _: F.regexp_replace(x, "\\{\\{[^{}]*\\}\\}", ""), range(4), t)
-    refs = F.regexp_replace(t, "(?s)<ref[^>]*/>|<ref[^>/]*>[^<]*</ref>", "")
     lines = F.split(t, "\n")
 
     def odd(n: Column) -> Column:
@@ -332,9 +328,6 @@ def syntax_issues(text: Column) -> Column:
     italic = F.size(F.filter(lines, lambda s: odd(five(s) + number_of(F.regexp_replace(F.regexp_replace(s, "'{5}", ""), "'{3}", ""), "'{2}"))))
     used = F.array_distinct(F.regexp_extract_all(t, F.lit('<ref name="([^"]+)" */>'), F.lit(1)))
     orphans = F.size(F.array_except(used, F.regexp_extract_all(t, F.lit('<ref name="([^"]+)">'), F.lit(1))))
-    counts = {
-        "link": number_of(links, "\\[\\[|\\]\\]"), "template": number_of(templates, "\\{\\{|\\}\\}"), "ref": number_of(refs, "<ref[^>]*>|</ref>") + orphans,
-        "table": F.abs(number_of(t, "(?m)^\\{\\|") - number_of(t, "(?m)^\\|\\}")), "bold": bold, "italic": italic,
-        **{tag: F.abs(number_of(t, f"<{tag}(?: [^>]*)?>") - number_of(t, f"</{tag}>")) for tag in ("nowiki", "code", "blockquote")},
-    }
-    return F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), n.cast("int").alias("n")) for k, n in counts.items())), lambda x: x["n"] > 0)
+    marks = F.transform(tree.unpaired(text), lambda x: F.struct(x["kind"].alias("kind"), (x["n"] + F.when(x["kind"] == "ref", orphans).otherwise(0)).cast("int").alias("n")))
+    counts = {"bold": bold, "italic": italic, **{tag: F.abs(number_of(t, f"<{tag}(?: [^>]*)?>") - number_of(t, f"</{tag}>")) for tag in ("nowiki", "code", "blockquote")}}
+    return F.filter(F.concat(marks, F.array(*(F.struct(F.lit(k).alias("kind"), n.cast("int").alias("n")) for k, n in counts.items()))), lambda x: x["n"] > 0)
