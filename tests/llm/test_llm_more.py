@@ -278,3 +278,20 @@ def test_long_segments_are_indexed_in_stretches(monkeypatch):
     texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(900)), "the cat " * 60, "ab" * 500]
     m.known.clear()
     assert [np.frombuffer(x, "<u4").tolist() for x in m.encode(texts)] == sp.encode(texts)
+
+
+def test_exact_copies_in_small_slices(spark, monkeypatch):
+    """Groups that go on from slice to slice keep one row each, with its own columns."""
+    from corpusmill.llm import exact_dedup
+
+    rows = [(i, ["Text A", "text a", "b", None, "", "TEXT A ", "é"][i % 7], i) for i in range(200)] + [(None, "b", -1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3)
+    monkeypatch.setattr(exact_dedup, "SLICE", 3)
+    for keep, pick in (("min", min), ("max", max)):
+        best = {}
+        for i, t, _ in rows:
+            if i is not None:
+                key = (t or "").lower()
+                best[key] = i if key not in best else pick(best[key], i)
+        got = {(r.doc_id, r.text, r.n) for r in exact_dedup.drop_exact_copies(docs, keep=keep).collect()}
+        assert got == {(i, rows[i][1], i) for i in best.values()}
