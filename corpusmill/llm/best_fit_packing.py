@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, in_arrow
 
 LIMIT = 2048
 #: Distinct text units whose ids a task remembers.
@@ -131,7 +131,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int
                 yield pa.record_batch(out, names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(encode, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).transform(in_arrow, encode, schema)
 
 
 def enumerate_patterns(lengths: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -291,7 +291,7 @@ def place(ranked: DataFrame, plan: list[tuple[int, int, int, int, int]], length:
             yield pa.record_batch([*batch.columns, pa.array(seq), pa.array(off)], names=[*batch.schema.names, "sequence_id", "offset"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "sequence_id long", "offset long"])
-    return ranked.mapInArrow(put, schema)
+    return ranked.transform(in_arrow, put, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int = 0, keep_ids: bool = True, special_as_text: bool = True) -> DataFrame:

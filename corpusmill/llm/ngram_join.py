@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES, WORDS, bucket_count, chunks, connected, cut, from_planes, grouped, lowered, mixed, owners, planes, row_key, runs, sent, signed, stored, text_rows, view, words
+from .common import BYTES, WORDS, bucket_count, chunks, connected, cut, from_planes, grouped, in_arrow, lowered, mixed, owners, planes, row_key, runs, sent, signed, stored, text_rows, view, words
 
 SHINGLE, PERCENT = 5, 80
 #: Sizes are put in classes that grow by half.
@@ -359,8 +359,8 @@ NODE = "struct<last:boolean,least:long,fp:long>"
 def _blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """(fp, block): sets that may link, in blocks that no link leaves."""
     buckets = bucket_count(rows, BUCKET)
-    keys = rows.select("text").mapInArrow(_keys(width, percent, buckets), "bucket int, kind int, payload binary")
-    met = stored(keys.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_meetings, "key long, fp long, need long"))
+    keys = rows.select("text").transform(in_arrow, _keys(width, percent, buckets), "bucket int, kind int, payload binary")
+    met = stored(keys.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").transform(in_arrow, _meetings, "key long, fp long, need long"))
     needs = met.filter("need IS NOT NULL").groupBy("fp").agg(F.min("need").alias("need"))
     left = met.filter("need IS NULL").select("key", "fp")
     # a set that meets others under fewer keys than a link shares has no link
@@ -374,9 +374,9 @@ def _blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
 def _links(rows: DataFrame, seats: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): links found in the tasks of `seats` (rid, fp, last, least, comp, task, right); sets are made from one text of each class."""
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), bucket_count(rows, 4 * BUCKET))
-    texts = rows.join(sent(seats.select("rid", "fp").distinct()), "rid").select("text", "fp").mapInArrow(_sets(width), "fp long, members binary")
+    texts = rows.join(sent(seats.select("rid", "fp").distinct()), "rid").select("text", "fp").transform(in_arrow, _sets(width), "fp long, members binary")
     seated = seats.drop("rid").join(texts, "fp")
-    return cut(seated.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_verify(percent), f"a {NODE}, b {NODE}"))
+    return cut(seated.repartition(n, "task").sortWithinPartitions("task").transform(in_arrow, _verify(percent), f"a {NODE}, b {NODE}"))
 
 
 def _node() -> Column:
@@ -391,7 +391,7 @@ def _parts(k: Column, size: Column) -> Column:
 def ngram_join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, keep_rid: bool = False) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included); with keep_rid the row's key and its component's root too (null: the set is empty)."""
     rows = text_rows(docs)
-    sized = cut(rows.mapInArrow(_sizes(width), "rid long, doc_id long, n_shingles long, fp long"))
+    sized = cut(rows.transform(in_arrow, _sizes(width), "rid long, doc_id long, n_shingles long, fp long"))
     near = _blocks(rows, width, percent)
     # a class is read from one of its rows
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("least"))).alias("x")

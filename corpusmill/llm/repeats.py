@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES, OTHER, WORDS, bucket_count, chunks, cut, from_planes, grouped, mixed, planes, row_key, runs, stored, text_rows, view, words
+from .common import BYTES, OTHER, WORDS, bucket_count, chunks, cut, from_planes, grouped, in_arrow, mixed, planes, row_key, runs, stored, text_rows, view, words
 
 #: Bytes of a word's hash in a context.
 SHORT = 8
@@ -307,7 +307,7 @@ def _windows(window: int, seed: int, unit: int):
 
 def _counted(opened: DataFrame, window: int, seed: int, unit: int) -> DataFrame:
     """Spans of seeds with very many contexts: windows that occur twice are found by counting, which is summed before the shuffle, so no group is gathered."""
-    w = opened.mapInArrow(_windows(window, seed, unit), "key long, doc long, pos int, o int, alone boolean")
+    w = opened.transform(in_arrow, _windows(window, seed, unit), "key long, doc long, pos int, o int, alone boolean")
     occurrence = F.struct("doc", (F.col("pos") - F.col("o")).alias("at"))  # two seeds may lie in one window
     twice = w.groupBy("key").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b")).filter("a <> b").select("key")
     reach = w.filter("alone").join(twice, "key").groupBy("doc", "pos").agg(F.max("o").alias("l"), F.min("o").alias("s"))
@@ -317,7 +317,7 @@ def _counted(opened: DataFrame, window: int, seed: int, unit: int) -> DataFrame:
         for b in batches:
             yield _spans([b.column("doc").to_numpy()], [b.column("a").to_numpy()], [b.column("b").to_numpy()])
 
-    return reach.select("doc", span.alias("x")).select("doc", "x.a", "x.b").mapInArrow(pack, "doc long, spans binary")
+    return reach.select("doc", span.alias("x")).select("doc", "x.a", "x.b").transform(in_arrow, pack, "doc long, spans binary")
 
 
 def _spans(doc: list, begin: list, end: list) -> pa.RecordBatch:
@@ -345,22 +345,22 @@ def find_repeats(docs: DataFrame, kind: str, window: int, seed: int, places: Pla
     rows = text_rows(docs)
     buckets = bucket_count(docs, BUCKET)
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets)
-    seeds = rows.select("rid", "text").mapInArrow(_emit(kind, window, seed, places, buckets), "bucket int, doc long, payload binary")
-    found = seeds.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_match, "doc long, settled binary, open binary")
+    seeds = rows.select("rid", "text").transform(in_arrow, _emit(kind, window, seed, places, buckets), "bucket int, doc long, payload binary")
+    found = seeds.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").transform(in_arrow, _match, "doc long, settled binary, open binary")
     found = stored(found)
     need = found.filter("open IS NOT NULL").groupBy(F.col("doc").alias("rid")).agg(F.collect_set("open").alias("open"))
     own = docs.select(row_key().alias("rid"), F.struct(*(columns or ["doc_id"])).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     # the same columns and kind of join as at the end, so that texts are dealt out once; of rows that repeat each other one is looked at
     opened = own.join(need, "rid", "left").filter("open IS NOT NULL").dropDuplicates(["rid"]).select("rid", "row", "text", "open")
-    opened = opened.mapInArrow(_fetch(kind, window, seed), "h long, doc long, pos int, left binary, right binary, alone boolean")
-    tally = found.filter("open IS NOT NULL").select("open").mapInArrow(_tally, "h long, n long")
+    opened = opened.transform(in_arrow, _fetch(kind, window, seed), "h long, doc long, pos int, left binary, right binary, alone boolean")
+    tally = found.filter("open IS NOT NULL").select("open").transform(in_arrow, _tally, "h long, n long")
     common = cut(tally.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > COUNT).select("h"))
     counted = None
     if not common.isEmpty():
         opened = cut(opened)
         counted = _counted(opened.join(common, "h"), window, seed, SHORT if kind == "words" else 1)
         opened = opened.join(common, "h", "left_anti")
-    spans = opened.repartition(n, "h").sortWithinPartitions("h", "right").mapInArrow(_solve(solver), "doc long, spans binary")
+    spans = opened.repartition(n, "h").sortWithinPartitions("h", "right").transform(in_arrow, _solve(solver), "doc long, spans binary")
     spans = spans if counted is None else spans.unionByName(counted)
     both = found.filter("settled IS NOT NULL").select("doc", "settled", F.lit(None).cast("binary").alias("spans")).unionByName(spans.withColumn("settled", F.lit(None).cast("binary")))
     both = both.groupBy(F.col("doc").alias("rid")).agg(F.collect_set("settled").alias("settled"), F.collect_set("spans").alias("spans"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, mixed, runs, view
+from .common import chunks, in_arrow, mixed, runs, view
 from .repeats import Sequences, covered, find_repeats
 
 LENGTH = 400
@@ -150,7 +150,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = True)
             yield pa.record_batch(out, names=names)
 
     found = find_repeats(docs, "bytes", length, seed, _places(length, seed), _scan(length))
-    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "settled", "spans").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "settled", "spans").transform(in_arrow, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -174,6 +174,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     found = find_repeats(docs, "bytes", length, seed, _places(length, seed), _scan(length), columns=others)
     schema = T.StructType([T.StructField("row", found.schema["row"].dataType), T.StructField("text", T.StringType())])
-    out = found.mapInArrow(cut_out, schema)
+    out = found.transform(in_arrow, cut_out, schema)
     out = out.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
