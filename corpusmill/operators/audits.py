@@ -62,7 +62,8 @@ def grade(score: Column) -> Column:
 
 
 def qa_grade(docs: DataFrame) -> DataFrame:
-    """Three layers (draft, language, technique), weighted 0.25, 0.45 and 0.30; a critical finding holds the total at 65."""
+    """Three layers (draft, language, technique), weighted 0.25, 0.45 and 0.30; a critical finding holds the total at 65.  A null text counts as empty."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     w, s = F.size(T.words("text")), T.n_matches("text", "[.!?]+")
     rows = docs.select("doc_id", w.alias("w"), s.alias("s"), T.n_matches("text", "[#$%&*]{3,}").alias("sym"), T.n_matches("text", "[!?]{2,}").alias("rep"), T.n_matches("text", "@[A-Za-z0-9.]+\\.[a-z]{2,}").alias("mail"))
     draft = clamped(F.when(F.col("w") < 50, 40).otherwise(0) + F.when(F.col("s") * 60 < F.col("w"), 20).otherwise(0))
@@ -147,6 +148,8 @@ def entity_grounding(pairs: DataFrame) -> DataFrame:
 
 
 def doc_stats(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_characters, n_lines, n_ends, n_distinct); a null text counts as empty, which is one line."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lines = F.split("text", "\n")
     return docs.select(
         "doc_id", F.size(T.words("text")).alias("n_words"), F.length("text").alias("n_characters"), F.size(lines).alias("n_lines"),

@@ -40,10 +40,10 @@ METRIC_RULES = [
 
 
 def prose_only(text, change) -> Column:
-    """`change` applied between protected stretches: the text is cut at them, and the pieces are put together again."""
+    """`change` applied between protected stretches: the text is cut at them by a noncharacter, and the pieces are put together again."""
     t = T.col(text)
-    cut = F.regexp_replace(t, f"({PROTECTED})", "␞$1␞")
-    parts = F.transform(F.split(cut, "␞"), lambda p: F.when(p.rlike(f"^(?:{PROTECTED})$"), p).otherwise(change(p)))
+    cut = F.regexp_replace(t, f"({PROTECTED})", "\ufdd0$1\ufdd0")
+    parts = F.transform(F.split(cut, "\ufdd0"), lambda p: F.when(p.rlike(f"^(?:{PROTECTED})$"), p).otherwise(change(p)))
     return F.array_join(parts, "")
 
 

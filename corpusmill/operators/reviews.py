@@ -84,8 +84,8 @@ def convert_existing(docs: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def factual_consistency(pairs: DataFrame) -> DataFrame:
-    """(source_id, draft_id, missing_numbers, source_refs, draft_refs, n_warnings): numbers as bags, references by count, in one row."""
-    numbers = lambda t: T.matches(W.claims(t), T.NUMBER)
+    """(source_id, draft_id, missing_numbers, source_refs, draft_refs, n_warnings): numbers as bags, references by count, in one row.  Null texts count as empty."""
+    numbers = lambda t: T.matches(W.claims(F.coalesce(t, F.lit(""))), T.NUMBER)
     a, b = numbers("source_text"), numbers("draft_text")
     lost = F.size(a) - bag_overlap(a, b)
     refs = lambda t: F.regexp_count(F.coalesce(t, F.lit("")), F.lit("<ref[ >]"))

@@ -34,7 +34,8 @@ KEPT = (
     "<!--.*?-->|<nowiki>.*?</nowiki>|<math[^>]*>.*?</math>|<code[^>]*>.*?</code>|<ref[^>]*/>|<ref[^>/]*>.*?</ref>|<[^>]*>"
     "|\\{\\{(?:[^{}]|\\{\\{[^{}]*\\}\\})*\\}\\}|\\[\\[[^\\[\\]]*\\]\\]|\\[?https?://[^\\s\\]]*\\]?"
 )
-_CUT = "␞"
+#: Where a text is cut: a noncharacter of Unicode, which text that is exchanged does not hold.
+_CUT = "\ufdd0"
 
 
 def between(text: Column, kept: str, change: Callable[[Column], Column]) -> Column:

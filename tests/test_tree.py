@@ -113,3 +113,18 @@ def test_save_gate_counts_bags_in_linear_time(spark):
 def test_suite_repairs_on_the_tree(spark):
     df = spark.createDataFrame([("{{a|{{b}}",), ("[[kota besar",), ("{{a|" * 30 + "}}" * 30,)], "t string").select(rewrites.repair(F.col("t")).alias("r"), rewrites.syntax_issues(F.col("t")).alias("n"))
     assert [r.r for r in df.collect()] == ["{{a|{{b}}}}", "[[kota besar]]", "{{a|" * 30 + "}}" * 30] and df.collect()[2].n == []
+
+
+def test_signs_and_nulls_outside_markup(spark):
+    """Any sign may stand in a text, and null texts count as empty."""
+    from corpusmill.operators import audits
+
+    df = spark.createDataFrame([("a ␞ [[x,, y]] c,, d",), ("[[p,, q]]r,, s[[t]]",)], "t string")
+    got = [r.o for r in df.select(rewrites.between(F.col("t"), rewrites.KEPT, lambda p: F.replace(p, F.lit(",,"), F.lit(","))).alias("o")).collect()]
+    assert got == ["a ␞ [[x,, y]] c, d", "[[p,, q]]r, s[[t]]"]
+    docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    for made in (audits.qa_grade(docs), audits.doc_stats(docs)):
+        one, two = (tuple(r)[1:] for r in made.orderBy("doc_id").collect())
+        assert one == two and None not in one
+    pairs = spark.createDataFrame([(1, 2, None, "x"), (2, 3, "1 2", None)], "source_id long, draft_id long, source_text string, draft_text string")
+    assert [(r.missing_numbers, r.n_warnings) for r in reviews.factual_consistency(pairs).orderBy("source_id").collect()] == [(0, 0), (2, 1)]
