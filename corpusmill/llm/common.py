@@ -23,6 +23,8 @@ CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20  # text behind one bucket of an exchange
 #: Rows of two numbers that are sent to every task, after they have been counted; more are joined.
 SENT_ROWS = 500_000
+#: Bytes of an Arrow batch on its way to a Python worker, where the session has Spark's own default.
+BATCH_BYTES, _SPARKS = 4 << 20, "67108864b"
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -80,7 +82,13 @@ def sent(rows: DataFrame) -> DataFrame:
 
 
 def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """`df.mapInArrow(work, schema)` that gives back, at the end of a task, the memory that its Python worker freed: workers live on between tasks, idle ones too."""
+    """`df.mapInArrow(work, schema)` in batches of at most BATCH_BYTES, which gives back, at the end of a task, the memory that its Python worker freed: workers live on between tasks, idle ones too.
+
+    The size is a setting of the session, read when the plan runs, so it stays set; a caller's own is left alone.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == _SPARKS:
+        conf.set(name, f"{BATCH_BYTES}b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
