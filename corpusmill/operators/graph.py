@@ -70,6 +70,52 @@ def levels(edges: DataFrame) -> DataFrame:
     return rest if out is None else out.union(rest)
 
 
+def _settled(rows: DataFrame) -> tuple:
+    return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first())
+
+
+def _between(edges: DataFrame) -> DataFrame:
+    """Links whose ends both have links on either side; the others are on no cycle."""
+    left, n = edges, None
+    while n != (now := left.count()):
+        n = now
+        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+    return left
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, cycle): members of each true cycle, named by its smallest member; nodes that reach each other both ways share one.
+
+    Diamonds and nodes behind a cycle are not members.  A node linked to itself is a cycle of one, null
+    ends are left out, repeated links count once, an empty table gives none.  edges: (src, dst).
+
+    Each node takes the smallest name that leads to it; a node that keeps its own name is the smallest
+    of its cycle, whose members are those of that name that lead back to it.  All such cycles are found
+    at once, and links that no further cycle can use go.  Rounds follow the longest way within cycles and
+    what ties them, chains at their ends included; every round is a join and a grouping by key.
+    """
+    e = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    found = cut(e.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("cycle")))
+    e = cut(e.filter("src <> dst"))
+    while not (e := _between(e)).isEmpty():
+        names, last = e.select(F.col("src").alias("node")).distinct().withColumn("name", F.col("node")), None
+        while last != (now := _settled(names)):
+            last = now
+            sent = e.join(names, e["src"] == names["node"]).select(F.col("dst").alias("node"), "name")
+            names = cut(names.union(sent).groupBy("node").agg(F.min("name").alias("name")))
+        one, two = (names.select(F.col("node").alias(c), F.col("name").alias(n)) for c, n in (("src", "name"), ("dst", "_name")))
+        e = cut(e.join(one, "src").join(two, "dst").filter("name = _name").select("src", "dst", "name"))
+        seen = front = cut(names.filter("node = name"))
+        while not front.isEmpty():
+            back = e.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "name").distinct()
+            front = cut(back.join(seen, "node", "left_anti"))
+            seen = cut(seen.union(front))
+        several = seen.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
+        found = cut(found.union(seen.join(several, "name").select("node", F.col("name").alias("cycle"))))
+        e = e.join(seen.select(F.col("node").alias("src")), "src", "left_anti").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    return found.groupBy("node").agg(F.min("cycle").alias("cycle"))
+
+
 #: Nodes of one deployment that are put in order one at a time.
 ONE_AT_A_TIME = 100_000
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from corpusmill.plans import catalogue, markup, nesting  # noqa: F401  the others add their queries
+from corpusmill.plans import catalogue, lookups, markup, nesting  # noqa: F401  the others add their queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables are not here")
