@@ -141,6 +141,10 @@ def _before_links() -> list[Rule]:
 
 
 _BOTH = f"({PREFIXES}|{'|'.join(p.capitalize() for p in PREFIXES.split('|'))})"
+_VERB = "(?:me|ber|di)\\p{Ll}{3,}|lulus|pergi|tiba|tinggal"
+_ADVERBS = "tidak|juga|lalu|kemudian|telah|sudah|akan|terus"
+#: Stands for a comma that stays: a noncharacter of Unicode.
+_HELD = "\ufdd2"
 TYPOGRAPHY = [
     Pass("strip_metadata_templates", "text", [(f"\\{{\\{{(?:{METADATA})(?:\\|[^{{}}]*)?\\}}\\}}\\n?", "")]),
     Pass("citation_dates", "text", _dates()),
@@ -161,7 +165,8 @@ TYPOGRAPHY = [
     ]),
     Pass("year_classifiers", "prose", [("\\b([Pp]ada|[Ss]ejak|[Hh]ingga|[Ss]ampai) ([12][0-9]{3})([\\s.,;)]|$)", "$1 tahun $2$3")]),
     Pass("appositive_commas", "prose", [("\\b(sesama \\p{Ll}+|[Pp]utr[ai]nya|[Ii]strinya|[Ss]uaminya|saat itu), (\\p{Lu}[\\p{L}-]*(?: \\p{Lu}[\\p{L}-]*)*), ", "$1 $2 ")]),
-    Pass("conjunction_commas", "prose", [(", (dan|serta) ((?:me|ber|di)\\p{Ll}{3,}|lulus|pergi|tiba|tinggal)\\b", " $1 $2")]),
+    # a predicate between commas before the conjunction makes a serial list, whose last comma is held apart meanwhile
+    Pass("conjunction_commas", "prose", [(f"(, (?:(?:{_ADVERBS}) )?(?:{_VERB})\\b[^,.;:!?\n]*), (dan|serta) ({_VERB})\\b", f"$1{_HELD} $2 $3"), (f", (dan|serta) ({_VERB})\\b", " $1 $2"), (_HELD, ",")]),
     Pass("introductory_commas", "prose", [(f"\\b({OPENERS}), ((?:pada|dalam|di|sesampainya|setelah|ketika|sejak) [^,.;\\n]+), (\\p{{Ll}})", "$1, $2 $3")]),
     Pass("relative_commas", "prose", [(", (yang (?:[^,.;\\n]|[.,][0-9])+), (\\p{Ll})", " $1 $2"), (", ((?:setelah|selain) [^,.;\\n]+), yang ", " ($1) yang ")]),
     Pass("modifier_commas", "prose", [(", ((?:terutama|khususnya|terlebih) [^,.;\\n]+), (\\p{Ll})", " $1 $2")]),

@@ -76,7 +76,8 @@ def suite_sql(suite: list[rewrites.Pass], table_: str = DOCS) -> str:
     return f"SELECT doc_id, text FROM {table_}"
 
 
-PLAIN_TYPOGRAPHY = [p for p in rewrites.TYPOGRAPHY if plain(p)]
+PLAIN_TYPOGRAPHY = [p for p in rewrites.TYPOGRAPHY if plain(p) and p.name not in rewrites.APART]
+BY_NAME = [p for p in rewrites.TYPOGRAPHY if plain(p) and p.name in rewrites.APART]
 PLAIN_FIXES = [p for p in rewrites.GENERAL_FIXES if plain(p)]
 
 
@@ -86,6 +87,12 @@ def typography_suite(spark, d):
     return _docs(spark, d).select("doc_id", rewrites.apply(F.col("text"), PLAIN_TYPOGRAPHY).alias("text"))
 
 
+@query(suite_sql(BY_NAME))
+def typography_by_name(spark, d):
+    """The passes of typography that run only where they are asked for."""
+    return _docs(spark, d).select("doc_id", rewrites.apply(F.col("text"), BY_NAME).alias("text"))
+
+
 @query(suite_sql(PLAIN_FIXES))
 def general_fixes_suite(spark, d):
     """The rule passes of the general fixes in their order."""

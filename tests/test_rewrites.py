@@ -20,6 +20,7 @@ ALONE = [
     (R.TYPOGRAPHY, "year_classifiers", "Pada 2000, sejak 1985 hingga 1991. Pada Juni 2002, 1985–1991. {{sfn|pada 2017}}", "Pada tahun 2000, sejak tahun 1985 hingga tahun 1991. Pada Juni 2002, 1985–1991. {{sfn|pada 2017}}"),
     (R.TYPOGRAPHY, "appositive_commas", "menikahi sesama mahasiswa, Raisa Titarenko, pada 1953", "menikahi sesama mahasiswa Raisa Titarenko pada 1953"),
     (R.TYPOGRAPHY, "conjunction_commas", "belajar giat, dan lulus; London, Paris, dan Berlin; Jerman, dan menjalani", "belajar giat dan lulus; London, Paris, dan Berlin; Jerman dan menjalani"),
+    (R.TYPOGRAPHY, "conjunction_commas", "Ia memasak, berlari, dan berenang. Ia pulang, tidak menulis lagi, lalu tidur, dan pergi. Pada 1990, ia memasak, dan berenang", "Ia memasak, berlari, dan berenang. Ia pulang, tidak menulis lagi, lalu tidur dan pergi. Pada 1990, ia memasak dan berenang"),
     (R.TYPOGRAPHY, "introductory_commas", "Namun, pada Agustus 1968, ia diangkat. Namun, Kamerad, janganlah. Tak lama berselang, pada Juli, Raisa", "Namun, pada Agustus 1968 ia diangkat. Namun, Kamerad, janganlah. Tak lama berselang, pada Juli, Raisa"),
     (R.TYPOGRAPHY, "relative_commas", "staf Komite, yang saat itu mencapai 3.000 orang, dipangkas", "staf Komite yang saat itu mencapai 3.000 orang dipangkas"),
     (R.TYPOGRAPHY, "modifier_commas", "banyak pihak, terutama di Barat, memandangnya", "banyak pihak terutama di Barat memandangnya"),
