@@ -26,16 +26,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, in_arrow
+from .common import chunks, cut, in_arrow, lowered, view, words
 
 LIMIT = 2048
-#: Distinct text units whose ids a task remembers.
-REMEMBERED = 400_000
-#: Lower-case letters of ASCII and Latin-1 in UTF-8, then marks that are neither letter, number nor apostrophe.
-SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,|%#$&*!?;:]*)").fullmatch
+#: Distinct pieces of text whose ids a task remembers, and bytes of text that are cut at once.
+REMEMBERED, AT_ONCE = 400_000, 2 << 20
+#: Lower-case letters of ASCII and Latin-1 in UTF-8.
+WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+
+
+def _flags(values: bytes | list[int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(values)] = True
+    return out
+
+
+#: Between units; ASCII letters; second bytes of Latin-1 letters, after 0xC3; marks that are neither letter, number nor apostrophe.
+GAPS, LETTERS, SECONDS, MARKS = _flags(b" \n"), _flags(range(97, 123)), _flags([*range(0x9F, 0xB7), *range(0xB8, 0xC0)]), _flags(b".,|%#$&*!?;:")
 #: Byte-level vocabularies write a byte that is no visible Latin-1 character as the next free character from 256 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
 BYTE_LEVEL = {b: 256 + k for k, b in enumerate(_HIDDEN)}
+_WORDS = np.array([BYTE_LEVEL.get(b, b) if b != 32 else b for b in range(256)], "<u4")  # words joined by spaces stay apart
 #: Partners tried for each first length when patterns of three are enumerated.
 PARTNERS = 6
 SWEEPS = 30
@@ -65,73 +76,115 @@ def _tokenizer(path: str, special_as_text: bool):
     return _TOKENIZERS[path, special_as_text]
 
 
-def _encode_units(tok, units: list[bytes]) -> list[bytes]:
-    """Ids of each unit.
+def _encode_pieces(tok, pieces: list[bytes]) -> list[bytes]:
+    """Ids of each piece.
 
-    Most units are lower-case letters with closing marks: normalising changes nothing in them and
-    they are cut where the letters end, so their letters go straight to the tokenizer's model,
-    once each.  All others take the tokenizer's whole way.
+    Normalising changes nothing in a word of lower-case letters and it is cut nowhere, so words go
+    straight to the tokenizer's model.  All other pieces take the tokenizer's whole way.
     """
-    split = [SIMPLE(u) for u in units]
-    whole = {m[2] for m in split if m and m[2]} | {u for u, m in zip(units, split, strict=True) if not m}
-    ids = {u: np.array(e.ids, "<u4").tobytes() for u, e in zip(whole, tok.encode_batch_fast([u.decode() for u in whole], add_special_tokens=False), strict=True)}
-    words, model = {}, tok.model
-    for m in split:
-        if m and m[1] not in words:
-            words[m[1]] = array("I", [t.id for t in model.tokenize(m[1].decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
-    return [words[m[1]] + (ids[m[2]] if m[2] else b"") if m else ids[u] for u, m in zip(units, split, strict=True)]
+    at = [k for k, p in enumerate(pieces) if WORD(p)]
+    out, model, rest = [b""] * len(pieces), tok.model, sorted(set(range(len(pieces))).difference(at))
+    for k, e in zip(rest, tok.encode_batch_fast([pieces[k].decode() for k in rest], add_special_tokens=False), strict=True):
+        out[k] = np.array(e.ids, "<u4").tobytes()
+    if at:
+        letters = _WORDS[np.frombuffer(b" ".join([pieces[k] for k in at]), np.uint8)].tobytes().decode("utf-32-le")
+        for k, w in zip(at, letters.split(" "), strict=True):
+            out[k] = array("I", [t.id for t in model.tokenize(w)]).tobytes()
+    return out
 
 
-def encode_texts(texts: list[bytes], path: str, known: dict[bytes, bytes], special_as_text: bool = True) -> list[bytes]:
-    """Ids of each text (UTF-8) as little-endian unsigned 32-bit values.
+def _cut(data: np.ndarray, offs: np.ndarray, special_as_text: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-case text, and where its pieces begin and end: units between spaces and line ends, or a word and the marks after it."""
+    low = lowered(data)
+    starts, ends, _ = words(low, offs, GAPS)
+    if len(starts) == 0:
+        return low, starts, ends
+    if not special_as_text:
+        signs = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        for k in np.unique(np.searchsorted(starts, signs, "right") - 1).tolist():  # units with the sign that begins special tokens
+            low[starts[k] : ends[k]] = data[starts[k] : ends[k]]
+    second = np.zeros(len(low), bool)
+    second[1:] = (low[:-1] == 0xC3) & SECONDS[low[1:]]
+    letter, mark = LETTERS[low] | second, MARKS[low]
+    letter[:-1] |= second[1:]
+    back = np.zeros(len(low), bool)
+    back[1:] = mark[:-1] & letter[1:]
+    back[starts] = False  # the mark ends another row
+    simple = letter[starts] & ~np.logical_or.reduceat(back | ~(letter | mark | GAPS[low]), starts)
+    turns = np.flatnonzero(letter[:-1] & mark[1:]) + 1
+    unit = np.searchsorted(starts, turns, "right") - 1
+    turns = turns[simple[unit] & (starts[unit] < turns)]
+    return low, np.sort(np.concatenate([starts, turns]), kind="stable"), np.sort(np.concatenate([ends, turns]), kind="stable")
+
+
+def encode(data: np.ndarray, offs: np.ndarray, path: str, known: dict[bytes, bytes], special_as_text: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts (UTF-8, row by row at `offs`) and where each row's ids begin.
 
     The tokenizer drops white space, looks at nothing across it and ignores the case of A-Z, so a
-    text's ids are those of the units between spaces and line ends; a unit met before is not
-    encoded again while `known` holds it.  Only names of special tokens have a case, so units with
-    the sign that begins them keep theirs.
+    text's ids are those of the units between spaces and line ends, and those of a unit of letters
+    with closing marks are the word's and the marks'; a piece met before is not encoded again while
+    `known` holds it.  Only names of special tokens have a case, so units with the sign that begins
+    them keep theirs.
     """
     tok = _tokenizer(path, special_as_text)
-    fold = (lambda t: t.lower()) if special_as_text else (lambda t: t.lower() if b"<|" not in t else b" ".join(u if b"<|" in u else u.lower() for u in t.replace(b"\n", b" ").split(b" ")))
-    split = [fold(t).replace(b"\n", b" ").split(b" ") for t in texts]
-    units = set().union(*split)
-    new = [u for u in units if u not in known]
+    low, starts, ends = _cut(data, offs, special_as_text)
+    if len(starts) == 0:
+        return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+    sizes = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=sizes[1:])
+    got = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(sizes), pa.py_buffer(low[~GAPS[low]])]).dictionary_encode()
+    code, (own, edges) = got.indices.to_numpy(zero_copy_only=False), view(got.dictionary)
+    own, edges = own.tobytes(), edges.tolist()
+    own = [own[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    ids = list(map(known.get, own))
+    new = [k for k, x in enumerate(ids) if x is None]
     if len(known) + len(new) > REMEMBERED:
         known.clear()
-        new = list(units)
-    known.update(zip(new, _encode_units(tok, new), strict=True))
-    return [b"".join(map(known.__getitem__, u)) for u in split]
+    for k, x in zip(new, _encode_pieces(tok, [own[k] for k in new]), strict=True):
+        known[own[k]] = ids[k] = x
+    length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    begin = np.cumsum(length) - length
+    n, place = length[code], np.zeros(len(code) + 1, np.int64)
+    np.cumsum(n, out=place[1:])
+    flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begin[code] - place[:-1], n) + np.arange(place[-1])]
+    return flat, place[np.searchsorted(starts, offs)]
+
+
+def encode_texts(texts: list[bytes], path: str, known: dict[bytes, bytes], special_as_text: bool = True) -> list[bytes]:
+    """Ids of each text (UTF-8) as little-endian unsigned 32-bit values."""
+    flat, at = encode(*view(pa.array(texts, pa.binary())), path, known, special_as_text)
+    return [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int = 0, keep_ids: bool = True, special_as_text: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each text encoded, closed by `end_id`, cut only where longer than `limit`."""
     end = np.array([end_id], "<u4").tobytes()
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}  # of this task only: workers live on
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                doc, piece, start, length, crc, ids = [], [], [], [], [], []
-                for d, got in zip(batch.column("doc_id").to_pylist(), encode_texts([x or b"" for x in batch.column("_text").cast(pa.binary()).to_pylist()], tokenizer_path, known, special_as_text), strict=True):
-                    got += end
-                    for k, a in enumerate(range(0, len(got), 4 * limit)):
-                        part = got[a : a + 4 * limit]
-                        doc.append(d)
-                        piece.append(k)
-                        start.append(a // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        ids.append(part)
-                out = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if keep_ids:
-                    flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-                    out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), flat))
-                    names.append("ids")
-                yield pa.record_batch(out, names=names)
+        for batch in chunks(batches, "_text", AT_ONCE):
+            doc, piece, start, length, crc, ids = [], [], [], [], [], []
+            flat, at = encode(*view(batch.column("_text")), tokenizer_path, known, special_as_text)
+            for d, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                got = flat[a:b].tobytes() + end
+                for k, a in enumerate(range(0, len(got), 4 * limit)):
+                    part = got[a : a + 4 * limit]
+                    doc.append(d)
+                    piece.append(k)
+                    start.append(a // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    ids.append(part)
+            out = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if keep_ids:
+                flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
+                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), flat))
+                names.append("ids")
+            yield pa.record_batch(out, names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).transform(in_arrow, encode, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).transform(in_arrow, cut_up, schema)
 
 
 def enumerate_patterns(lengths: np.ndarray, limit: int = LIMIT) -> np.ndarray:

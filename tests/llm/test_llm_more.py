@@ -295,3 +295,22 @@ def test_exact_copies_in_small_slices(spark, monkeypatch):
                 best[key] = i if key not in best else pick(best[key], i)
         got = {(r.doc_id, r.text, r.n) for r in exact_dedup.drop_exact_copies(docs, keep=keep).collect()}
         assert got == {(i, rows[i][1], i) for i in best.values()}
+
+
+def test_words_are_encoded_once_whatever_marks_follow():
+    from tokenizers import Tokenizer
+
+    from corpusmill.llm import best_fit_packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    known = {}
+    best_fit_packing.encode_texts([b"kota kota, Kota. kota;", b"kota,\nkota"], path, known)
+    assert set(known) == {b"kota", b",", b".", b";"}
+    bits = ["don't", "<|endoftext|>", "<|ENDoftext|>", "Caf\u00e9", "cafe\u0301", "a.b", "a,,", "...", "\u00e9.", "\u00c9!", "\u00f7", "\u0301", "a\tb", "12,", "\u65e5\u672c", "a.\u0301", "\x1c", "a\xa0b", "z!?x", "", "\n"]
+    rng = random.Random(3)
+    texts = [rng.choice(["", " ", "\n"]).join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    for special_as_text in (False, True):
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = special_as_text
+        want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert best_fit_packing.encode_texts([t.encode() for t in texts], path, {}, special_as_text) == want
