@@ -21,11 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, chunks, cut, from_planes, lowered, partitions_for, planes, stored, view, words
+from .common import bucket_count, chunks, cut, from_planes, in_arrow, lowered, partitions_for, planes, stored, view, words
 
 GAPS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
-#: N-grams that a task gathers before it sorts and counts them.
-GATHERED = 1 << 21
+#: N-grams that a task gathers before it sorts and counts them, and keys of a packed row at most.
+GATHERED, PACKED = 1 << 21, 1 << 18
 #: Keys of one range, the most ranges, and the sample that cuts them: keys of a packed row, packed rows.
 RANGE, PARTS, SAMPLED_KEYS, SAMPLED_ROWS = 1 << 20, 100_000, 256, 4096
 #: Rows of one window when the first rows of each group are sought.
@@ -93,7 +93,7 @@ def _encode(most: int):
 def encoded_chunks(docs: DataFrame, most: int = 2 << 20) -> DataFrame:
     """Written chunks of text: (chunk, lang, n_words, n_codes, codes, words)."""
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return stored(rows.mapInArrow(_encode(most), "chunk long, lang string, n_words long, n_codes long, codes binary, words array<struct<word: string, n: long>>"))
+    return stored(in_arrow(rows, _encode(most), "chunk long, lang string, n_words long, n_codes long, codes binary, words array<struct<word: string, n: long>>"))
 
 
 def frequent_words(encoded: DataFrame, least: int) -> DataFrame:
@@ -109,7 +109,7 @@ def frequent_words(encoded: DataFrame, least: int) -> DataFrame:
 
 def radix_order(keys: np.ndarray) -> np.ndarray:
     """The order of rows of unsigned 32-bit numbers: 16 bits at a time from the last ones on, each pass stable."""
-    order = np.arange(len(keys))
+    order = np.arange(len(keys), dtype=np.int32 if len(keys) < 1 << 31 else np.int64)
     for column in range(keys.shape[1] - 1, -1, -1):
         for shift in (0, 16):
             digit = (keys[:, column] >> np.uint32(shift)).astype(np.uint16)
@@ -118,16 +118,18 @@ def radix_order(keys: np.ndarray) -> np.ndarray:
     return order
 
 
-def run_lengths(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows in order, with their counts summed."""
+def run_lengths(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in order, with their counts summed; without counts each row counts once."""
     if len(keys) == 0:
-        return keys, counts
+        return keys, np.zeros(0, np.int64)
     order = radix_order(keys)
-    keys, counts = keys[order], counts[order]
+    keys = keys[order]
     new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+    new[1:] = keys[1:, 0] != keys[:-1, 0]
+    for c in range(1, keys.shape[1]):
+        new[1:] |= keys[1:, c] != keys[:-1, c]
     begins = np.flatnonzero(new)
-    return keys[begins], np.add.reduceat(counts, begins)
+    return keys[begins], np.diff(begins, append=len(keys)) if counts is None else np.add.reduceat(counts[order], begins)
 
 
 def grams(ids: np.ndarray, most: int) -> np.ndarray:
@@ -171,16 +173,20 @@ def _unpacked(data: pa.Scalar, size: int, most: int) -> tuple[np.ndarray, np.nda
 
 def _count_grams(most: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted and counted n-grams of what a task has read, GATHERED at a time, with a few keys at even distances."""
+        """Sorted and counted n-grams of what a task has read, GATHERED at a time, in rows of PACKED keys with a few of them at even distances."""
         held: dict[str, list[np.ndarray]] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, parts in held.items():
+            while held:
+                lang, parts = held.popitem()
                 rows = np.concatenate(parts)
-                keys, n = run_lengths(rows, np.ones(len(rows), np.int64))
-                if len(keys):
-                    yield _packed(lang, 0, keys, n, keys[np.linspace(0, len(keys) - 1, min(SAMPLED_KEYS, len(keys))).astype(np.int64)].astype("<u4").tobytes())
+                del parts
+                keys, n = run_lengths(rows)
+                del rows
+                for at in range(0, len(keys), PACKED):
+                    own = keys[at : at + PACKED]
+                    yield _packed(lang, 0, own, n[at : at + PACKED], own[np.linspace(0, len(own) - 1, min(SAMPLED_KEYS, len(own))).astype(np.int64)].astype("<u4").tobytes())
 
         for batch in batches:
             for lang, n, codes, own in zip(batch.column("lang").to_pylist(), batch.column("n_codes").to_pylist(), batch.column("codes"), batch.column("ids"), strict=True):
@@ -189,11 +195,11 @@ def _count_grams(most: int):
                 table = np.zeros(int(max(codes.max(), place.max())) + 1, np.uint32)
                 table[place] = ids
                 rows = grams(table[codes], most)
+                if size + len(rows) > GATHERED:
+                    yield from flush()
+                    size = 0
                 held.setdefault(lang, []).append(rows)
                 size += len(rows)
-                if size >= GATHERED:
-                    yield from flush()
-                    held, size = {}, 0
         yield from flush()
 
     return count
@@ -258,7 +264,7 @@ def frequent_grams(encoded: DataFrame, known: DataFrame, most: int, least: int,
     own = encoded.select("chunk", "lang", F.posexplode("words").alias("at", "w")).select("chunk", "lang", (F.col("at") + 1).alias("place"), "w.word")
     own = own.join(known, ["lang", "word"]).select("chunk", F.struct("place", "id").alias("x")).repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list("x").alias("ids"))
     both = encoded.select("chunk", "lang", "n_codes", "codes").repartition(tasks, "chunk").join(own, "chunk").select("lang", "n_codes", "codes", "ids")
-    found = stored(both.mapInArrow(_count_grams(most), "lang string, part int, size long, data binary, sample binary"))
+    found = stored(in_arrow(both, _count_grams(most), "lang string, part int, size long, data binary, sample binary"))
     rows, total = found.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     parts = min(PARTS, max(tasks, total // RANGE))
     # splitters: even steps through a bounded sample of keys
@@ -267,9 +273,9 @@ def frequent_grams(encoded: DataFrame, known: DataFrame, most: int, least: int,
     sample = sample[radix_order(sample)]
     at = np.linspace(0, len(sample), parts + 1)[1:-1].astype(np.int64)
     splitters = np.unique(sample[at], axis=0) if len(sample) else sample
-    ranges = found.mapInArrow(_deal(splitters, most), "lang string, part int, size long, data binary, sample binary").select("lang", "part", "size", "data")
+    ranges = in_arrow(found, _deal(splitters, most), "lang string, part int, size long, data binary, sample binary").select("lang", "part", "size", "data")
     ranges = ranges.repartition(max(tasks, parts), "part", "lang").sortWithinPartitions("part", "lang")
-    return ranges.mapInArrow(_merge(least, most), "lang string, key binary, n long")
+    return in_arrow(ranges, _merge(least, most), "lang string, key binary, n long")
 
 
 def _part(key: str, begin: Column | int, length: Column | int, most: int) -> Column:

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +232,27 @@ def test_decontamination_is_one_scan_without_python(spark):
     rows, items = leak_rows()
     plan = decontamination.report(frame(spark, rows, 2), spark.createDataFrame(items[:12], "item_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan.split("Subqueries")[0] and "ArrowEval" not in plan
+
+
+def test_packed_rows_are_small_and_batches_bounded(spark, monkeypatch):
+    """Rows of a few MB at most leave a task, whatever it gathers, and no Python worker gets batches of Spark's own size."""
+    from corpusmill.llm import common
+
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(collocations, "PACKED", 500)
+    codes = rng.integers(1, 3000, 20_000).astype(np.uint32)
+    own = pa.array([[{"place": k, "id": k} for k in range(1, 3000)]], pa.list_(pa.struct([("place", pa.int64()), ("id", pa.int64())])))
+    batch = pa.record_batch([pa.array(["en"]), pa.array([len(codes)]), pa.array([common.planes(codes)], pa.binary()), own], names=["lang", "n_codes", "codes", "ids"])
+    rows = [r for b in collocations._count_grams(3)(iter([batch, batch])) for r in b.to_pylist()]
+    assert max(r["size"] for r in rows) == 500
+    total = Counter()
+    for r in rows:
+        keys, n = collocations._unpacked(pa.scalar(r["data"], pa.binary()), r["size"], 3)
+        total.update(dict(zip(map(tuple, keys.tolist()), n.tolist(), strict=True)))
+    want = Counter(map(tuple, collocations.grams(codes, 3).tolist()))
+    assert total == Counter({k: 2 * v for k, v in want.items()})
+    seen = []
+    whole = common.in_arrow
+    monkeypatch.setattr(collocations, "in_arrow", lambda df, work, schema: seen.append(df) or whole(df, work, schema))
+    assert sorted(map(tuple, collocations.collocations(frame(spark, phrase_rows()), 3, 10, 50, 2000).collect())) == brute_phrases(phrase_rows(), 3, 10, 50, 2000)
+    assert len(seen) == 4
