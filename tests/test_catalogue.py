@@ -39,3 +39,11 @@ def test_query(spark, con, name):
 def test_flagship_needs_no_shuffle_and_reads_two_columns(spark):
     plan = catalogue.QUERIES["lint_score"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_typography_suite_runs_every_rule_pass():
+    from corpusmill.operators import rewrites
+
+    sql = catalogue.ORACLES["typography_suite"]
+    for p in rewrites.TYPOGRAPHY:
+        assert not markup.plain(p) or p in markup.PLAIN_TYPOGRAPHY and all(markup._quoted(a) in sql for a, _ in p.work), p.name
