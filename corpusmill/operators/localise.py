@@ -25,12 +25,16 @@ NUMBER = "[0-9]+(?:[.,][0-9]+)*"
 #: Stretches that no rewrite touches.
 PROTECTED = "\\[\\[[^\\]]*\\]\\]|\\{\\{[^}]*\\}\\}|<ref[^>]*>[^<]*</ref>|<code>[^<]*</code>|<nowiki>[^<]*</nowiki>"
 
+#: Where a word begins and ends: letters of every script, digits and marks on letters are in words, whatever \\b means to a JVM.
+WORDS = "\\p{L}\\p{Nd}\\p{Mn}_"
+BEGINS, ENDS = f"(?<![{WORDS}])", f"(?![{WORDS}])"
+
 CURRENCY_RULES = [
-    *((f"([$£€¥])({NUMBER}) {a}\\b", f"$1$2 {b}") for a, b in SCALES),
-    *((f"([$£€¥])({NUMBER}){a}\\b", f"$1$2 {b}") for a, b in SHORT_SCALES),
+    *((f"([$£€¥])({NUMBER}) {a}{ENDS}", f"$1$2 {b}") for a, b in SCALES),
+    *((f"([$£€¥])({NUMBER}){a}{ENDS}", f"$1$2 {b}") for a, b in SHORT_SCALES),
     ("(^|[^A-Za-z])\\$([0-9])", "$1US\\$$2"),
 ]
-UNIT_RULES = [(f"\\b({NUMBER}) (?:{a})\\b", f"$1 {b}") for a, b in UNITS]
+UNIT_RULES = [(f"{BEGINS}({NUMBER}) (?:{a}){ENDS}", f"$1 {b}") for a, b in UNITS]
 METRIC_RULES = [
     (f"\\b({NUMBER}) (?:ft|feet) ({NUMBER}) (?:in|inches) \\(({NUMBER}) (cm|m)\\)", "$3 $4 ($1 kaki $2 inci)"),
     (f"\\b({NUMBER}) (?:miles?|mi) \\(({NUMBER}) km\\)", "$2 km ($1 mil)"),
@@ -40,11 +44,13 @@ METRIC_RULES = [
 
 
 def prose_only(text, change) -> Column:
-    """`change` applied between protected stretches: the text is cut at them by a noncharacter, and the pieces are put together again."""
-    t = T.col(text)
-    cut = F.regexp_replace(t, f"({PROTECTED})", "\ufdd0$1\ufdd0")
-    parts = F.transform(F.split(cut, "\ufdd0"), lambda p: F.when(p.rlike(f"^(?:{PROTECTED})$"), p).otherwise(change(p)))
-    return F.array_join(parts, "")
+    """`change` applied between protected stretches: the text is cut at them, and pieces and stretches are put together again by turns."""
+
+    def rewritten(t: Column) -> Column:
+        kept = F.regexp_extract_all(t, F.lit(PROTECTED), F.lit(0))
+        return T.bound(kept, lambda k: F.array_join(F.transform(F.split(t, PROTECTED), lambda p, i: F.concat(change(p), F.coalesce(F.get(k, i), F.lit("")))), ""))
+
+    return T.bound(T.col(text), rewritten)
 
 
 def currency(text) -> Column:
